@@ -89,7 +89,8 @@ def _candidates(rows: DataFrame, leaves: DataFrame, max_epochs: int, seed: int)
     passes = F.sequence(F.lit(0), F.least(F.lit(max_epochs - 1), F.expr("int(budget div greatest(tokens, 1))")))
     tried = rows.join(F.broadcast(leaves) if _small(leaves) else leaves, KEYS).withColumn("epoch", F.explode(passes))
     room = F.least(F.col("tokens"), F.col("budget") - F.col("epoch") * F.col("tokens"))
-    return tried.drop("tokens", "budget").withColumn("o", order).withColumn("k", F.substring("o", 1, BUCKET_DIGITS)).withColumn("full", room == F.col("tokens")).withColumn("room", room).where("room > 0")
+    tried = tried.withColumn("room", room).where("room > 0").withColumn("full", F.col("room") == F.col("tokens")).drop("tokens", "budget")
+    return tried.withColumn("o", order).withColumn("k", F.substring("o", 1, BUCKET_DIGITS))
 
 
 def select(rows: DataFrame, weights: dict = WEIGHTS, max_epochs: int = MAX_EPOCHS, share_per_cent: int = SHARE_PER_CENT, seed: int = SEED) -> DataFrame:
