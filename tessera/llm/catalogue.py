@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import html_text, licences, mixing, near_dup, packing, private, quality, toxic, vector_dup
+from tessera.llm import html_text, licences, lm, mixing, near_dup, packing, private, quality, toxic, vector_dup
 
 
 def queries() -> dict:
     return {
+        "op1_lm_scoring": lm.query,
         "op2_best_fit_packing": packing.query,
         "op3_source_mixing": mixing.query,
         "op4_toxicity": toxic.query,
