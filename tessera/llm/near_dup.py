@@ -7,7 +7,8 @@ table with probability about 2 * (1 - 0.75 ** ROWS) ** SIDE, 0.0005 at the defau
 
 Texts with equal sets are one class from the start. In each table a bucket is first compared with its
 smallest id only (a star); buckets that this leaves in more than one component have their other members
-compared with the rest of the bucket. Thus a large group of copies costs its size times the number of
+compared with the rest of the bucket, less those whose count of shingles found in no other document proves
+that they reach the threshold with nothing. Thus a large group of copies costs its size times the number of
 tables, and no link between different components is skipped. Pairs must agree in size and in
 ``MIN_AGREE`` of the 40 minhashes (a pair at the threshold fails that with a probability of about 1e-8)
 before their sets are fetched and compared.
@@ -109,6 +110,13 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        for i, raw in zip(batch.column("id").to_pylist(), batch.column("s")):
+            own = _decode(raw.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int64)), pa.array(own.view(np.int64))], ["id", "x"])
+
+
 def _decode(raw: bytes) -> np.ndarray:
     part = np.frombuffer(raw, np.uint8).reshape(-1, _BYTES)
     out = np.zeros((len(part), 8), np.uint8)
@@ -144,16 +152,34 @@ def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return wide.where((100 * F.least("na", "nb") >= PER_CENT * F.greatest("na", "nb")) & (same >= MIN_AGREE)).select("a", "b").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold on their full sets, as (src, dst)."""
-    ids = materialise(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct(), "ids")
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, s): the shingle sets of the documents with these ids, read from their texts again."""
+    ids = materialise(ids.distinct(), "ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = materialise(texts.mapInArrow(_sets, "id long, s binary"), "sets")
+    return materialise(texts.mapInArrow(_sets, "id long, s binary"), "sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold on their full sets, as (src, dst)."""
     wide = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     return materialise(wide.select("a", "b", "sa", "sb").mapInArrow(_confirm, "src long, dst long"), "links")
 
 
+def _able(members: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows (key, id, ...) of buckets whose document can reach the threshold with any other one of its bucket, with n.
+
+    A shingle that no other document of any bucket has is in no intersection. With u such ones of n, and at
+    least m shingles in every document of the bucket, the similarity is at most (n - u) / (max(m, n - u) + u).
+    """
+    alone = sets.mapInArrow(_shingle_rows, "id long, x long").groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("k")).where("k = 1").groupBy("id").agg(F.count("*").alias("u"))
+    size = materialise(reps.groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("low")).join(alone, "id", "left").select("id", "n", "low", F.coalesce("u", F.lit(0)).alias("u")), "size")
+    members = materialise(members.join(size, "id"), "sized")
+    least = materialise(members.groupBy("key").agg(F.min("low").alias("m")), "least")
+    shared = F.col("n") - F.col("u")
+    return materialise(members.join(least, "key").where(100 * shared >= PER_CENT * (F.greatest("m", shared) + F.col("u"))), "able")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -176,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialise(keys.join(pivots, "key"), "shared")
 
     stars = shared.where("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _linked(materialise(_agree(stars, reps), "stars"), docs)
+    stars = materialise(_agree(stars, reps), "stars")
+    links = _linked(stars, _sets_of(stars.select(F.col("a").alias("id")).unionAll(stars.select("b")), docs))
     found = materialise(connected_components(links), "found")
 
     # buckets in more than one component: members outside the bucket's largest one meet all others
@@ -185,11 +212,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     main = here.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
     main = materialise(main.where("parts > 1").select("key", F.col("m.c").alias("main")), "main")
     open_ = materialise(here.join(main, "key"), "open")
-    odd = open_.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "pivot")
-    rest = open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("main").alias("mb"))
-    meet = odd.join(rest, "key").where("ca <> cb and a <> pivot and b <> pivot and (cb = mb or a < b)")
-    meet = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _linked(materialise(_agree(meet, reps), "meet"), docs)
+    sets = _sets_of(open_.select("id"), docs)
+    open_ = _able(open_, reps, sets)
+    odd = open_.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "pivot", F.col("n").alias("na"), F.col("u").alias("ua"))
+    rest = open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("main").alias("mb"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+    most = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+    meet = odd.join(rest, "key").where((100 * most >= PER_CENT * (F.col("na") + F.col("nb") - most)) & F.expr("ca <> cb and a <> pivot and b <> pivot and (cb = mb or a < b)"))
+    meet = materialise(_agree(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps), "meet")
+    more = _linked(meet, sets)
 
     groups = materialise(connected_components(links.unionAll(more).unionAll(copies)), "groups")
     known = signed.where("id is not null").select("id", "n").join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c"))
