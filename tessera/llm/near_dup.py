@@ -6,9 +6,10 @@ minhash functions instead of ``SIDE * SIDE * 2 * ROWS``. Texts of the threshold'
 table with probability about 2 * (1 - 0.75 ** ROWS) ** SIDE, 0.0005 at the defaults, and less above it.
 
 Texts with equal sets are one class from the start. In each table a bucket is first compared with its
-smallest id only (a star); buckets that this leaves in more than one component have their other members
-compared with the rest of the bucket, less those whose count of shingles found in no other document proves
-that they reach the threshold with nothing. Thus a large group of copies costs its size times the number of
+smallest id only (a star). In buckets that this leaves in more than one component, members whose count of
+shingles found in no other document proves that they reach the threshold with nothing are done; the others are
+compared with the member that has the fewest such shingles (a second star), and what is still outside the
+bucket's largest component with all the rest. Thus a large group of copies costs its size times the number of
 tables, and no link between different components is skipped. Pairs must agree in size and in
 ``MIN_AGREE`` of the 40 minhashes (a pair at the threshold fails that with a probability of about 1e-8)
 before their sets are fetched and compared.
@@ -180,6 +181,14 @@ def _able(members: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(members.join(least, "key").where(100 * shared >= PER_CENT * (F.greatest("m", shared) + F.col("u"))), "able")
 
 
+def _in_parts(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (key, id, ...) of buckets that lie in more than one component, with the member's (c) and the largest one (main)."""
+    members = materialise(members.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")), "members")
+    main = members.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
+    main = materialise(main.where("parts > 1").select("key", F.col("m.c").alias("main")), "main")
+    return members.join(main, "key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -206,19 +215,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _linked(stars, _sets_of(stars.select(F.col("a").alias("id")).unionAll(stars.select("b")), docs))
     found = materialise(connected_components(links), "found")
 
-    # buckets in more than one component: members outside the bucket's largest one meet all others
-    here = shared.join(found.withColumnRenamed("component", "c"), "id", "left").select("key", "id", "pivot", F.coalesce("c", "id").alias("c"))
-    here = materialise(here, "here")
-    main = here.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("m"), F.count("*").alias("parts"))
-    main = materialise(main.where("parts > 1").select("key", F.col("m.c").alias("main")), "main")
-    open_ = materialise(here.join(main, "key"), "open")
-    sets = _sets_of(open_.select("id"), docs)
-    open_ = _able(open_, reps, sets)
-    odd = open_.where("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "pivot", F.col("n").alias("na"), F.col("u").alias("ua"))
-    rest = open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("main").alias("mb"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+    # buckets still in more than one component
+    here = materialise(_in_parts(shared, found), "here")
+    sets = _sets_of(here.select("id"), docs)
+    able = _able(here.select("key", "id", "pivot"), reps, sets)
+    # a second star, around the member with the fewest shingles of its own
+    centre = able.groupBy("key").agg(F.min(F.struct("u", "id")).alias("m")).select("key", F.col("m.id").alias("centre"))
+    around = _in_parts(able, found).join(materialise(centre, "centre"), "key").where("id <> centre and centre <> pivot")
+    around = materialise(_agree(around.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), reps), "around")
+    links = materialise(links.unionAll(_linked(around, sets)), "links")
+    found = materialise(connected_components(links), "found")
+    # members outside the largest part of their bucket meet all others of it
+    rest = materialise(_in_parts(able, found), "parts")
+    side = lambda c: [F.col(x).alias(f"{x}{c}") for x in ("id", "c", "n", "u")]
     most = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
-    meet = odd.join(rest, "key").where((100 * most >= PER_CENT * (F.col("na") + F.col("nb") - most)) & F.expr("ca <> cb and a <> pivot and b <> pivot and (cb = mb or a < b)"))
-    meet = materialise(_agree(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps), "meet")
+    meet = rest.where("c <> main").select("key", *side("a")).join(rest.select("key", "main", *side("b")), "key")
+    meet = meet.where((100 * most >= PER_CENT * (F.col("na") + F.col("nb") - most)) & F.expr("ca <> cb and (cb = main or ida < idb)"))
+    meet = materialise(_agree(meet.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), reps), "meet")
     more = _linked(meet, sets)
 
     groups = materialise(connected_components(links.unionAll(more).unionAll(copies)), "groups")
