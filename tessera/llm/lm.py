@@ -1,8 +1,9 @@
 """Language-model scores: a smoothed unigram baseline and online logistic context mixing.
 
 1. Documents are cut into blocks of about ``BLOCK_BYTES`` as they are read and written once to the shared folder.
-2. The words of each block are counted; the corpus counts are their sums, and each block gets the counts of
-   its own words by a join, so no vocabulary is ever held as a whole.
+2. The words of each block are counted and dealt into shards by a hash of the word, one packed row for each block and
+   shard; a shard sums its words over all blocks and returns to each block the counts of that block's own words. So no
+   vocabulary is ever held as a whole, and a shard holds about the words of ``SHARD_BYTES`` of text.
 3. Each partition counts the nibbles of its training documents in every context. The tables, of a fixed size, are summed in
    groups of at most ``FAN_IN`` partitions, level by level, and turned into log odds.
 4. The weights of the mixer are learned online on the development part (1 in ``DEV`` of the training documents) with tables
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, TASK_BYTES, BATCH_BYTES, FAN_IN, DEV = 4 << 20, 8 << 20, 256 << 10, 64, 16
+BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BATCH_BYTES, FAN_IN, DEV = 4 << 20, 16 << 20, 8 << 20, 256 << 10, 64, 16
 _CELLS = 1 << 16
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -50,28 +51,53 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _block_words(batches):
-    """(block, word, n): the words of each block, n times in its training documents; a block's words come once per batch that has it."""
-    for batch in batches:
-        blocks: dict[int, Counter] = {}
-        for block, role, text in zip(batch.column("block").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
-            c = blocks.setdefault(block, Counter())
-            if role:
-                c.update(_words(text.as_py()))
-            else:
-                for w in set(_words(text.as_py())):
-                    c[w] += 0
-        for block, c in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(c), pa.int64()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["block", "word", "n"])
-
-
-def _bytes_of(batches):
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-            for b in word:
-                total[b] += n
-    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["h"])
+def _block_words(shards: int):
+    """(shard, block, words, counts): the words of each block, and how often its training documents have them. A block cut by the
+    reader comes in pieces."""
+
+    def rows(block: int, c: Counter) -> pa.RecordBatch:
+        dealt: dict[int, list[bytes]] = {}
+        for w in c:
+            dealt.setdefault(zlib.crc32(w) % shards, []).append(w)
+        words = [zlib.compress(b" ".join(ws), 1) for ws in dealt.values()]
+        counts = [zlib.compress(np.array([c[w] for w in ws], "<u4").tobytes(), 1) for ws in dealt.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "words", "counts"])
+
+    def run(batches):
+        at, c = None, Counter()
+        for batch in batches:
+            for block, role, text in zip(batch.column("block").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
+                if block != at:
+                    if c:
+                        yield rows(at, c)
+                    at, c = block, Counter()
+                words = _words(text.as_py())
+                c.update(words if role else dict.fromkeys(words, 0))
+        if c:
+            yield rows(at, c)
+
+    return run
+
+
+def _shard_totals(table: pa.Table) -> pa.Table:
+    """(block, words, counts) with the corpus counts of the words that training has; and a row without a block whose stats are
+    the shard's sum, number of words and histogram of bytes."""
+    total: dict[bytes, int] = {}
+    split = [zlib.decompress(x).split(b" ") for x in table.column("words").to_pylist()]
+    for words, raw in zip(split, table.column("counts").to_pylist()):
+        for w, n in zip(words, np.frombuffer(zlib.decompress(raw), "<u4").tolist()):
+            total[w] = total.get(w, 0) + n
+    blocks, out_words, out_counts = [], [], []
+    for block, words in zip(table.column("block").to_pylist(), split):
+        if known := [w for w in words if total[w]]:
+            blocks.append(block)
+            out_words.append(zlib.compress(b" ".join(known), 1))
+            out_counts.append(zlib.compress(np.array([total[w] for w in known], "<u8").tobytes(), 1))
+    seen = [w for w, n in total.items() if n]
+    n = np.array([total[w] for w in seen], np.int64)
+    hist = np.bincount(np.frombuffer(b"".join(seen), np.uint8), weights=np.repeat(n, [len(w) for w in seen]), minlength=256).astype(np.int64)
+    stats = [None] * len(blocks) + [[int(n.sum()), len(seen), *hist.tolist()]]
+    return pa.table({"block": pa.array([*blocks, None], pa.int64()), "words": pa.array([*out_words, None], pa.binary()), "counts": pa.array([*out_counts, None], pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
 
 
 def _streams(batches):
@@ -173,31 +199,36 @@ def _learn(rank: np.ndarray, bits: int, shared):
 
 def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int):
     floor = math.log10(train_tokens + 0.5 * (types + 1))
-    unseen, end = math.log10(0.5) - floor, math.log10(ends + 0.5) - floor
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        logs = np.log10(words.column("c").to_numpy() + 0.5) - floor
-        known = dict(zip(words.column("word").to_pylist(), logs.tolist()))
+        count_of: dict[bytes, int] = {}
+        for ws, raw in zip(words.column("words").to_pylist(), words.column("counts").to_pylist()):
+            count_of.update(zip(zlib.decompress(ws).split(b" "), np.frombuffer(zlib.decompress(raw), "<u8").tolist()))
         n_tokens, n_known, base, sizes, scores = [], [], [], [], []
-        streams, waiting = [], 0
+        streams, counts, waiting = [], [], 0
 
         def flush():
-            nonlocal streams, waiting
+            nonlocal streams, counts, waiting
             if streams:
-                scores.extend(M.score(M.Coded(streams, rank, bits), shared.value, w, apm).tolist())
-            streams, waiting = [], 0
-
+                c = np.array(counts, np.float64)
+                logs = np.log10(c + 0.5) - floor
+                head = np.concatenate([[0], np.cumsum(n_tokens[len(scores) :])[:-1]])
+                base.extend(np.add.reduceat(logs, head).tolist())
+                n_known.extend(np.add.reduceat((c > 0).astype(np.int64), head).tolist())
+                known = np.where(c > 0, logs * math.log(10), -np.inf)
+                scores.extend(M.score(M.Coded(streams, rank, bits), shared.value, w, apm, known, c).tolist())
+            streams, counts, waiting = [], [], 0
+
+        get = count_of.get
         for text in docs.column("text"):
-            t = text.as_py()
-            found = _words(t)
-            hits = [known[x] for x in found if x in known]
-            n_tokens.append(len(found) + 1)
-            n_known.append(len(hits) + (ends > 0))
-            base.append(math.fsum(hits) + unseen * (len(found) - len(hits)) + end)
-            sizes.append(len(text.as_buffer()) if text.is_valid else 0)
+            found = _words(text.as_py())
             s = b" ".join([*found, b""]) + b"\n"
             if waiting + len(s) > BATCH_BYTES:
                 flush()
+            n_tokens.append(len(found) + 1)
+            counts += [get(x, 0) for x in found]
+            counts.append(ends)
+            sizes.append(len(text.as_buffer()) if text.is_valid else 0)
             streams.append(s)
             waiting += len(s)
         flush()
@@ -224,14 +255,14 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("id", role.cast("int").alias("role"), "text")
     blocks = materialise(rows.mapInArrow(_cut, "block long, id long, role int, text string"), "blocks")
 
-    words = materialise(blocks.select("block", "role", "text").mapInArrow(_block_words, "block long, word binary, n long"), "words")
-    counts = materialise(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    ends = blocks.where("role > 0").count()
-    said = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    train_tokens, types = said["n"] + ends, said["v"] + (ends > 0)
-
-    hist = {r["b"]: r["n"] for r in counts.mapInArrow(_bytes_of, "h array<long>").select(F.posexplode("h").alias("b", "n")).groupBy("b").agg(F.sum("n").alias("n")).collect()}
-    hist[M.SPACE], hist[M.END] = said["n"], ends
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.when(F.col("role") > 0, 1)).alias("train")).first()
+    shards, ends = max(1, size["bytes"] // SHARD_BYTES), size["train"]
+    dealt = blocks.select("block", "role", "text").mapInArrow(_block_words(shards), "shard long, block long, words binary, counts binary")
+    words = materialise(dealt.groupBy("shard").applyInArrow(_shard_totals, "block long, words binary, counts binary, stats array<long>"), "words")
+    stats = words.where("block is null").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    stats = {r["k"]: r["x"] for r in stats}
+    train_tokens, types = stats.get(0, 0) + ends, stats.get(1, 0) + (ends > 0)
+    hist = {b: stats.get(2 + b, 0) for b in range(256)} | {M.SPACE: stats.get(0, 0), M.END: ends}
     rank = np.full(256, M.TOP, np.uint8)
     for k, b in enumerate(sorted(range(256), key=lambda b: (-hist.get(b, 0), b))[: M.TOP]):
         rank[b] = k
@@ -252,7 +283,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apm = flat[1 + w.size :].reshape(apm.shape)
     apm = M.refinement(apm)
 
-    own = words.select("block", "word").distinct().join(counts, "word").select("block", "word", "c")
+    own = words.where("block is not null").select("block", "words", "counts")
     shared = spark.sparkContext.broadcast(full)
     scorer = _score(rank, bits, shared, w, apm, train_tokens, types, ends)
     return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCHEMA)

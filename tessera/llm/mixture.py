@@ -6,15 +6,17 @@ of a nibble is predicted in the contexts of ``CONTEXTS``; a context's hash picks
 bits so far a cell within it, and the cell holds the log odds of a one as seen in training. The
 predictions are added with weights chosen by a gate (which nibble, which bit, how far into the word), then
 refined: the weights by an online step of the document's own after its first 1, 3, 7, 15 ... times
-``CHUNK`` bytes, and the outcome by a table from predicted to observed odds. The probabilities of each bit's two
-values add to one, so a text's is a proper probability.
+``CHUNK`` bytes, and the outcome by a table from predicted to observed odds. At last each word's probability is a mean
+of that of its bits and that of a unigram over known words, in shares that each document adapts (a Bayes mixture over
+``SHARES``, one for each kind of the word before). The probabilities of each bit's two values add to one, and
+so do the shares, so a text's is a proper probability.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CONTEXTS = ("order2", "order3", "order5", "pair")
+CONTEXTS = ("order2", "order3", "order5", "word")
 TOP, END, SPACE = 15, 10, 32
 BITS = 22  # cells of a context: 2 ** BITS
 CHUNK, RATE = 1024, 0.15
@@ -58,9 +60,9 @@ class Part:
 
 
 class Coded:
-    """The nibbles of some documents: parts[0] has one for each byte, parts[1] and parts[2] those after an escape; starts of the documents in bytes."""
+    """The nibbles of some documents: parts[0] has one for each byte, parts[1] and parts[2] those after an escape; starts of the documents and of their words and ends (heads) in bytes."""
 
-    __slots__ = ("parts", "starts")
+    __slots__ = ("heads", "parts", "starts")
 
     def __init__(self, streams: list[bytes], rank: np.ndarray, bits: int = BITS):
         s = np.frombuffer(b"".join(streams), np.uint8)
@@ -84,14 +86,11 @@ class Coded:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((s + np.uint64(1)) * up[:n], out=total[1:])
         prefix = (total[:n] - np.repeat(total[heads], lengths)) * np.repeat(down[heads], lengths)
-        whole = np.zeros(len(heads), np.uint64)  # of the word before, 0 for the first of a document
-        whole[1:] = (total[heads[1:]] - total[heads[:-1]]) * down[heads[:-1]]
-        whole[np.searchsorted(heads, first)] = 0
-        pair = (prefix + np.repeat(whole * _M64, lengths)) * _M64
+        self.heads = heads
         o2 = b[0] | b[1] << np.uint32(8)
         o3 = o2 | b[2] << np.uint32(16)
         o5 = (o3 | b[3] << np.uint32(24)) * np.uint32(0x85EBCA6B) + b[4] * np.uint32(0xC2B2AE35)
-        ctx = (o2, o3, o5, (pair >> np.uint64(32)).astype(np.uint32))
+        ctx = (o2, o3, o5, ((prefix * _M64) >> np.uint64(32)).astype(np.uint32))
         place = np.minimum(np.arange(n) - start, PLACES - 1).astype(np.uint8)
         code = rank[s]
         esc = np.flatnonzero(code == TOP)
@@ -196,14 +195,13 @@ def refinement(apm: np.ndarray) -> np.ndarray:
     return np.log((apm[:, 1] + 50 * p) / (apm[:, 0] + 50 * (1 - p))).astype(np.float32)
 
 
-def _run(part: Part, bounds: np.ndarray, tables, w, apm, own, out, grads) -> None:
-    """Adds to out (and grads, unless None) the sums of each document, whose nibbles lie between its bounds."""
+def _run(part: Part, bounds: np.ndarray, tables, w, apm, own, grads) -> np.ndarray:
+    """Natural logarithms of the nibbles' probabilities; adds to grads, unless None, the sums of each document, whose nibbles lie between its bounds."""
     size = np.diff(bounds)
     some = np.flatnonzero(size)
-    if not len(some):
-        return
     head = bounds[some]
     mine = None if own is None else [np.repeat(o, size) for o in own]
+    total = np.zeros(len(part.values), np.float32)
     for level in range(4):
         st, bit = _level(part, tables, level)
         z = _mix(st, w[level], part.gate, mine)
@@ -214,18 +212,19 @@ def _run(part: Part, bounds: np.ndarray, tables, w, apm, own, out, grads) -> Non
         np.exp(fine, out=fine)
         fine += _ONE
         np.log(fine, out=fine)
-        out[some] -= np.add.reduceat(fine, head, dtype=np.float64)
-        if grads is not None:
+        total -= fine
+        if grads is not None and len(some):
             err = bit - _ONE / (_ONE + np.exp(-z))
             for k in range(_K):
                 grads[k, some] += np.add.reduceat(err * st[k], head)
             grads[_K, some] += np.add.reduceat(err, head)
+    return total
 
 
-def score(coded: Coded, tables: list[np.ndarray], w: np.ndarray, apm: np.ndarray) -> np.ndarray:
-    """log10 of each document's probability; every document starts from the same weights and refines its own."""
+def byte_scores(coded: Coded, tables: list[np.ndarray], w: np.ndarray, apm: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each byte; every document starts from the same weights and refines its own."""
     starts, docs = coded.starts, len(coded.starts) - 1
-    size, out = np.diff(starts), np.zeros(docs)
+    size, out = np.diff(starts), np.zeros(starts[-1], np.float32)
     own = np.zeros((_K + 1, docs), np.float32)
     scale = np.array([1 / SCALE] * _K + [1.0], np.float32)[:, None]
     lo, turn = 0, 0
@@ -238,18 +237,38 @@ def score(coded: Coded, tables: list[np.ndarray], w: np.ndarray, apm: np.ndarray
             n = np.minimum(size[who], hi) - lo
             a = starts[who] + lo
             head = np.concatenate([[0], np.cumsum(n)])
-            sums, grads = np.zeros(len(who)), np.zeros((_K + 1, len(who)), np.float32) if goes_on else None
+            grads = np.zeros((_K + 1, len(who)), np.float32) if goes_on else None
             mine = own[:, who] if turn else None
             at = np.repeat(a - head[:-1], n) + np.arange(head[-1])
-            _run(coded.parts[0].pick(at), head, tables, w, apm, mine, sums, grads)
+            out[at] += _run(coded.parts[0].pick(at), head, tables, w, apm, mine, grads)
             for part in coded.parts[1:]:
                 left, right = np.searchsorted(part.at, a), np.searchsorted(part.at, a + n)
                 m = right - left
                 h = np.concatenate([[0], np.cumsum(m)])
                 if h[-1]:
-                    _run(part.pick(np.repeat(left - h[:-1], m) + np.arange(h[-1])), h, tables, w, apm, mine, sums, grads)
-            out[who] += sums
+                    own_part = part.pick(np.repeat(left - h[:-1], m) + np.arange(h[-1]))
+                    out[own_part.at] += _run(own_part, h, tables, w, apm, mine, grads)
             if goes_on:
                 own[:, who] += RATE * scale * scale * grads / n
         lo, turn = hi, turn + 1
-    return out / np.log(10)
+    return out
+
+
+SHARES = (0.02, 0.25, 0.7)
+KINDS_BEFORE = 4
+
+
+def score(coded: Coded, tables: list[np.ndarray], w: np.ndarray, apm: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 of each document's probability. known: for each word and end, the logarithm of its unigram probability, -inf
+    if it has none; counts: how often training has it. The kind of the word before is by its count: 0, under 16, under 1024, more."""
+    bits = np.add.reduceat(byte_scores(coded, tables, w, apm), coded.heads, dtype=np.float64)
+    docs = len(coded.starts) - 1
+    first = np.searchsorted(coded.heads, coded.starts[:-1])
+    kind = np.concatenate([[0], np.searchsorted([1, 16, 1024], counts[:-1], side="right")]).astype(np.int64)
+    kind[first] = KINDS_BEFORE - 1
+    cell = np.repeat(np.arange(docs), np.diff(np.concatenate([first, [len(bits)]]))) * KINDS_BEFORE + kind
+    gain = np.exp(np.clip(known - bits, -700, 700))  # of the unigram over the bits; the mean is bits + log(share * gain + 1 - share)
+    total = np.bincount(cell, weights=bits, minlength=docs * KINDS_BEFORE)
+    more = np.stack([np.bincount(cell, weights=np.log(s * gain + (1 - s)), minlength=docs * KINDS_BEFORE) for s in SHARES])
+    total += np.logaddexp.reduce(more, axis=0) - np.log(len(SHARES))
+    return total.reshape(docs, KINDS_BEFORE).sum(axis=1) / np.log(10)
