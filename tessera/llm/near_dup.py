@@ -8,8 +8,9 @@ table with probability about 2 * (1 - 0.75 ** ROWS) ** SIDE, 0.0005 at the defau
 Texts with equal sets are one class from the start. In each table a bucket is first compared with its
 smallest id only (a star). In buckets that this leaves in more than one component, members whose count of
 shingles found in no other document proves that they reach the threshold with nothing are done; the others are
-compared with the member that has the fewest such shingles (a second star), and what is still outside the
-bucket's largest component with all the rest. Thus a large group of copies costs its size times the number of
+compared with the member that has the fewest such shingles (a second star). What is still in different
+components is compared in blocks: members outside the largest component of a bucket with the members of all buckets of
+that component, by products of incidence matrices that return links alone. Thus a large group of copies costs its size times the number of
 tables, and no link between different components is skipped. Pairs must agree in size and in
 ``MIN_AGREE`` of the 40 minhashes (a pair at the threshold fails that with a probability of about 1e-8)
 before their sets are fetched and compared.
@@ -32,6 +33,8 @@ SIDE, ROWS, MIN_AGREE = 10, 2, 13
 BROADCAST_IDS = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 16
+#: Members of a block and shingles of a product in the last comparison.
+BLOCK, COLUMNS = 256, 8192
 _BYTES = 6
 
 
@@ -181,6 +184,51 @@ def _able(members: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(members.join(least, "key").where(100 * shared >= PER_CENT * (F.greatest("m", shared) + F.col("u"))), "able")
 
 
+def _cross(batches):
+    """(src, dst): the links between two blocks of members {id, c, s}, of different components c."""
+    for batch in batches:
+        src, dst = [], []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = x.as_py(), y.as_py()
+            left, right = ([_decode(r["s"]) for r in rows] for rows in (x, y))
+            nx, ny = (np.array([len(r) for r in rows]) for rows in (left, right))
+            fx, fy = np.concatenate(left), np.concatenate(right)
+            both = np.intersect1d(fx, fy)
+            same = np.zeros((len(x), len(y)), np.float32)
+            ox, oy = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny)
+            for k in range(0, len(both), COLUMNS):
+                part = both[k : k + COLUMNS]
+                grid = []
+                for flat, owner, n in ((fx, ox, len(x)), (fy, oy, len(y))):
+                    at = np.searchsorted(part, flat)
+                    at[at == len(part)] = 0
+                    hit = part[at] == flat
+                    m = np.zeros((n, len(part)), np.float32)
+                    m[owner[hit], at[hit]] = 1
+                    grid.append(m)
+                same += grid[0] @ grid[1].T
+            cx, cy = (np.array([r["c"] for r in rows]) for rows in (x, y))
+            i, j = np.nonzero((100 * same >= PER_CENT * (nx[:, None] + ny[None, :] - same)) & (cx[:, None] != cy[None, :]))
+            src += [x[k]["id"] for k in i]
+            dst += [y[k]["id"] for k in j]
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+
+def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(main, m): the rows (main, id, c) of each main component in blocks of about BLOCK members with their sets."""
+    count = materialise(rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "count")
+    rows = materialise(rows.join(count, "main").withColumn("b", F.pmod(F.xxhash64("id"), "blocks")), "dealt").join(sets, "id")
+    return materialise(rows.groupBy("main", "b").agg(F.collect_list(F.struct("id", "c", "s")).alias("m")).select("main", "m"), "packed")
+
+
+def _cross_links(parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between members outside the largest component of their bucket and all other members of such buckets, block by block; only links are returned."""
+    odd = _blocks(materialise(parts.where("c <> main").select("main", "id", "c").distinct(), "odd"), sets)
+    rest = _blocks(materialise(parts.select("main", "id", "c").distinct(), "rest"), sets)
+    met = odd.withColumnRenamed("m", "x").join(rest.withColumnRenamed("m", "y"), "main").select("x", "y")
+    return materialise(met.mapInArrow(_cross, "src long, dst long"), "links")
+
+
 def _in_parts(members: DataFrame, found: DataFrame) -> DataFrame:
     """The rows (key, id, ...) of buckets that lie in more than one component, with the member's (c) and the largest one (main)."""
     members = materialise(members.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id")), "members")
@@ -225,14 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     around = materialise(_agree(around.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), reps), "around")
     links = materialise(links.unionAll(_linked(around, sets)), "links")
     found = materialise(connected_components(links), "found")
-    # members outside the largest part of their bucket meet all others of it
-    rest = materialise(_in_parts(able, found), "parts")
-    side = lambda c: [F.col(x).alias(f"{x}{c}") for x in ("id", "c", "n", "u")]
-    most = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
-    meet = rest.where("c <> main").select("key", *side("a")).join(rest.select("key", "main", *side("b")), "key")
-    meet = meet.where((100 * most >= PER_CENT * (F.col("na") + F.col("nb") - most)) & F.expr("ca <> cb and (cb = main or ida < idb)"))
-    meet = materialise(_agree(meet.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct(), reps), "meet")
-    more = _linked(meet, sets)
+    more = _cross_links(materialise(_in_parts(able, found), "parts"), sets)
 
     groups = materialise(connected_components(links.unionAll(more).unionAll(copies)), "groups")
     known = signed.where("id is not null").select("id", "n").join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c"))
