@@ -1,6 +1,7 @@
 """Language-model scores: a smoothed unigram baseline and online logistic context mixing.
 
-1. Documents are cut into blocks of about ``BLOCK_BYTES`` as they are read and written once to the shared folder.
+1. Documents are cut into blocks of about ``BLOCK_BYTES`` as they are read and written once to the shared folder, a row for
+   each block with its documents' coded streams compressed together.
 2. The words of each block are counted and dealt into shards by a hash of the word, one packed row for each block and
    shard; a shard sums its words over all blocks and returns to each block the counts of that block's own words. So no
    vocabulary is ever held as a whole, and a shard holds about the words of ``SHARD_BYTES`` of text.
@@ -19,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,46 +37,62 @@ def _crc(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
+def _press(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _open(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+_BLOCK = "block long, ids array<long>, roles array<int>, sizes array<long>, streams binary"
+_KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+
+
 def _cut(batches):
-    part, block, size = TaskContext.get().partitionId() << 32, 0, 0
+    """One row per block: its documents' ids, roles (0 held out, 1 training, 2 development), sizes in bytes and streams."""
+    block, size, ids, roles, sizes, streams = TaskContext.get().partitionId() << 32, 0, [], [], [], []
+
+    def row():
+        values = (block, ids, roles, sizes, _press(b"".join(streams)))
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS)], [c.split()[0] for c in _BLOCK.split(", ")])
+
     for batch in batches:
-        marks = []
-        for text in batch.column("text"):
+        for i, role, text in zip(batch.column("id").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
             if size > BLOCK_BYTES:
-                block, size = block + 1, 0
-            marks.append(part + block)
-            size += len(text.as_buffer()) if text.is_valid else 0
-        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), *batch.columns], ["block", "id", "role", "text"])
+                yield row()
+                block, size, ids, roles, sizes, streams = block + 1, 0, [], [], [], []
+            s = M.stream_of(text.as_py())
+            ids.append(i)
+            roles.append(role)
+            sizes.append(len(text.as_buffer()) if text.is_valid else 0)
+            streams.append(s)
+            size += len(s)
+    if ids:
+        yield row()
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _documents(batch, k: int) -> list[bytes]:
+    """The streams of the documents of row k."""
+    return [x + b"\n" for x in _open(batch.column("streams")[k].as_py()).split(b"\n")[:-1]]
 
 
 def _block_words(shards: int):
-    """(shard, block, words, counts): the words of each block, and how often its training documents have them. A block cut by the
-    reader comes in pieces."""
-
-    def rows(block: int, c: Counter) -> pa.RecordBatch:
-        dealt: dict[int, list[bytes]] = {}
-        for w in c:
-            dealt.setdefault(zlib.crc32(w) % shards, []).append(w)
-        words = [zlib.compress(b" ".join(ws), 1) for ws in dealt.values()]
-        counts = [zlib.compress(np.array([c[w] for w in ws], "<u4").tobytes(), 1) for ws in dealt.values()]
-        return pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "words", "counts"])
+    """(shard, block, words, counts): the words of each block, and how often its training documents have them."""
 
     def run(batches):
-        at, c = None, Counter()
         for batch in batches:
-            for block, role, text in zip(batch.column("block").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
-                if block != at:
-                    if c:
-                        yield rows(at, c)
-                    at, c = block, Counter()
-                words = _words(text.as_py())
-                c.update(words if role else dict.fromkeys(words, 0))
-        if c:
-            yield rows(at, c)
+            for k, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
+                c: Counter = Counter()
+                for role, s in zip(roles, _documents(batch, k)):
+                    words = s.split()
+                    c.update(words if role else dict.fromkeys(words, 0))
+                dealt: dict[int, list[bytes]] = {}
+                for w in c:
+                    dealt.setdefault(zlib.crc32(w) % shards, []).append(w)
+                words = [_press(b" ".join(ws)) for ws in dealt.values()]
+                counts = [_press(np.array([c[w] for w in ws], "<u4").tobytes()) for ws in dealt.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "words", "counts"])
 
     return run
 
@@ -83,16 +101,16 @@ def _shard_totals(table: pa.Table) -> pa.Table:
     """(block, words, counts) with the corpus counts of the words that training has; and a row without a block whose stats are
     the shard's sum, number of words and histogram of bytes."""
     total: dict[bytes, int] = {}
-    split = [zlib.decompress(x).split(b" ") for x in table.column("words").to_pylist()]
+    split = [_open(x).split(b" ") for x in table.column("words").to_pylist()]
     for words, raw in zip(split, table.column("counts").to_pylist()):
-        for w, n in zip(words, np.frombuffer(zlib.decompress(raw), "<u4").tolist()):
+        for w, n in zip(words, np.frombuffer(_open(raw), "<u4").tolist()):
             total[w] = total.get(w, 0) + n
     blocks, out_words, out_counts = [], [], []
     for block, words in zip(table.column("block").to_pylist(), split):
         if known := [w for w in words if total[w]]:
             blocks.append(block)
-            out_words.append(zlib.compress(b" ".join(known), 1))
-            out_counts.append(zlib.compress(np.array([total[w] for w in known], "<u8").tobytes(), 1))
+            out_words.append(_press(b" ".join(known)))
+            out_counts.append(_press(np.array([total[w] for w in known], "<u8").tobytes()))
     seen = [w for w, n in total.items() if n]
     n = np.array([total[w] for w in seen], np.int64)
     hist = np.bincount(np.frombuffer(b"".join(seen), np.uint8), weights=np.repeat(n, [len(w) for w in seen]), minlength=256).astype(np.int64)
@@ -101,30 +119,40 @@ def _shard_totals(table: pa.Table) -> pa.Table:
 
 
 def _streams(batches):
-    """Lists of (role, stream) of about BATCH_BYTES, one role in each."""
+    """Lists of (role, streams) of about BATCH_BYTES, one role in each, of the training documents."""
     waiting: dict[int, list[bytes]] = {}
     sizes: Counter = Counter()
     for batch in batches:
-        for role, text in zip(batch.column("role").to_pylist(), batch.column("text")):
-            s = M.stream_of(text.as_py())
-            waiting.setdefault(role, []).append(s)
-            sizes[role] += len(s)
-            if sizes[role] >= BATCH_BYTES:
-                yield role, waiting.pop(role)
-                sizes[role] = 0
+        for k, roles in enumerate(batch.column("roles").to_pylist()):
+            for role, s in zip(roles, _documents(batch, k)):
+                if role:
+                    waiting.setdefault(role, []).append(s)
+                    sizes[role] += len(s)
+                    if sizes[role] >= BATCH_BYTES:
+                        yield role, waiting.pop(role)
+                        sizes[role] = 0
     yield from waiting.items()
 
 
+def _development(batches):
+    """(block, k, stream): the k-th document of each block, if it is for development."""
+    for batch in batches:
+        for row, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
+            found = [(k, s) for k, (role, s) in enumerate(zip(roles, _documents(batch, row))) if role == 2]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["block", "k", "stream"])
+
+
 def _pack(cells: np.ndarray) -> bytes:
     at = np.flatnonzero(cells)
-    return zlib.compress(at.astype("<u2").tobytes() + cells[at].astype("<u8").tobytes(), 1)
+    wide = "<u4" if cells.max(initial=0) < 1 << 32 else "<u8"
+    return wide[2:].encode() + _press(at.astype("<u2").tobytes() + cells[at].astype(wide).tobytes())
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    raw = zlib.decompress(raw)
-    n = len(raw) // 10
+    wide, raw = int(raw[:1]), _open(raw[1:])
+    n = len(raw) // (2 + wide)
     out = np.zeros(_CELLS, np.uint64)
-    out[np.frombuffer(raw[: 2 * n], "<u2")] = np.frombuffer(raw[2 * n :], "<u8")
+    out[np.frombuffer(raw[: 2 * n], "<u2")] = np.frombuffer(raw[2 * n :], f"<u{wide}")
     return out
 
 
@@ -156,7 +184,7 @@ def _odds(table: pa.Table) -> pa.Table:
     parts = {r: _unpack(b) for r, b in zip(table.column("role").to_pylist(), table.column("blob").to_pylist())}
     none = np.zeros(_CELLS, np.uint64)
     main = parts.get(1, none)
-    blobs = [zlib.compress(M.odds(x).tobytes(), 1) for x in (main, main + parts.get(2, none))]
+    blobs = [_press(M.odds(x).tobytes()) for x in (main, main + parts.get(2, none))]
     return pa.table({"k": table.column("k").slice(0, 1), "c": table.column("c").slice(0, 1), "main": pa.array(blobs[:1], pa.binary()), "full": pa.array(blobs[1:], pa.binary())})
 
 
@@ -172,7 +200,7 @@ def _tables(counted: DataFrame, bits: int) -> tuple[list[np.ndarray], list[np.nd
     out = ([np.zeros(1 << bits, np.int8) for _ in M.CONTEXTS], [np.zeros(1 << bits, np.int8) for _ in M.CONTEXTS])
     for r in rows:
         for tables, blob in zip(out, (r["main"], r["full"])):
-            cells = np.frombuffer(zlib.decompress(blob), np.int8)
+            cells = np.frombuffer(_open(blob), np.int8)
             own = tables[r["k"]][r["c"] * _CELLS : (r["c"] + 1) * _CELLS]
             own[:] = cells[: len(own)]
     return out
@@ -185,10 +213,18 @@ def _learn(rank: np.ndarray, bits: int, shared):
         tables = shared.value
         w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))
         squares = np.zeros(w.shape)
-        kept = [s for _, streams in _streams(batches) for s in [streams]]
+        kept, size = [[]], 0
+        for batch in batches:
+            for s in batch.column("stream").to_pylist():
+                if size > BATCH_BYTES:
+                    kept.append([])
+                    size = 0
+                kept[-1].append(s)
+                size += len(s)
         for calibrate in (False, True):
             for streams in kept:
-                M.learn(M.Coded(streams, rank, bits), tables, w, squares, apm, calibrate)
+                if streams:
+                    M.learn(M.Coded(streams, rank, bits), tables, w, squares, apm, calibrate)
         n = sum(len(x) for streams in kept for x in streams)
         x = np.concatenate([[n], w.astype(np.float64).ravel() * n, apm.ravel()])
         if n:
@@ -203,7 +239,7 @@ def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int)
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         count_of: dict[bytes, int] = {}
         for ws, raw in zip(words.column("words").to_pylist(), words.column("counts").to_pylist()):
-            count_of.update(zip(zlib.decompress(ws).split(b" "), np.frombuffer(zlib.decompress(raw), "<u8").tolist()))
+            count_of.update(zip(_open(ws).split(b" "), np.frombuffer(_open(raw), "<u8").tolist()))
         n_tokens, n_known, base, sizes, scores = [], [], [], [], []
         streams, counts, waiting = [], [], 0
 
@@ -220,21 +256,23 @@ def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int)
             streams, counts, waiting = [], [], 0
 
         get = count_of.get
-        for text in docs.column("text"):
-            found = _words(text.as_py())
-            s = b" ".join([*found, b""]) + b"\n"
-            if waiting + len(s) > BATCH_BYTES:
-                flush()
-            n_tokens.append(len(found) + 1)
-            counts += [get(x, 0) for x in found]
-            counts.append(ends)
-            sizes.append(len(text.as_buffer()) if text.is_valid else 0)
-            streams.append(s)
-            waiting += len(s)
+        ids, roles = [], []
+        for k in range(docs.num_rows):
+            ids += docs.column("ids")[k].as_py()
+            roles += docs.column("roles")[k].as_py()
+            sizes += docs.column("sizes")[k].as_py()
+            for s in _documents(docs, k):
+                found = s.split()
+                if waiting + len(s) > BATCH_BYTES:
+                    flush()
+                n_tokens.append(len(found) + 1)
+                counts += [get(x, 0) for x in found]
+                counts.append(ends)
+                streams.append(s)
+                waiting += len(s)
         flush()
         bits_a_byte = [-x * math.log2(10) / max(1, n) for x, n in zip(scores, sizes)]
-        roles = docs.column("role").to_pylist()
-        return pa.table([docs.column("id"), pa.array([r == 0 for r in roles]), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(roles), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(bits_a_byte, pa.float64())], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+        return pa.table([pa.array(ids, pa.int64()), pa.array([r == 0 for r in roles]), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(roles), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(bits_a_byte, pa.float64())], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return run
 
@@ -253,11 +291,12 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     role = F.when(F.expr("c % 5") == 1, 0).when(F.expr(f"c div 5 % {DEV}") == 0, 2).otherwise(1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), crc.alias("c"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", role.cast("int").alias("role"), "text")
-    blocks = materialise(rows.mapInArrow(_cut, "block long, id long, role int, text string"), "blocks")
+    blocks = materialise(rows.mapInArrow(_cut, _BLOCK), "blocks")
 
-    size = blocks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count(F.when(F.col("role") > 0, 1)).alias("train")).first()
+    summed = lambda c, f: F.coalesce(F.sum(F.aggregate(c, F.lit(0).cast("long"), f)), F.lit(0))
+    size = blocks.agg(summed("sizes", lambda a, x: a + x).alias("bytes"), summed("roles", lambda a, x: a + (x > 0).cast("long")).alias("train")).first()
     shards, ends = max(1, size["bytes"] // SHARD_BYTES), size["train"]
-    dealt = blocks.select("block", "role", "text").mapInArrow(_block_words(shards), "shard long, block long, words binary, counts binary")
+    dealt = blocks.select("block", "roles", "streams").mapInArrow(_block_words(shards), "shard long, block long, words binary, counts binary")
     words = materialise(dealt.groupBy("shard").applyInArrow(_shard_totals, "block long, words binary, counts binary, stats array<long>"), "words")
     stats = words.where("block is null").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
     stats = {r["k"]: r["x"] for r in stats}
@@ -267,13 +306,12 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k, b in enumerate(sorted(range(256), key=lambda b: (-hist.get(b, 0), b))[: M.TOP]):
         rank[b] = k
 
-    train = blocks.where("role > 0").select("role", "text")
-    counted = materialise(train.mapInArrow(_count(rank, bits), "p long, role int, k int, c int, blob binary"), "counted")
+    counted = materialise(blocks.select("roles", "streams").mapInArrow(_count(rank, bits), "p long, role int, k int, c int, blob binary"), "counted")
     main, full = _tables(counted, bits)
 
-    dev = blocks.where("role = 2")
-    tasks = max(1, (dev.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TASK_BYTES)
-    dealt = dev.repartition(tasks, "block", "id").sortWithinPartitions("block", "id", F.xxhash64("text")).select("role", "text")
+    dev = materialise(blocks.select("block", "roles", "streams").mapInArrow(_development, "block long, k long, stream binary"), "development")
+    tasks = max(1, (dev.agg(F.sum(F.octet_length("stream"))).first()[0] or 0) // TASK_BYTES)
+    dealt = dev.repartition(tasks, "block", "k").sortWithinPartitions("block", "k").select("stream")
     shared = spark.sparkContext.broadcast(main)
     x = dealt.mapInArrow(_learn(rank, bits, shared), "x array<double>").select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
     w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))

@@ -103,14 +103,14 @@ class Coded:
                 h = h * _M32 + np.uint32(0x7FEB352D * (k + 1) & 0xFFFFFFFF)
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0x846CA68B)
-                out.append((h >> shift).astype(np.int32) << 4)
+                out.append((h >> shift).astype(np.int64) << 4)
             return out
 
         high, low = s[esc] >> 4, s[esc] & 15
         self.parts = [
-            Part(code, place, slots(None, np.uint32(0)), None),
-            Part(high, place[esc] + np.uint8(PLACES), slots(esc, np.uint32(0x3C6EF372)), esc),
-            Part(low, place[esc] + np.uint8(2 * PLACES), slots(esc, (high.astype(np.uint32) + np.uint32(1)) * np.uint32(0x1B873593)), esc),
+            Part(code, place.astype(np.int64), slots(None, np.uint32(0)), None),
+            Part(high, place[esc].astype(np.int64) + PLACES, slots(esc, np.uint32(0x3C6EF372)), esc),
+            Part(low, place[esc].astype(np.int64) + 2 * PLACES, slots(esc, (high.astype(np.uint32) + np.uint32(1)) * np.uint32(0x1B873593)), esc),
         ]
 
 
@@ -118,7 +118,7 @@ def count(coded: Coded, tables: list[np.ndarray]) -> None:
     """Adds the nibbles to the counts of each context."""
     for part in coded.parts:
         for table, slot in zip(tables, part.slots):
-            cells = np.sort(slot + part.values)
+            cells = np.sort((slot + part.values).astype(np.int32))
             edge = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else cells
             table[cells[edge]] += np.diff(np.concatenate([edge, [len(cells)]])).astype(table.dtype) if len(cells) else 0
 
@@ -142,7 +142,7 @@ def start_weights() -> np.ndarray:
 
 def _level(part: Part, tables: list[np.ndarray], level: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(predictions in int8 of each context, bits) of one bit of the nibbles."""
-    node = (part.values >> (4 - level)).astype(np.int32)
+    node = (part.values >> (4 - level)).astype(np.int64)
     node += 1 << level
     return [t.take(s + node) for t, s in zip(tables, part.slots)], part.values >> (3 - level) & 1
 
@@ -164,7 +164,9 @@ def _cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
     at = z * np.float32(2)
     np.clip(at, -16, 16, out=at)
     at += np.float32(16.5)
-    return at.astype(np.int32) + gate * np.int32(BUCKETS)
+    cell = at.astype(np.int64)
+    cell += gate * BUCKETS
+    return cell
 
 
 def learn(coded: Coded, tables: list[np.ndarray], w: np.ndarray, squares: np.ndarray, apm: np.ndarray, calibrate: bool) -> None:
@@ -172,7 +174,7 @@ def learn(coded: Coded, tables: list[np.ndarray], w: np.ndarray, squares: np.nda
     for whole in coded.parts:
         for a in range(0, len(whole.values), 32_768):
             part = whole.pick(slice(a, a + 32_768))
-            gate = part.gate.astype(np.int64)
+            gate = part.gate
             n = np.maximum(np.bincount(gate, minlength=GATES), 64)
             for level in range(4):
                 st, bit = _level(part, tables, level)
