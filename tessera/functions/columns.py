@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whole-word keyword alternatives of each flag.
 KEYWORDS = {
@@ -49,7 +50,7 @@ def token_prefix(a: Column, b: Column) -> Column:
     return F.coalesce(F.when((a != "") & (b != ""), found), F.lit(False))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; 0 for a null or blank side, 1 for equal names."""
     ratio = lambda x, y: 0.0 if not x or not y else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 
 
-def label_maturity(leads: DataFrame, stages: DataFrame, export: Column, days: int = 30, stage: str = "Admission Done", only_mature: bool = True) -> DataFrame:
+def label_maturity(leads: DataFrame, stages: DataFrame, export: Column, days: int = 30, stage: str = "Admission Done", only_mature: bool = True, key: str = "lead_id") -> DataFrame:
     """(lead_id, created_at, t, target[, is_mature]): target 1 if the stage came within days of creation, ends included.
 
     A lead is mature if it was created days or more before the export.
     """
-    won = stages.where(F.col("stage") == stage).select("lead_id", "changed_at")
-    hit = leads.join(won, (leads["lead_id"] == won["lead_id"]) & (won["changed_at"] >= leads["created_at"]) & (won["changed_at"] <= leads["created_at"] + F.expr(f"INTERVAL {days} DAYS")), "left_semi").select("lead_id", F.lit(1).alias("_hit")).distinct()
+    won = stages.where(F.col("stage") == stage).select(F.col(key).alias("_key"), "changed_at")
+    hit = leads.join(won, (leads[key] == won["_key"]) & (won["changed_at"] >= leads["created_at"]) & (won["changed_at"] <= leads["created_at"] + F.expr(f"INTERVAL {days} DAYS")), "left_semi").select("lead_id", F.lit(1).alias("_hit")).distinct()
     out = leads.join(hit, "lead_id", "left").select("lead_id", "created_at", C.scoring_moment(F.col("created_at")).alias("t"), F.coalesce("_hit", F.lit(0)).alias("target"), (F.col("created_at") <= export - F.expr(f"INTERVAL {days} DAYS")).alias("is_mature"))
     return out.where("is_mature").drop("is_mature") if only_mature else out
 
 
-def target_vector(leads: DataFrame, stages: DataFrame, days: int = 30, stage: str = "Admission Done") -> DataFrame:
+def target_vector(leads: DataFrame, stages: DataFrame, days: int = 30, stage: str = "Admission Done", key: str = "lead_id") -> DataFrame:
     """(lead_id, target) of all leads, mature or not."""
-    return label_maturity(leads, stages, F.current_timestamp(), days, stage, only_mature=False).select("lead_id", "target")
+    return label_maturity(leads, stages, F.current_timestamp(), days, stage, False, key).select("lead_id", "target")
 
 
 def time_split(df: DataFrame, hidden_start: str, weeks: int = 4, calibration: float = 0.20, created: str = "created_at") -> DataFrame:

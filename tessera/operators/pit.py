@@ -16,18 +16,22 @@ COUNT_DEFAULTS = {"inbound_msg_count_before_t": 0, "outbound_msg_count_before_t"
 LATENCIES = ("mins_to_first_lead_reply_after_assistant", "mins_to_first_counselor_call")
 
 
-def in_window(spine: DataFrame, events: DataFrame, ts: str, hours: int = 24) -> DataFrame:
-    """Events of each lead from its creation on and before the scoring moment: an equality join with a range residue."""
-    s = spine.select(F.col("lead_id"), F.col("created_at").alias("_from"), (F.col("created_at") + F.expr(f"INTERVAL {hours} HOURS")).alias("_to"))
-    return events.join(s, (events["lead_id"] == s["lead_id"]) & (events[ts] >= s["_from"]) & (events[ts] < s["_to"])).drop(s["lead_id"])
+def in_window(spine: DataFrame, events: DataFrame, ts: str, hours: int = 24, key: str = "lead_id") -> DataFrame:
+    """Events of each lead from its creation on and before the scoring moment: an equality join with a range residue.
+
+    Events carry the key; with another key than the lead's id an event can fall into several leads' windows.
+    """
+    s = spine.select(F.col("lead_id").alias("_lead"), F.col(key).alias("_key"), F.col("created_at").alias("_from"), (F.col("created_at") + F.expr(f"INTERVAL {hours} HOURS")).alias("_to"))
+    got = events.join(s, (events[key] == s["_key"]) & (events[ts] >= s["_from"]) & (events[ts] < s["_to"]))
+    return got.withColumn("lead_id", F.col("_lead")).drop("_lead", "_key")
 
 
-def message_features(spine: DataFrame, messages: DataFrame, keywords: dict = C.KEYWORDS, order: str = "sent_at") -> DataFrame:
+def message_features(spine: DataFrame, messages: DataFrame, keywords: dict = C.KEYWORDS, order: str = "sent_at", key: str = "lead_id") -> DataFrame:
     """Counts, mean length, reply latency and keyword flags of the window's messages; leads without any are absent.
 
     One shuffle: the reply's reference, the first assistant message, is a window minimum over the same key.
     """
-    m = in_window(spine, messages, "sent_at")
+    m = in_window(spine, messages, "sent_at", key=key)
     of_lead = (F.col("direction") == "inbound") & (F.col("sender_type") == "lead")
     first = F.min(F.when((F.col("direction") == "outbound") & (F.col("sender_type") == "assistant"), F.col("sent_at"))).over(W.partitionBy("lead_id"))
     m = m.withColumn("_first", first)
@@ -43,9 +47,9 @@ def message_features(spine: DataFrame, messages: DataFrame, keywords: dict = C.K
     return out.select("lead_id", "inbound_msg_count_before_t", "outbound_msg_count_before_t", F.coalesce("mean_msg_len_before_t", F.lit(0.0)).alias("mean_msg_len_before_t"), "mins_to_first_lead_reply_after_assistant", (F.trim("_text") != "").cast("int").alias("has_inbound_text_before_t"), *flags)
 
 
-def call_features(spine: DataFrame, calls: DataFrame) -> DataFrame:
+def call_features(spine: DataFrame, calls: DataFrame, key: str = "lead_id") -> DataFrame:
     """Attempts, answers and minutes to the first call in the window; negative and null durations don't count."""
-    c = in_window(spine, calls.where("duration_sec >= 0"), "started_at")
+    c = in_window(spine, calls.where("duration_sec >= 0"), "started_at", key=key)
     return c.groupBy("lead_id").agg(F.count("*").alias("calls_attempted_before_t"), F.count(F.when(F.col("outcome") == "answered", 1)).alias("calls_answered_before_t"), F.min(C.minutes_between(F.col("_from"), F.col("started_at"))).alias("mins_to_first_counselor_call"))
 
 
@@ -78,12 +82,12 @@ def earlier_enquiries(leads: DataFrame, clusters: DataFrame) -> DataFrame:
     return leads.select("lead_id", "created_at").join(clusters.select("lead_id", "cluster_id"), "lead_id").select("lead_id", (F.row_number().over(w) - 1).alias("earlier_enquiries_count"))
 
 
-def feature_matrix(leads: DataFrame, messages: DataFrame, calls: DataFrame, localities: DataFrame | None = None, distances: list[str] | None = None, keywords: dict = C.KEYWORDS, clusters: DataFrame | None = None, fill_latencies: bool = True, present: list[str] = (), missing: list[str] = ()) -> DataFrame:
+def feature_matrix(leads: DataFrame, messages: DataFrame, calls: DataFrame, localities: DataFrame | None = None, distances: list[str] | None = None, keywords: dict = C.KEYWORDS, clusters: DataFrame | None = None, fill_latencies: bool = True, present: list[str] = (), missing: list[str] = (), key: str = "lead_id") -> DataFrame:
     """One row per lead with all blocks; counts without events are 0, latencies -1 (if filled), and nothing forbidden or personal."""
     out = leads.join(calendar_features(leads), "lead_id")
     if present or missing:
         out = out.join(presence_flags(leads, list(present), list(missing)), "lead_id")
-    out = out.join(message_features(leads, messages, keywords), "lead_id", "left").join(call_features(leads, calls), "lead_id", "left")
+    out = out.join(message_features(leads, messages, keywords, key=key), "lead_id", "left").join(call_features(leads, calls, key), "lead_id", "left")
     if localities is not None:
         out = out.join(locality_features(leads, localities, distances), "lead_id", "left")
     if clusters is not None:
@@ -95,9 +99,9 @@ def feature_matrix(leads: DataFrame, messages: DataFrame, calls: DataFrame, loca
     return validate.none_of(out, FORBIDDEN | PERSONAL)
 
 
-def lead_text(spine: DataFrame, messages: DataFrame, most: int = 512, mode: str = "head") -> DataFrame:
+def lead_text(spine: DataFrame, messages: DataFrame, most: int = 512, mode: str = "head", key: str = "lead_id") -> DataFrame:
     """(lead_id, text, has_text): the lead's own masked messages of the window by time, blanks left out, one a line, cut to tokens."""
-    m = in_window(spine, messages.where("direction = 'inbound' and sender_type = 'lead'"), "sent_at").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    m = in_window(spine, messages.where("direction = 'inbound' and sender_type = 'lead'"), "sent_at", key=key).where(F.trim(F.coalesce("text", F.lit(""))) != "")
     line = F.struct("sent_at", "message_id", C.mask_contacts(F.trim("text")).alias("t"))
     joined = m.groupBy("lead_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("text"))
     out = spine.select("lead_id").join(joined, "lead_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
