@@ -128,16 +128,16 @@ def calibrator(name: str, scored: DataFrame) -> Platt | Isotonic:
 
 def fit_pca(train: DataFrame, vector: str = "embedding", k: int = 16):
     """A centred PCA fitted on rows that have a vector; fewer than k rows are an error."""
-    x = train.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    x = train.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("_vec"))
     if x.limit(k).count() < k:
         raise ValueError(f"at least {k} rows are needed")
-    return Pipeline(stages=[StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False), PCA(k=k, inputCol="c", outputCol="z")]).fit(x)
+    return Pipeline(stages=[StandardScaler(inputCol="_vec", outputCol="_centred", withMean=True, withStd=False), PCA(k=k, inputCol="_centred", outputCol="_axes")]).fit(x)
 
 
 def pca_columns(df: DataFrame, fitted, vector: str = "embedding", k: int = 16) -> DataFrame:
     """text_pca_NN columns; rows without a vector get zeros."""
-    has = df.where(F.col(vector).isNotNull()).withColumn("v", array_to_vector(F.col(vector).cast("array<double>")))
-    z = vector_to_array("z")
+    has = df.where(F.col(vector).isNotNull()).withColumn("_vec", array_to_vector(F.col(vector).cast("array<double>")))
+    z = vector_to_array("_axes")
     names = [f"text_pca_{i:02d}" for i in range(k)]
     out = fitted.transform(has).select(*df.columns, *[z[i].alias(n) for i, n in enumerate(names)])
     return out.unionByName(df.where(F.col(vector).isNull()).select("*", *[F.lit(0.0).alias(n) for n in names]))
