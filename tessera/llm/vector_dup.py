@@ -118,6 +118,7 @@ def _forest(i: np.ndarray, j: np.ndarray) -> list[int]:
             k = p
         return k
 
+    out = []
     for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
         if (ra := root(a)) != (rb := root(b)):
             up[max(ra, rb)] = min(ra, rb)
