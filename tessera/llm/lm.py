@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BATCH_BYTES, FAN_IN, DEV = 4 << 20, 16 << 20, 8 << 20, 256 << 10, 64, 16
+BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BATCH_BYTES, FAN_IN, DEV = 16 << 20, 16 << 20, 8 << 20, 256 << 10, 64, 16
 _CELLS = 1 << 16
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 

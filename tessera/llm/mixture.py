@@ -19,7 +19,7 @@ import numpy as np
 CONTEXTS = ("order2", "order3", "order5", "word")
 TOP, END, SPACE = 15, 10, 32
 BITS = 22  # cells of a context: 2 ** BITS
-CHUNK, RATE = 1024, 0.15
+CHUNK, RATE = 2048, 0.15
 SCALE, LIMIT, PRIOR = 16.0, 7.9, 0.4
 PLACES, GATES = 4, 12  # 3 nibbles by 4 places in the word
 BUCKETS = 33
