@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXTS = ("order2", "order3", "order5", "word")
+CONTEXTS = ("order3", "order5", "word")
 TOP, END, SPACE = 15, 10, 32
 BITS = 22  # cells of a context: 2 ** BITS
 CHUNK, RATE = 2048, 0.15
@@ -90,7 +90,7 @@ class Coded:
         o2 = b[0] | b[1] << np.uint32(8)
         o3 = o2 | b[2] << np.uint32(16)
         o5 = (o3 | b[3] << np.uint32(24)) * np.uint32(0x85EBCA6B) + b[4] * np.uint32(0xC2B2AE35)
-        ctx = (o2, o3, o5, ((prefix * _M64) >> np.uint64(32)).astype(np.uint32))
+        ctx = (o3, o5, ((prefix * _M64) >> np.uint64(32)).astype(np.uint32))
         place = np.minimum(np.arange(n) - start, PLACES - 1).astype(np.uint8)
         code = rank[s]
         esc = np.flatnonzero(code == TOP)
