@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -84,12 +84,13 @@ def _block_words(shards: int):
         for batch in batches:
             for k, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
                 c: Counter = Counter()
+                held: set[bytes] = set()
                 for role, s in zip(roles, _documents(batch, k)):
-                    words = s.split()
-                    c.update(words if role else dict.fromkeys(words, 0))
-                dealt: dict[int, list[bytes]] = {}
+                    (c if role else held).update(s.split())
+                c.update(dict.fromkeys(held.difference(c), 0))
+                dealt: dict[int, list[bytes]] = defaultdict(list)
                 for w in c:
-                    dealt.setdefault(zlib.crc32(w) % shards, []).append(w)
+                    dealt[zlib.crc32(w) % shards].append(w)
                 words = [_press(b" ".join(ws)) for ws in dealt.values()]
                 counts = [_press(np.array([c[w] for w in ws], "<u4").tobytes()) for ws in dealt.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "words", "counts"])
@@ -106,11 +107,15 @@ def _shard_totals(table: pa.Table) -> pa.Table:
         for w, n in zip(words, np.frombuffer(_open(raw), "<u4").tolist()):
             total[w] = total.get(w, 0) + n
     blocks, out_words, out_counts = [], [], []
-    for block, words in zip(table.column("block").to_pylist(), split):
-        if known := [w for w in words if total[w]]:
+    for block, words, packed in zip(table.column("block").to_pylist(), split, table.column("words").to_pylist()):
+        n = np.array(list(map(total.__getitem__, words)), "<u8")
+        if not n.all():
+            words, n = [w for w, k in zip(words, n.tolist()) if k], n[n > 0]
+            packed = _press(b" ".join(words))
+        if words:
             blocks.append(block)
-            out_words.append(_press(b" ".join(known)))
-            out_counts.append(_press(np.array([total[w] for w in known], "<u8").tobytes()))
+            out_words.append(packed)
+            out_counts.append(_press(n.tobytes()))
     seen = [w for w, n in total.items() if n]
     n = np.array([total[w] for w in seen], np.int64)
     hist = np.bincount(np.frombuffer(b"".join(seen), np.uint8), weights=np.repeat(n, [len(w) for w in seen]), minlength=256).astype(np.int64)
@@ -233,11 +238,19 @@ def _learn(rank: np.ndarray, bits: int, shared):
     return run
 
 
+class _Counts(dict):
+    """Counts of words; an unknown one has 0, and is remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = 0
+        return 0
+
+
 def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int):
     floor = math.log10(train_tokens + 0.5 * (types + 1))
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        count_of: dict[bytes, int] = {}
+        count_of = _Counts()
         for ws, raw in zip(words.column("words").to_pylist(), words.column("counts").to_pylist()):
             count_of.update(zip(_open(ws).split(b" "), np.frombuffer(_open(raw), "<u8").tolist()))
         n_tokens, n_known, base, sizes, scores = [], [], [], [], []
@@ -255,7 +268,7 @@ def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int)
                 scores.extend(M.score(M.Coded(streams, rank, bits), shared.value, w, apm, known, c).tolist())
             streams, counts, waiting = [], [], 0
 
-        get = count_of.get
+        look_up = count_of.__getitem__
         ids, roles = [], []
         for k in range(docs.num_rows):
             ids += docs.column("ids")[k].as_py()
@@ -266,7 +279,7 @@ def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int)
                 if waiting + len(s) > BATCH_BYTES:
                     flush()
                 n_tokens.append(len(found) + 1)
-                counts += [get(x, 0) for x in found]
+                counts.extend(map(look_up, found))
                 counts.append(ends)
                 streams.append(s)
                 waiting += len(s)
