@@ -60,6 +60,20 @@ def _vectors(spark, df_rows: DataFrame, n_lines: DataFrame) -> tuple[DataFrame,
     return idf, tf.join(norm, "template").select("template", "licence", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("weight"))
 
 
+def _able(lines: DataFrame, idf: DataFrame, vocab: Column) -> DataFrame:
+    """The lines whose cosine can reach LEAST: it is at most the share of the templates' terms in the line's length, where
+    n other terms add at least n times the square of the unseen idf. The idf table is as long as the vocabulary, so it comes as a literal."""
+    rows = idf.collect()
+    of = F.create_map(*[F.lit(x) for r in rows for x in (r["term"], float(r["idf"]))])
+    u = float(rows[0]["unseen"])
+    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    found = F.transform(F.array_intersect("w", vocab), lambda t: F.struct(count(t).alias("n"), (count(t) * of[t]).alias("x")))
+    inside = F.aggregate("found", F.lit(0.0), lambda a, x: a + x["x"] * x["x"])
+    others = F.size("w") - F.aggregate("found", F.lit(0), lambda a, x: a + x["n"])
+    lines = lines.withColumn("found", found).withColumn("inside", inside).withColumn("others", others)
+    return materialise(lines.where(F.col("inside") >= (LEAST - 1e-6) ** 2 * (F.col("inside") + F.col("others") * u * u)).drop("found", "inside", "others"), "able")
+
+
 def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(doc_id, path, licence, score, via, from_dir), one row per input row.
 
@@ -69,7 +83,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     id, path and text are each returned. Only three columns are read; an empty table gives no rows.
 
     Rows are told apart by a hash of path, id and text, so nothing depends on the order of partitions. Lines without
-    a template term, whose cosine is 0, go before anything is shuffled.
+    a template term, whose cosine is 0, and then those too long for their template terms, go before anything is shuffled.
     """
     spark = files.sparkSession
     vocab = F.array(*[F.lit(t) for t in vocabulary()])
@@ -84,6 +98,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     df_rows = own.select(F.explode(F.array_intersect("w", vocab)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf, templates = _vectors(spark, materialise(df_rows, "df"), n_lines)
     idf, templates = materialise(idf, "idf"), materialise(templates, "templates")
+    own = _able(own, idf, vocab)
     terms = own.distinct().select("row", "line", "lines", F.explode("w").alias("term")).groupBy("row", "line", "lines", "term").agg(F.count("*").alias("tf"))
     weighted = terms.join(F.broadcast(idf), "term", "left")
     unseen = F.broadcast(idf.agg(F.max("unseen").alias("u")))
