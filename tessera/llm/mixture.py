@@ -118,9 +118,7 @@ def count(coded: Coded, tables: list[np.ndarray]) -> None:
     """Adds the nibbles to the counts of each context."""
     for part in coded.parts:
         for table, slot in zip(tables, part.slots):
-            cells = np.sort((slot + part.values).astype(np.int32))
-            edge = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else cells
-            table[cells[edge]] += np.diff(np.concatenate([edge, [len(cells)]])).astype(table.dtype) if len(cells) else 0
+            np.add.at(table, slot + part.values, table.dtype.type(1))
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
