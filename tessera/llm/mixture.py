@@ -103,7 +103,7 @@ class Coded:
                 h = h * _M32 + np.uint32(0x7FEB352D * (k + 1) & 0xFFFFFFFF)
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0x846CA68B)
-                out.append((h >> shift).astype(np.int64) << 4)
+                out.append((h >> shift).astype(np.int64))
             return out
 
         high, low = s[esc] >> 4, s[esc] & 15
@@ -118,7 +118,7 @@ def count(coded: Coded, tables: list[np.ndarray]) -> None:
     """Adds the nibbles to the counts of each context."""
     for part in coded.parts:
         for table, slot in zip(tables, part.slots):
-            np.add.at(table, slot + part.values, table.dtype.type(1))
+            np.add.at(table, (slot << 4) + part.values, table.dtype.type(1))
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
@@ -138,32 +138,35 @@ def start_weights() -> np.ndarray:
     return w
 
 
-def _level(part: Part, tables: list[np.ndarray], level: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _slots(part: Part, tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the 16 cells of each nibble's slot, one after another, of each context; where each nibble's begin)."""
+    cells = [t.view(np.complex128).take(s).view(np.int8) for t, s in zip(tables, part.slots)]
+    return cells, np.arange(0, 16 * len(part.values), 16)
+
+
+def _level(part: Part, cells: list[np.ndarray], begin: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(predictions in int8 of each context, bits) of one bit of the nibbles."""
-    node = (part.values >> (4 - level)).astype(np.int64)
+    node = begin + (part.values >> (4 - level))
     node += 1 << level
-    return [t.take(s + node) for t, s in zip(tables, part.slots)], part.values >> (3 - level) & 1
+    return [c.take(node) for c in cells], part.values >> (3 - level) & 1
 
 
-def _mix(st: list[np.ndarray], w: np.ndarray, gate: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+def _mix(st: list[np.ndarray], w: np.ndarray, gate: np.ndarray) -> np.ndarray:
     z = w[_K].take(gate)
-    if own is not None:
-        z += own[_K]
     for k in range(_K):
         wk = w[k].take(gate)
-        if own is not None:
-            wk += own[k]
         wk *= st[k]
         z += wk
     return z
 
 
-def _cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+def _cell(z: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Places in a refinement table; row: where the gates' buckets begin."""
     at = z * np.float32(2)
     np.clip(at, -16, 16, out=at)
     at += np.float32(16.5)
     cell = at.astype(np.int64)
-    cell += gate * BUCKETS
+    cell += row
     return cell
 
 
@@ -174,11 +177,12 @@ def learn(coded: Coded, tables: list[np.ndarray], w: np.ndarray, squares: np.nda
             part = whole.pick(slice(a, a + 32_768))
             gate = part.gate
             n = np.maximum(np.bincount(gate, minlength=GATES), 64)
+            cells, begin = _slots(part, tables)
             for level in range(4):
-                st, bit = _level(part, tables, level)
-                z = _mix(st, w[level], gate, None)
+                st, bit = _level(part, cells, begin, level)
+                z = _mix(st, w[level], gate)
                 if calibrate:
-                    cell = _cell(z, gate)
+                    cell = _cell(z, gate * BUCKETS)
                     apm[level, 1] += np.bincount(cell, weights=bit, minlength=BUCKETS * GATES)
                     apm[level, 0] += np.bincount(cell, weights=1 - bit, minlength=BUCKETS * GATES)
                     continue
@@ -200,12 +204,13 @@ def _run(part: Part, bounds: np.ndarray, tables, w, apm, own, grads) -> np.ndarr
     size = np.diff(bounds)
     some = np.flatnonzero(size)
     head = bounds[some]
-    mine = None if own is None else [np.repeat(o, size) for o in own]
-    total = np.zeros(len(part.values), np.float32)
+    gate = part.gate if own is None else part.gate + np.repeat(np.arange(len(size)) * GATES, size)
+    total, row = np.zeros(len(part.values), np.float32), part.gate * BUCKETS
+    cells, begin = _slots(part, tables)
     for level in range(4):
-        st, bit = _level(part, tables, level)
-        z = _mix(st, w[level], part.gate, mine)
-        fine = apm[level].take(_cell(z, part.gate))
+        st, bit = _level(part, cells, begin, level)
+        z = _mix(st, w[level] if own is None else (w[level][:, None] + own[:, :, None]).reshape(_K + 1, -1), gate)
+        fine = apm[level].take(_cell(z, row))
         fine += z
         fine *= np.float32(0.5) - bit
         np.minimum(fine, np.float32(60), out=fine)
