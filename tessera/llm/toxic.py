@@ -66,7 +66,7 @@ def _counts(batches):
     for batch in batches:
         for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
             seen[int(y)].update(entries_of(words_of(text.as_py())))
-    names = list(seen[1])  # an entry that no toxic row has is never chosen
+    names = list(seen[0].keys() | seen[1].keys())  # an entry that no toxic row here has may have some elsewhere
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][e] for e in names], pa.int64()), pa.array([seen[0][e] for e in names], pa.int64())], ["entry", "toxic", "clean"])
 
 

@@ -180,6 +180,16 @@ def test_toxicity(spark):
     assert toxic.train(docs, labels.limit(0))[0] == {} and toxic.score(documents(spark, ODD), weights, bias).count() == len(ODD)
 
 
+def test_entries_are_counted_over_all_partitions(spark):
+    """Clean rows count for an entry also where no toxic row of their partition has it."""
+    texts = [("common awful", 1)] + [("common", 0)] * 7 + [("rare", 0)]
+    want = {"=common": (1, 7), "=awful": (1, 0), "=rare": (0, 1)}
+    for parts in (1, 9):
+        rows = spark.createDataFrame(spark.sparkContext.parallelize(texts, parts), "__t string, __y int")
+        found = rows.mapInArrow(toxic._counts, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).collect()
+        assert {r["entry"]: (r["t"], r["c"]) for r in found if r["entry"][0] == "="} == want
+
+
 # packing
 def test_packing(spark):
     rows = [(k, f"s{k % 4}" if k % 3 else "hot", n, k % 50 if k % 5 else 7) for k, n in enumerate([1 + (37 * i) % 90 for i in range(400)])] + [(900, None, 0, None), (901, "s", 250, None), (None, "s", 5, 1)]
