@@ -5,11 +5,12 @@
 2. The words of each block are counted and dealt into shards by a hash of the word, one packed row for each block and
    shard; a shard sums its words over all blocks and returns to each block the counts of that block's own words. So no
    vocabulary is ever held as a whole, and a shard holds about the words of ``SHARD_BYTES`` of text.
-3. Each partition counts the nibbles of its training documents in every context. The tables, of a fixed size, are summed in
-   groups of at most ``FAN_IN`` partitions, level by level, and turned into log odds.
-4. The weights of the mixer are learned online on the development part (1 in ``DEV`` of the training documents) with tables
-   that have not seen it, in tasks of about ``TASK_BYTES``, and averaged. The tables then take in that part too.
-5. Every block is scored with the tables (``CONTEXTS`` of 2 ** ``BITS`` bytes, the only broadcast) and its own words' counts.
+3. So are the nibbles of every context: each block deals the cells it has, counted over its training documents, into shards
+   by the slot's hash, and a shard returns to each block the corpus counts of that block's own slots. What is kept of the
+   contexts thus grows with the corpus, and no table of them is ever held as a whole or broadcast.
+4. The weights of the mixer are learned online on the development part (1 in ``DEV`` of the training documents) with counts
+   that leave it out, in blocks of their own of about ``TASK_BYTES``, and averaged. Other blocks' counts have that part too.
+5. Every block is scored with the log odds of its own slots and its own words' counts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BATCH_BYTES, FAN_IN, DEV = 16 << 20, 16 << 20, 8 << 20, 256 << 10, 64, 16
-_CELLS = 1 << 16
+BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BATCH_BYTES, DEV = 16 << 20, 16 << 20, 8 << 20, 256 << 10, 16
+_MOST = (1 << 24) - 1  # of a count packed with its cell
+_WAITING = 1 << 20  # keys that a block gathers before it adds them
+_DENSE = 1 << 16  # slots whose counts are laid out at a time
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -123,19 +127,16 @@ def _shard_totals(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([*blocks, None], pa.int64()), "words": pa.array([*out_words, None], pa.binary()), "counts": pa.array([*out_counts, None], pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
 
 
-def _streams(batches):
-    """Lists of (role, streams) of about BATCH_BYTES, one role in each, of the training documents."""
+def _streams(roles: list[int], documents: list[bytes]):
+    """Lists of (role, streams) of about BATCH_BYTES, one role in each."""
     waiting: dict[int, list[bytes]] = {}
     sizes: Counter = Counter()
-    for batch in batches:
-        for k, roles in enumerate(batch.column("roles").to_pylist()):
-            for role, s in zip(roles, _documents(batch, k)):
-                if role:
-                    waiting.setdefault(role, []).append(s)
-                    sizes[role] += len(s)
-                    if sizes[role] >= BATCH_BYTES:
-                        yield role, waiting.pop(role)
-                        sizes[role] = 0
+    for role, s in zip(roles, documents):
+        waiting.setdefault(role, []).append(s)
+        sizes[role] += len(s)
+        if sizes[role] >= BATCH_BYTES:
+            yield role, waiting.pop(role)
+            sizes[role] = 0
     yield from waiting.items()
 
 
@@ -147,80 +148,151 @@ def _development(batches):
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["block", "k", "stream"])
 
 
-def _pack(cells: np.ndarray) -> bytes:
-    at = np.flatnonzero(cells)
-    wide = "<u4" if cells.max(initial=0) < 1 << 32 else "<u8"
-    return wide[2:].encode() + _press(at.astype("<u2").tobytes() + cells[at].astype(wide).tobytes())
+def _gather(batches):
+    """One block of the partition's development documents; its number is below 0, and none of them counts."""
+    streams = [x for batch in batches for x in batch.column("stream").to_pylist()]
+    if streams:
+        values = ([-1 - TaskContext.get().partitionId()], [[0] * len(streams)], [_press(b"".join(streams))])
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (_KINDS[0], _KINDS[2], _KINDS[4]))], ["block", "roles", "streams"])
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide, raw = int(raw[:1]), _open(raw[1:])
-    n = len(raw) // (2 + wide)
-    out = np.zeros(_CELLS, np.uint64)
-    out[np.frombuffer(raw[: 2 * n], "<u2")] = np.frombuffer(raw[2 * n :], f"<u{wide}")
-    return out
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, in as few bytes each as the largest needs, by place of the byte."""
+    wide = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
+    return b"%d" % wide + _press(values.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T.tobytes())
 
 
-def _count(rank: np.ndarray, bits: int):
-    """(group, role, context, chunk, blob) of the partition's counts."""
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = int(raw[:1])
+    planes = np.frombuffer(_open(raw[1:]), np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel().astype(np.uint64)
 
-    def run(batches):
-        tables = {}
-        for role, streams in _streams(batches):
-            if role not in tables:
-                tables[role] = [np.zeros(1 << bits, np.uint32) for _ in M.CONTEXTS]
-            M.count(M.Coded(streams, rank, bits), tables[role])
-        p = TaskContext.get().partitionId()
-        for role, ts in tables.items():
-            for k, t in enumerate(ts):
-                step = min(_CELLS, 1 << bits)
-                rows = [(p, role, k, c, _pack(t[c * step : (c + 1) * step])) for c in range(len(t) // step) if t[c * step : (c + 1) * step].any()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["p", "role", "k", "c", "blob"])
 
-    return run
+def _steps(ascending: np.ndarray) -> bytes:
+    return _pack(np.diff(ascending, prepend=np.uint64(0)))
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = sum((_unpack(b) for b in table.column("blob").to_pylist()), np.zeros(_CELLS, np.uint64))
-    return pa.table({n: table.column(n).slice(0, 1) for n in ("p", "role", "k", "c")} | {"blob": pa.array([_pack(total)], pa.binary())})
+def _heads(ascending: np.ndarray) -> np.ndarray:
+    """Where each value begins."""
+    return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.empty(0, np.int64)
 
 
-def _odds(table: pa.Table) -> pa.Table:
-    parts = {r: _unpack(b) for r, b in zip(table.column("role").to_pylist(), table.column("blob").to_pylist())}
-    none = np.zeros(_CELLS, np.uint64)
-    main = parts.get(1, none)
-    blobs = [_press(M.odds(x).tobytes()) for x in (main, main + parts.get(2, none))]
-    return pa.table({"k": table.column("k").slice(0, 1), "c": table.column("c").slice(0, 1), "main": pa.array(blobs[:1], pa.binary()), "full": pa.array(blobs[1:], pa.binary())})
+def _added(keys: list[np.ndarray]) -> np.ndarray:
+    """Keys of a cell, a role in 2 bits and a count in 24, ascending, with the counts of equal cells and roles added."""
+    key = np.concatenate(keys)
+    keys.clear()
+    key.sort()
+    head = _heads(key >> np.uint64(24))
+    n = np.add.reduceat(key & np.uint64(_MOST), head)
+    key = key[head] & ~np.uint64(_MOST)
+    most = np.uint64(_MOST)
+    if (n >= most).any():  # a count beyond 24 bits takes several keys
+        return np.concatenate([key + n % most, np.repeat(key + most, (n // most).astype(np.int64))])
+    return key + n
 
 
-def _tables(counted: DataFrame, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(without, with the development part): log odds of each context, gathered from at most 2 ** BITS / 65536 rows a context."""
-    while (top := counted.agg(F.max("p")).first()[0] or 0) >= FAN_IN:
-        wide = counted.withColumn("p", F.expr(f"p div {FAN_IN}"))
-        counted = materialise(wide.groupBy("p", "role", "k", "c").applyInArrow(_merge, counted.schema), "merged")
-        if top < FAN_IN * FAN_IN:
-            break
-    one = counted.withColumn("p", F.lit(0).cast("long")).groupBy("p", "role", "k", "c").applyInArrow(_merge, counted.schema)
-    rows = one.groupBy("k", "c").applyInArrow(_odds, "k int, c int, main binary, full binary").collect()
-    out = ([np.zeros(1 << bits, np.int8) for _ in M.CONTEXTS], [np.zeros(1 << bits, np.int8) for _ in M.CONTEXTS])
-    for r in rows:
-        for tables, blob in zip(out, (r["main"], r["full"])):
-            cells = np.frombuffer(_open(blob), np.int8)
-            own = tables[r["k"]][r["c"] * _CELLS : (r["c"] + 1) * _CELLS]
-            own[:] = cells[: len(own)]
-    return out
+_COUNTED = "shard long, block long, cells binary, main binary, dev binary"
 
 
-def _learn(rank: np.ndarray, bits: int, shared):
-    """(n, x) of each task: nibbles seen, and the weights times n, then the calibration counts."""
+def _count(rank: np.ndarray, bits: int, shards: int):
+    """The cells of each block, ascending, and how often its training documents have them, without and in the development
+    part. Of held-out documents come the slots, as cells that count nothing."""
+    bounds = np.array([(j << (bits - 4)) // shards << 6 for j in range(shards)] + [1 << (bits + 2)], np.uint64)
 
     def run(batches):
-        tables = shared.value
+        for batch in batches:
+            for row, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
+                keys, waiting = [], 0
+                for role, streams in _streams(roles, _documents(batch, row)):
+                    found = M.cells(M.Coded(streams, rank, bits))
+                    found <<= np.uint64(26)
+                    found += np.uint64((role << 24) + 1)
+                    if not role:
+                        found &= ~np.uint64((15 << 26) + _MOST)
+                    keys.append(_added([found]))
+                    waiting += len(keys[-1])
+                    if waiting > _WAITING:
+                        keys, waiting = [_added(keys)], 0
+                if not keys:
+                    continue
+                key = _added(keys)
+                key.sort()
+                cell, n, role = key >> np.uint64(26), key & np.uint64(_MOST), key >> np.uint64(24) & np.uint64(3)
+                head = _heads(cell)
+                main, dev = (np.add.reduceat(n * (role == r), head) for r in (1, 2))
+                cell = cell[head]
+                cut = np.searchsorted(cell, bounds)
+                for j in range(shards):
+                    of = slice(cut[j], cut[j + 1])
+                    if cut[j] < cut[j + 1]:
+                        values = (j, block, _steps(cell[of]), _pack(main[of]), _pack(dev[of]))
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in _COUNTED.split(", ")])
+
+    return run
+
+
+def _shard_cells(table: pa.Table) -> pa.Table:
+    """(block, cells, counts): the cells that training has in the slots of each block; for blocks of development documents as
+    counted without them, for others as counted in all."""
+    blocks = table.column("block").to_pylist()
+    own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in table.column("cells").to_pylist()]
+    cell = np.concatenate(own)
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    head = _heads(cell)
+    main, dev = (np.add.reduceat(np.concatenate([_unpack(x) for x in table.column(c).to_pylist()])[order], head) for c in ("main", "dev"))
+    cell = cell[head]
+    slot = cell >> np.uint64(4)
+    head = _heads(slot)
+    names, size = slot[head], np.diff(head, append=len(slot))
+    full = main + dev
+    rows = []
+    for block, cells in zip(blocks, own):
+        mine = cells >> np.uint64(4)
+        at = np.searchsorted(names, mine[_heads(mine)])
+        n = size[at]
+        at = np.repeat(head[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        count = (main if block < 0 else full)[at]
+        at, count = at[count > 0], count[count > 0]
+        if len(at):
+            rows.append((block, _steps(cell[at]), _pack(count)))
+    return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate((("block", pa.int64()), ("cells", pa.binary()), ("times", pa.binary())))})
+
+
+def _own(table: pa.Table, bits: int) -> tuple[list[M.Slots], list[np.ndarray]]:
+    """(slots, log odds) of each context, from the rows that shards returned to a block."""
+    packed = zip(table.column("cells").to_pylist(), table.column("times").to_pylist())
+    rows = [(np.cumsum(_unpack(c), dtype=np.uint64), _unpack(n)) for c, n in packed if c is not None]
+    rows.sort(key=lambda r: r[0][0])
+    cell = np.concatenate([np.empty(0, np.uint64), *[r[0] for r in rows]])
+    count = np.concatenate([np.empty(0, np.uint64), *[r[1] for r in rows]])
+    slots, tables = [], []
+    for k in range(len(M.CONTEXTS)):
+        of = np.flatnonzero(cell >> np.uint64(4) & np.uint64(3) == k)
+        mine, n = cell[of], count[of]
+        head = _heads(mine >> np.uint64(6))
+        ends = np.append(head, len(mine))
+        slots.append(M.Slots((mine[head] >> np.uint64(6)).astype(np.uint32), bits))
+        tables.append(np.zeros(16 * (len(head) + 1), np.int8))
+        for a in range(0, len(head), _DENSE):
+            b = min(a + _DENSE, len(head))
+            part = slice(ends[a], ends[b])
+            dense = np.zeros((b - a, 16), np.uint64)
+            dense[np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), (mine[part] & np.uint64(15)).astype(np.int64)] = n[part]
+            tables[-1][16 * a : 16 * b] = M.odds(dense)
+    return slots, tables
+
+
+def _learn(rank: np.ndarray, bits: int):
+    """x of each block of development documents: bytes seen, the weights times that, then the calibration counts."""
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        slots, tables = _own(found, bits)
         w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))
         squares = np.zeros(w.shape)
         kept, size = [[]], 0
-        for batch in batches:
-            for s in batch.column("stream").to_pylist():
+        for k in range(docs.num_rows):
+            for s in _documents(docs, k):
                 if size > BATCH_BYTES:
                     kept.append([])
                     size = 0
@@ -229,15 +301,24 @@ def _learn(rank: np.ndarray, bits: int, shared):
         for calibrate in (False, True):
             for streams in kept:
                 if streams:
-                    M.learn(M.Coded(streams, rank, bits), tables, w, squares, apm, calibrate)
+                    M.learn(M.Coded(streams, rank, bits).locate(slots), tables, w, squares, apm, calibrate)
         n = sum(len(x) for streams in kept for x in streams)
         x = np.concatenate([[n], w.astype(np.float64).ravel() * n, apm.ravel()])
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64()))], ["x"])
+        return pa.table({"x": pa.array([x.tolist()] if n else [], pa.list_(pa.float64()))})
 
     return run
 
 
+def _weights(x: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, refinement) from the sum of x over the development blocks, if there are any."""
+    w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))
+    if x:
+        flat = np.array(x)
+        w = (flat[1 : 1 + w.size] / flat[0]).reshape(w.shape).astype(np.float32)
+        apm = flat[1 + w.size :].reshape(apm.shape)
+    return w, M.refinement(apm)
+
+
 class _Counts(dict):
     """Counts of words; an unknown one has 0, and is remembered."""
 
@@ -246,11 +327,14 @@ class _Counts(dict):
         return 0
 
 
-def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int):
+def _score(rank, bits, train_tokens: int, types: int, ends: int):
     floor = math.log10(train_tokens + 0.5 * (types + 1))
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        slots, tables = _own(found, bits)
+        w, apm = _weights(docs.column("x")[0].as_py() if docs.num_rows else [])
         count_of = _Counts()
+        words = found.filter(pc.is_valid(found.column("words")))
         for ws, raw in zip(words.column("words").to_pylist(), words.column("counts").to_pylist()):
             count_of.update(zip(_open(ws).split(b" "), np.frombuffer(_open(raw), "<u8").tolist()))
         n_tokens, n_known, base, sizes, scores = [], [], [], [], []
@@ -265,7 +349,7 @@ def _score(rank, bits, shared, w, apm, train_tokens: int, types: int, ends: int)
                 base.extend(np.add.reduceat(logs, head).tolist())
                 n_known.extend(np.add.reduceat((c > 0).astype(np.int64), head).tolist())
                 known = np.where(c > 0, logs * math.log(10), -np.inf)
-                scores.extend(M.score(M.Coded(streams, rank, bits), shared.value, w, apm, known, c).tolist())
+                scores.extend(M.score(M.Coded(streams, rank, bits).locate(slots), tables, w, apm, known, c).tolist())
             streams, counts, waiting = [], [], 0
 
         look_up = count_of.__getitem__
@@ -319,25 +403,22 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for k, b in enumerate(sorted(range(256), key=lambda b: (-hist.get(b, 0), b))[: M.TOP]):
         rank[b] = k
 
-    counted = materialise(blocks.select("roles", "streams").mapInArrow(_count(rank, bits), "p long, role int, k int, c int, blob binary"), "counted")
-    main, full = _tables(counted, bits)
-
     dev = materialise(blocks.select("block", "roles", "streams").mapInArrow(_development, "block long, k long, stream binary"), "development")
     tasks = max(1, (dev.agg(F.sum(F.octet_length("stream"))).first()[0] or 0) // TASK_BYTES)
     dealt = dev.repartition(tasks, "block", "k").sortWithinPartitions("block", "k").select("stream")
-    shared = spark.sparkContext.broadcast(main)
-    x = dealt.mapInArrow(_learn(rank, bits, shared), "x array<double>").select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
-    w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))
-    if x:
-        flat = np.array([r["x"] for r in x])
-        w = (flat[1 : 1 + w.size] / flat[0]).reshape(w.shape).astype(np.float32)
-        apm = flat[1 + w.size :].reshape(apm.shape)
-    apm = M.refinement(apm)
-
-    own = words.where("block is not null").select("block", "words", "counts")
-    shared = spark.sparkContext.broadcast(full)
-    scorer = _score(rank, bits, shared, w, apm, train_tokens, types, ends)
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCHEMA)
+    dev = materialise(dealt.mapInArrow(_gather, "block long, roles array<int>, streams binary"), "gathered")
+
+    every = blocks.select("block", "roles", "streams").unionByName(dev)
+    counted = every.mapInArrow(_count(rank, bits, shards), _COUNTED)
+    found = counted.groupBy("shard").applyInArrow(_shard_cells, "block long, cells binary, times binary")
+    learned = dev.groupBy("block").cogroup(found.where("block < 0").groupBy("block")).applyInArrow(_learn(rank, bits), "x array<double>")
+    # the weights stay in the plan, so that one job reads what the shards return as it comes, and the counts are shuffled once for both
+    x = learned.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
+    x = x.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("x"))
+
+    own = words.where("block is not null").select("block", "words", "counts").unionByName(found.where("block >= 0"), allowMissingColumns=True)
+    scorer = _score(rank, bits, train_tokens, types, ends)
+    return blocks.crossJoin(F.broadcast(x)).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

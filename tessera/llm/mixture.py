@@ -2,8 +2,9 @@
 
 A text is coded as a byte stream: its lower-cased words, a space after each, and one end byte. The
 ``TOP`` most frequent bytes are coded by one nibble, all others by an escape nibble and two more. Each bit
-of a nibble is predicted in the contexts of ``CONTEXTS``; a context's hash picks a slot of 16 cells, the
-bits so far a cell within it, and the cell holds the log odds of a one as seen in training. The
+of a nibble is predicted in the contexts of ``CONTEXTS``; a context's hash names a slot of 16 cells, the
+bits so far a cell within it, and the cell holds the log odds of a one as seen in training. Only slots that occur
+are held, so their number grows with the corpus. The
 predictions are added with weights chosen by a gate (which nibble, which bit, how far into the word), then
 refined: the weights by an online step of the document's own after its first 1, 3, 7, 15 ... times
 ``CHUNK`` bytes, and the outcome by a table from predicted to observed odds. At last each word's probability is a mean
@@ -18,7 +19,7 @@ import numpy as np
 
 CONTEXTS = ("order2", "order3", "order5", "word")
 TOP, END, SPACE = 15, 10, 32
-BITS = 22  # cells of a context: 2 ** BITS
+BITS = 36  # of a cell's name: 4 within the slot, all others of the context's hash, at most 32
 CHUNK, RATE = 1024, 0.15
 SCALE, LIMIT, PRIOR = 16.0, 7.9, 0.4
 PLACES, GATES = 4, 12  # 3 nibbles by 4 places in the word
@@ -103,7 +104,7 @@ class Coded:
                 h = h * _M32 + np.uint32(0x7FEB352D * (k + 1) & 0xFFFFFFFF)
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0x846CA68B)
-                out.append((h >> shift).astype(np.int64))
+                out.append(h >> shift)
             return out
 
         high, low = s[esc] >> 4, s[esc] & 15
@@ -114,11 +115,43 @@ class Coded:
         ]
 
 
-def count(coded: Coded, tables: list[np.ndarray]) -> None:
-    """Adds the nibbles to the counts of each context."""
-    for part in coded.parts:
-        for table, slot in zip(tables, part.slots):
-            np.add.at(table, (slot << 4) + part.values, table.dtype.type(1))
+    def locate(self, slots: list[Slots]) -> Coded:
+        """Replaces the names of the slots by their places."""
+        for part in self.parts:
+            part.slots = [known.find(s) for known, s in zip(slots, part.slots)]
+        return self
+
+
+class Slots:
+    """The slots of a context that some documents need, found by name; the last place is of one never seen."""
+
+    __slots__ = ("first", "keys", "n", "shift")
+
+    def __init__(self, names: np.ndarray, bits: int = BITS):
+        """names: ascending, uint32."""
+        self.n, width = len(names), bits - 4
+        top = min(width, self.n.bit_length() + 1)
+        self.shift = np.uint32(width - top)
+        self.first = np.searchsorted(names, np.arange(1 << top, dtype=np.uint32) << self.shift).astype(np.int32)
+        self.keys = np.concatenate([names, np.array([0xFFFFFFFF], np.uint32)])
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        at = self.first.take(names >> self.shift)
+        left = np.flatnonzero(self.keys.take(at) != names)
+        while len(left):
+            want, key = names.take(left), self.keys.take(at.take(left))
+            at[left[key > want]] = self.n
+            left = left[key < want]
+            at[left] += 1
+        return at
+
+
+def cells(coded: Coded) -> np.ndarray:
+    """The name of each nibble's cell in every context, ascending: slot, context in 2 bits, value in 4."""
+    out = [(s.astype(np.uint64) << np.uint64(6)) + (part.values.astype(np.uint64) + np.uint64(16 * k)) for part in coded.parts for k, s in enumerate(part.slots)]
+    out = np.concatenate(out)
+    out.sort()
+    return out
 
 
 def odds(counts: np.ndarray) -> np.ndarray:

@@ -259,6 +259,40 @@ def test_probabilities_add_to_one():
     assert math.isclose(float(np.exp(np.array(first, np.float64)).sum()), 1 - _unused(rank, tables, w, apm), rel_tol=1e-3)
 
 
+def test_contexts_grow_with_the_corpus():
+    """Far more contexts than any fixed table of the package had get slots of their own."""
+    rng = np.random.default_rng(5)
+    letters = rng.integers(97, 123, (90_000, 8)).astype(np.uint8)
+    stream = b" ".join(x.tobytes() for x in letters) + b" \n"
+    rank = np.full(256, lm.M.TOP, np.uint8)
+    prefixes = {x[:k].tobytes() for x in letters for k in range(9)}
+    slots = lm.M.Coded([stream], rank).parts[0].slots[lm.M.CONTEXTS.index("word")]
+    assert len(prefixes) > 1 << 18 and abs(len(np.unique(slots)) - len(prefixes)) < 0.001 * len(prefixes)
+
+
+def test_shards_return_the_counts_of_all_blocks():
+    import pyarrow as pa
+
+    rank, bits = np.full(256, lm.M.TOP, np.uint8), 16
+    rank[list(b" etaoinshrdlu\nc")] = range(15)
+    streams = [lm.M.stream_of(" ".join(words(400, k))) for k in range(9)]
+    roles = [[1, 2, 0], [1, 1, 0], [0, 0, 0]]  # the last block's number is below 0: it gets odds without role 2
+    batch = pa.table({"block": [0, 1, -1], "roles": roles, "streams": [lm._press(b"".join(streams[3 * k : 3 * k + 3])) for k in range(3)]}).to_batches()[0]
+    counted = pa.Table.from_batches(list(lm._count(rank, bits, 3)([batch])))
+    back = pa.concat_tables([lm._shard_cells(counted.filter(pa.compute.equal(counted["shard"], j))) for j in range(3)])
+    for row, block in enumerate([0, 1, -1]):
+        found, tables = lm._own(back.filter(pa.compute.equal(back["block"], block)), bits)
+        for k in range(len(lm.M.CONTEXTS)):
+            dense = np.zeros(1 << bits, np.uint32)
+            for role, s in zip(sum(roles, []), streams):
+                if role == 1 or role == 2 and block >= 0:
+                    for part in lm.M.Coded([s], rank, bits).parts:
+                        np.add.at(dense, (part.slots[k].astype(np.int64) << 4) + part.values, 1)
+            want = lm.M.odds(dense).reshape(-1, 16)
+            for part in lm.M.Coded(streams[3 * row : 3 * row + 3], rank, bits).parts:
+                assert (tables[k].reshape(-1, 16)[found[k].find(part.slots[k])] == want[part.slots[k]]).all()
+
+
 def _unused(rank, tables, w, apm):
     """Probability of escapes that spell a byte with a nibble of its own, which a coder never writes."""
     total = 0.0
