@@ -22,10 +22,14 @@ from tessera.llm import crf
 _TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-#: Elements whose content is never text of the page.
-RAW = {"script", "style", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "select", "textarea", "title", "audio", "video"}
+#: Elements whose content is no markup; without an end tag it is the rest of the page. None of it is text of the page.
+RAW = {"script", "style", "textarea", "title"}
+#: Elements that seldom hold text of the page; the field decides.
+EMBEDDED = {"template", "noscript", "iframe", "object", "svg", "math", "canvas", "select", "audio", "video"}
+#: Of these and what is inside them, a tag that ends in '/' opens nothing.
+FOREIGN = {"svg", "math"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "button"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "button", "math", "mi", "mn", "mo", "ms", "mrow", "mtext"}
 _ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "nav", "footer", "header", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "hr", "address", "details", "fieldset"}
 _SAME = {"li", "dt", "dd", "tr", "td", "th", "option"}
 #: Words in class, id and role attributes, by what they say about the content.
@@ -134,11 +138,11 @@ def blocks(page: str | None) -> list[tuple[str, str, frozenset, int]]:
         elif tag in _SAME and stack and stack[-1][0] == tag:
             pop(tag)
         links = open_.get("a", 0)
-        if attrs.endswith("/") and tag in INLINE:
+        if attrs.endswith("/") and (tag in INLINE or tag in FOREIGN or any(open_.get(t) for t in FOREIGN)):
             continue
         means, hidden = _meanings(attrs) if attrs else (frozenset(), False)
         above = stack[-1][1] if stack else frozenset()
-        extra = means | ({"in_" + tag} if tag in _TAGS else set()) | ({"hidden"} if hidden else set())
+        extra = means | ({"in_" + tag} if tag in _TAGS or tag in EMBEDDED else set()) | ({"hidden"} if hidden else set())
         if tag == "head" and not closing:
             extra = extra | {"in_head"}
         elif tag == "body":

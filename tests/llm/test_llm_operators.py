@@ -159,6 +159,17 @@ def test_pages(spark):
     assert got[0]["text"] == got[1]["text"] == "" and got[2]["n_chars"] == len(got[2]["text"])
 
 
+def test_embedded_elements_keep_the_rest_of_the_page():
+    first, last = "The first paragraph has a full sentence of text.", "The last paragraph has one more sentence, too."
+    for mark in ('<svg class="icon"/>', "<math/>", "<select>", "<object>", "<noscript>", "<video>", "<canvas>", '<svg viewBox="0 0 1 1"><path d="M0 0"/></svg>'):
+        found = [b[0] for b in html_text.blocks(f"<article><p>{first}</p>{mark}<p>{last}</p></article>")]
+        assert found == [first, last], mark
+    inside = "<math><mi>E</mi><mo>=</mo><mi>m</mi></math>"
+    assert [b[0] for b in html_text.blocks(f"<article><p>Here {inside} holds.</p></article>")] == ["Here E=m holds."]
+    held = "<article><p>One.</p><noscript><p>Text for readers without scripts.</p></noscript><script>var x;</article>"
+    assert [b[0] for b in html_text.blocks(held)] == ["One.", "Text for readers without scripts."]
+
+
 def test_block_labels_held_out():
     weights, chain = html_text.model()
     wrong = total = 0
