@@ -42,11 +42,11 @@ def normalize_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"(?U)\s+", " "), F.lit(""))
 
 
-def token_prefix(a: Column, b: Column) -> Column:
-    """Whether one name has fewer tokens and each of them begins the other's token at its place."""
+def token_prefix(a: Column, b: Column, same_length: bool = False) -> Column:
+    """Whether one name has fewer tokens (or as many, if same_length) and each of them begins the other's token at its place."""
     x, y = F.split(a, " "), F.split(b, " ")
     begins = lambda s, l: F.forall(F.zip_with(s, F.slice(l, F.lit(1), F.size(s)), lambda p, q: q.startswith(p)), lambda t: t)  # noqa: E731, E741
-    found = F.when(F.size(x) < F.size(y), begins(x, y)).when(F.size(y) < F.size(x), begins(y, x)).otherwise(F.lit(False))
+    found = F.when(F.size(x) < F.size(y), begins(x, y)).when(F.size(y) < F.size(x), begins(y, x)).otherwise(begins(x, y) if same_length else F.lit(False))
     return F.coalesce(F.when((a != "") & (b != ""), found), F.lit(False))
 
 
@@ -118,6 +118,11 @@ def parse_lenient(c: Column, zone: str = "Asia/Kolkata") -> Column:
     return F.when(offset, F.try_to_timestamp(c)).otherwise(F.to_utc_timestamp(F.try_to_timestamp(c), zone))
 
 
+def parse_or_now(c: Column, zone: str = "Asia/Kolkata") -> Column:
+    """As parse_lenient; what can't be read is the present moment."""
+    return F.coalesce(parse_lenient(c, zone), F.current_timestamp())
+
+
 def scoring_moment(created: Column) -> Column:
     return created + F.expr("INTERVAL 24 HOURS")
 
@@ -188,6 +193,10 @@ def split_of(created: Column, hidden_start: str, weeks: int = 4, calibration: fl
     return F.when(t < start, "train").when(t < cut, "validation").when(t < hidden, "calibration")
 
 
-def stage_rank(c: Column) -> Column:
+def stage_rank(c: Column, strict: bool = False) -> Column:
+    """Rank of a stage; of an unknown one null, or an error if strict."""
     pairs = [F.lit(x) for kv in STAGE_RANK.items() for x in kv]
-    return F.create_map(*pairs)[F.lower(F.trim(c))]
+    found = F.create_map(*pairs)[F.lower(F.trim(c))]
+    if not strict:
+        return found
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown stage: "), F.coalesce(c, F.lit("null")))).cast("int"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,13 +14,20 @@ def by_score(df: DataFrame) -> DataFrame:
     return df.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
 
 
+RANGES = 1000
+
+
 def _cumulative(df: DataFrame) -> DataFrame:
     """The scores with the rows and positives at or above them.
 
-    A running sum without a partition would go through one task. Scores are cut into ranges first, whose
-    sums are few; each range then runs by itself.
+    A running sum without a partition would go through one task. Scores are cut into ranges first, at approximate
+    quantiles of the distinct scores so that each range has about as many of them however they are
+    spread; the ranges' sums are few, and each range then runs by itself.
     """
-    scores = by_score(df).withColumn("r", F.floor(F.col("p") * 1000))
+    scores = by_score(df)
+    cuts = scores.agg(F.coalesce(F.percentile_approx("p", [k / RANGES for k in range(1, RANGES)], 10 * RANGES), F.array().cast("array<double>")).alias("cuts"))
+    cuts = cuts.select(F.array_sort(F.array_distinct("cuts")).alias("cuts"))
+    scores = scores.join(F.broadcast(cuts)).withColumn("r", _place("cuts", "p")).drop("cuts")
     ranges = scores.groupBy("r").agg(F.sum("n").alias("rn"), F.sum("pos").alias("rp"))
     above = W.orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)
     ranges = ranges.select("r", F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("bn"), F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("bp"))
@@ -30,6 +35,12 @@ def _cumulative(df: DataFrame) -> DataFrame:
     return scores.join(ranges, "r").withColumn("cn", F.col("bn") + F.sum("n").over(w)).withColumn("cp", F.col("bp") + F.sum("pos").over(w))
 
 
+def _place(cuts: str, p: str):
+    """How many of the sorted cuts are at or below p, by halving."""
+    return F.expr(f"""aggregate(sequence(1, 11), named_struct('lo', 0, 'hi', size({cuts})), (s, _) -> if(s.lo >= s.hi, s,
+        if(get({cuts}, cast((s.lo + s.hi) div 2 as int)) <= {p}, named_struct('lo', cast((s.lo + s.hi) div 2 as int) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int)))), s -> s.lo)""")
+
+
 def average_precision(df: DataFrame) -> DataFrame:
     """Sum over distinct scores of the gain in recall times precision; null without positives."""
     total = df.agg(F.sum("y").alias("t"))
@@ -44,9 +55,17 @@ def roc_auc(df: DataFrame) -> DataFrame:
 
 
 def top_fraction(df: DataFrame, fraction: float, order: str) -> DataFrame:
-    """The first ceil(n * fraction) rows, one at least, by falling p and rising order."""
-    n = df.count()
-    return df.orderBy(F.desc("p"), order).limit(max(1, math.ceil(n * fraction))) if n else df
+    """The first ceil(n * fraction) rows, one at least, by falling p and rising order.
+
+    The score at which the fraction ends comes from the cumulative table; rows above it are kept by a filter, and only
+    the rows of that one score are put in order.
+    """
+    n = F.broadcast(df.agg(F.greatest(F.ceil(F.count("*") * F.lit(fraction)), F.lit(1)).alias("_k")))
+    cut = _cumulative(df).join(n).where("cn >= _k").agg(F.max("p").alias("_cut"), F.max(F.struct("p", (F.col("_k") - F.col("cn") + F.col("n")).alias("left"))).alias("_m"))
+    cut = F.broadcast(cut.select("_cut", F.col("_m.left").alias("_left")))
+    marked = df.join(cut).where("p >= _cut")
+    tied = marked.where("p = _cut").withColumn("_r", F.row_number().over(W.partitionBy("p").orderBy(order))).where("_r <= _left").drop("_r")
+    return marked.where("p > _cut").unionByName(tied).drop("_cut", "_left")
 
 
 def lift_recall(df: DataFrame, fraction: float, order: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.operators import metrics
 
-SEED, TRIALS = 42, 20
+SEED, TRIALS, TREES = 42, 20, 2000
 
 
 def numeric_parameters(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -62,22 +62,33 @@ def fit_logistic(train: DataFrame, label: str = "y", c: float = 1.0, rounds: int
     return LogisticRegression(featuresCol="features", labelCol=label, regParam=1 / (c * max(1, train.count())), standardization=False, maxIter=rounds, tol=1e-9).fit(train)
 
 
-SEARCH = {"maxDepth": [3, 4, 5, 6], "maxIter": [20, 40, 60], "stepSize": [0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0], "minInstancesPerNode": [5, 20, 50], "featureSubsetStrategy": ["all", "sqrt", "0.7"]}
+SEARCH = {"maxDepth": [3, 4, 5, 6], "stepSize": [0.02, 0.05, 0.1, 0.2], "subsamplingRate": [0.7, 0.85, 1.0], "minInstancesPerNode": [5, 20, 50], "minInfoGain": [0.0, 1e-4], "featureSubsetStrategy": ["all", "sqrt", "0.7"], "maxBins": [32, 64, 128], "validationTol": [0.001, 0.01]}
 
 
-def fit_trees(train: DataFrame, valid: DataFrame, label: str = "y", order: str = "lead_id", trials: int = TRIALS, seed: int = SEED):
-    """(best model, trial rows) of a random search over boosted trees, by (average precision, lift at 20 %, ROC AUC)."""
+def fit_trees(train: DataFrame, valid: DataFrame, label: str = "y", order: str = "lead_id", trials: int = TRIALS, seed: int = SEED, trees: int = TREES):
+    """(best model, trial rows) of a random search over boosted trees, by (average precision, lift at 20 %, ROC AUC).
+
+    Each draw grows up to ``trees`` trees and stops early when the loss of the validation rows no longer falls. The engine
+    grows trees level by level and stops on the loss, so results differ from leaf-wise growth stopped on precision.
+    """
     rng, best, rows = random.Random(seed), None, []
-    for k in range(min(trials, 20)):
+    both = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+    for k in range(min(trials, TRIALS)):
         draw = {n: rng.choice(v) for n, v in SEARCH.items()}
-        fitted = GBTClassifier(featuresCol="features", labelCol=label, seed=seed + k, **draw).fit(train)
+        fitted = GBTClassifier(featuresCol="features", labelCol=label, validationIndicatorCol="_valid", maxIter=trees, seed=seed + k, **draw).fit(both)
         key = ranking_key(probabilities(fitted, valid, label, order), order)
-        rows.append(draw | {"trial": k, "average_precision": key[0], "lift_at_20": key[1], "roc_auc": key[2]})
+        rows.append(draw | {"trial": k, "trees": fitted.getNumTrees, "average_precision": key[0], "lift_at_20": key[1], "roc_auc": key[2]})
         if best is None or key > best[0]:
             best = (key, fitted)
     return best[1], rows
 
 
+def feature_names(prepared: DataFrame) -> list[str]:
+    """Names of the assembled vector's places, one-hot places as column_value."""
+    found = prepared.schema["features"].metadata["ml_attr"]["attrs"]
+    return [a["name"].replace("_hot_", "_") for a in sorted((a for kind in found.values() for a in kind), key=lambda a: a["idx"])]
+
+
 def probabilities(model, df: DataFrame, label: str = "y", order: str = "lead_id") -> DataFrame:
     return model.transform(df).select(order, F.col(label).alias("y"), vector_to_array("probability")[1].alias("p"))
 
@@ -109,10 +120,21 @@ class Isotonic:
         self.knots = knots
 
     def __call__(self, p: Column) -> Column:
-        out = F.lit(self.knots[0][1])
-        for (x0, y0), (x1, y1) in zip(self.knots, self.knots[1:]):
-            out = F.when(p >= x0, F.lit(y1) if x1 == x0 else y0 + (y1 - y0) * (F.least(p, F.lit(x1)) - x0) / (x1 - x0)).otherwise(out)
-        return C.clip01(out)
+        """By halving an array of knots: the expression grows with the logarithm of their number alone."""
+        n, value = len(self.knots), p.cast("double")
+        xs, ys = (F.array(*[F.lit(float(k[i])) for k in self.knots]) for i in (0, 1))
+        start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"), value.alias("x"), xs.alias("xs"), ys.alias("ys"))
+        half = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
+        keep = lambda s, lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"), s["x"].alias("x"), s["xs"].alias("xs"), s["ys"].alias("ys"))
+        step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.when(F.get(s["xs"], half(s)) <= s["x"], keep(s, half(s) + 1, s["hi"])).otherwise(keep(s, s["lo"], half(s))))
+
+        def between(s):
+            k = s["lo"]  # knots at or below x
+            x0, x1, y0, y1 = F.get(s["xs"], k - 1), F.get(s["xs"], k), F.get(s["ys"], k - 1), F.get(s["ys"], k)
+            return F.when(k == 0, F.get(s["ys"], F.lit(0))).when(k == n, F.get(s["ys"], F.lit(n - 1))).otherwise(y0 + (y1 - y0) * (s["x"] - x0) / (x1 - x0))
+
+        rounds = F.sequence(F.lit(1), F.lit(n.bit_length()))
+        return F.when(value.isNotNull(), C.clip01(F.aggregate(rounds, start, step, between)))
 
 
 def calibrator(name: str, scored: DataFrame) -> Platt | Isotonic:

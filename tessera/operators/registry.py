@@ -29,8 +29,13 @@ def register(registry: DataFrame, row: DataFrame) -> DataFrame:
     return check(upsert(registry, row, ["version"]))
 
 
+def champion_row(registry: DataFrame) -> DataFrame:
+    """(version, feature_list) of the champion, one row or none."""
+    return registry.where("status = 'champion'").select("version", "feature_list").limit(1)
+
+
 def champion(registry: DataFrame) -> str | None:
-    row = registry.where("status = 'champion'").select("version").first()
+    row = champion_row(registry).first()
     return row[0] if row else None
 
 
@@ -67,5 +72,20 @@ def history(log: DataFrame, lead_id: str | None = None, version: str | None = No
     return x.orderBy(F.desc("scored_at"), "lead_id").limit(most)
 
 
-def health(registry: DataFrame) -> dict[str, bool]:
-    return {"database": True, "model": champion(registry) is not None}
+def append_and_size(scores: DataFrame, path: str, clusters: DataFrame) -> DataFrame:
+    """Adds rows to the log and returns (lead_id, cluster_size) of their leads, 1 for one without a cluster."""
+    from tessera.operators.serving import cluster_sizes
+
+    append_scores(scores, path)
+    return cluster_sizes(scores.select("lead_id").distinct(), clusters)
+
+
+def health(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Whether the registry at a path can be read, and whether it has a champion."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        return {"database": True, "model": champion(spark.read.parquet(path)) is not None}
+    except (PySparkException, Py4JJavaError):
+        return {"database": False, "model": False}

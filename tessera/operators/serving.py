@@ -48,6 +48,14 @@ def lead_listing(leads: DataFrame, scores: DataFrame, offset: int = 0, most: int
     return x.limit(most) if most is not None else x
 
 
+def lead_detail(leads: DataFrame, scores: DataFrame, lead_id) -> DataFrame:
+    """The listing's row of one lead; an unknown one is an error."""
+    out = lead_listing(leads.where(F.col("lead_id") == lead_id), scores)
+    if not out.limit(1).count():
+        raise LookupError(f"unknown lead: {lead_id}")
+    return out
+
+
 def call_list(df: DataFrame, now: Column) -> DataFrame:
     """Adds age_hours (0 to 8640), waiting_minutes and urgent (P1 that waits over 15 minutes)."""
     wait = C.minutes_between(F.col("created_at"), now)

@@ -14,6 +14,26 @@ def columns(df: DataFrame, required: list[str], strict: bool = False) -> DataFra
     return df
 
 
+def ledger(df: DataFrame, nulls: list[str] = (), enums: dict[str, list[str]] | None = None, not_negative: list[str] = (), binary: list[str] = (), integers: list[str] = (), unique_keys: list[str] = ()) -> DataFrame:
+    """(check, column, bad): how many rows break each rule, all in one pass but for a pass per unique key."""
+    rules = [("not_null", c, F.col(c).isNull()) for c in nulls]
+    rules += [("allowed", c, F.col(c).isNotNull() & ~F.col(c).isin(*v)) for c, v in (enums or {}).items()]
+    rules += [("at_least_zero", c, F.col(c) < 0) for c in not_negative]
+    rules += [("binary", c, F.col(c).isNull() | ~F.col(c).isin(0, 1)) for c in binary]
+    rules += [("integer", c, F.col(c).isNotNull() & F.col(c).cast("string").try_cast("bigint").isNull()) for c in integers]
+    one = df.agg(*[F.count(F.when(x, 1)).alias(f"r{k}") for k, (_, _, x) in enumerate(rules)])
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.lit(c).alias("column"), F.col(f"r{k}").alias("bad")) for k, (n, c, _) in enumerate(rules)])).alias("r")).select("r.*")
+    for c in unique_keys:
+        extra = df.groupBy(c).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("bad"))
+        out = out.unionByName(extra.select(F.lit("unique").alias("check"), F.lit(c).alias("column"), "bad"))
+    return out
+
+
+def relaxed(df: DataFrame, required: list[str]) -> DataFrame:
+    """The required columns as text, others as they are; a missing one is an error."""
+    return columns(df, required).withColumns({c: F.col(c).cast("string") for c in required})
+
+
 def schema(df: DataFrame, expected: T.StructType) -> DataFrame:
     """Names, types and not-null constraints of a declared schema, in one pass over the data."""
     columns(df, expected.fieldNames(), strict=True)

@@ -56,7 +56,7 @@ def _pairs(s, d):
 
 
 def _evidence(s, d):
-    return resolve.evidence(_pairs(s, d), _persons(s, d), similarity=False)
+    return resolve.evidence(_pairs(s, d), _persons(s, d))
 
 
 def _r(df: DataFrame, *names: str) -> DataFrame:
@@ -127,7 +127,6 @@ def queries() -> dict:
     q["overall_rate"] = lambda s, d: _r(reports.group_rates(_labelled(s, d)), "rate")
     q["first_call_by_month"] = lambda s, d: _r(reports.first_call_by_month(_leads(s, d), _calls(s, d).join(_leads(s, d).select("user_id", "lead_id"), "user_id")), "mean_hours", "median_hours")
     q["silent_enquiries"] = lambda s, d: _r(reports.silent(_leads(s, d), pit.in_window(_leads(s, d), _messages(s, d), "sent_at", key="user_id")), "per_cent")
-    q["phone_shapes"] = lambda s, d: reports.count_by(_values(s, [c[:2] for c in CONTACTS], "id int, phone string"), C.phone_shape(F.col("phone")), "shape")
     q["duplicate_identifiers"] = lambda s, d: reports.duplicate_identifiers(_persons(s, d), {"phone": F.col("phone_norm"), "email": F.col("email_norm")})
     q["trap_audit"] = lambda s, d: reports.trap_audit(_leads(s, d), _calls(s, d), pit.FORBIDDEN, DAYS)
     q["normalize_contacts"] = lambda s, d: _values(s, CONTACTS, "id int, phone string, email string, name string").select("id", C.normalize_phone(F.col("phone")).alias("phone"), C.normalize_email(F.col("email")).alias("email"), C.normalize_name(F.col("name")).alias("name"))
@@ -140,7 +139,7 @@ def queries() -> dict:
     q["truncate_tail"] = lambda s, d: table(s, d, "conversations").select("conv_id", "turn", "role", C.truncate_tokens(F.col("text"), 5, "tail").alias("text"))
     q["blocked_pairs"] = lambda s, d: _pairs(s, d).select("a", "b", F.concat_ws("+", "reasons").alias("reasons"))
     q["pair_evidence"] = lambda s, d: _evidence(s, d).select("a", "b", "phone_match", "email_match", "name_exact", "course_match", "grade", resolve.stratum().alias("stratum"))
-    q["rule_sweep"] = lambda s, d: _r(resolve.rule_sweep(_evidence(s, d).withColumn("label", F.col("course_match").cast("int")), ("exact_key", "both_keys", "key_and_name", "both_keys_or_key_and_name")), "precision", "recall")
+    q["rule_sweep"] = lambda s, d: _r(resolve.rule_sweep(_evidence(s, d).withColumn("label", F.col("course_match").cast("int"))), "precision", "recall")
     q["anti_join_old_pairs"] = lambda s, d: _pairs(s, d).select("a", "b").join(_pairs(s, d).where("a % 2 = 0").select("a", "b"), ["a", "b"], "left_anti")
     q["clusters_uncapped"] = _members
     q["clusters_capped"] = lambda s, d: resolve.clusters(_persons(s, d), _pairs(s, d).select("a", "b"), 3)[0]
@@ -153,7 +152,7 @@ def queries() -> dict:
     q["average_precision"] = lambda s, d: _r(metrics.average_precision(_scores(s, d)), "average_precision")
     q["roc_auc"] = lambda s, d: _r(metrics.roc_auc(_scores(s, d)), "roc_auc")
     q["lift_recall"] = lambda s, d: _r(metrics.lift_recall(_scores(s, d), 0.1, "lead_id"), "lift", "recall")
-    q["metric_bundle"] = lambda s, d: metrics.bundle(_scores(s, d), "lead_id")
+    q["metric_bundle"] = lambda s, d: _r(metrics.bundle(_scores(s, d), "lead_id"), "average_precision", "roc_auc", "lift_at_10", "recall_at_10", "lift_at_20", "recall_at_20", "brier", "ece")
     q["bands"] = lambda s, d: metrics.bands(_scores(s, d)).select("lead_id", "band")
     q["platt_apply"] = lambda s, d: _r(_scores(s, d).select("lead_id", model.Platt(0.9, -0.2)(F.col("p")).alias("p")), "p")
     q["calibrate_fit"] = lambda s, d: _r(_scores(s, d).select("lead_id", model.calibrator("isotonic", _scores(s, d))(F.col("p")).alias("p")), "p")
@@ -235,7 +234,6 @@ def oracle_sql() -> dict:
     q["overall_rate"] = f"with {_BASE} select count(*) as enquiries, coalesce(sum(target), 0)::bigint as admissions, round(avg(target), 6) as rate from lab where is_mature"
     q["first_call_by_month"] = f"with {_BASE}, f as (select l.lead_id, strftime(created_at, '%Y-%m') as month, min(epoch_us(started_at) - epoch_us(created_at)) / 6e7 / 60 as h from leads l join calls c on c.user_id = l.user_id and c.started_at >= l.created_at group by l.lead_id, created_at) select month, count(*) as n, round(avg(h), 6) as mean_hours, round(quantile_cont(h, 0.5), 6) as median_hours from f group by month"
     q["silent_enquiries"] = f"with {_BASE} select count(*) filter (lead_id not in (select lead_id from win)) as silent, count(*) as total, round(count(*) filter (lead_id not in (select lead_id from win)) * 100 / count(*), 6) as per_cent from leads"
-    q["phone_shapes"] = f"select case when regexp_matches(phone, '^\\+91[\\s-]?\\d{{5}}[\\s-]?\\d{{5}}$') then '+91' when regexp_matches(phone, '^0\\d{{10}}$') then 'leading zero' when regexp_matches(phone, '^\\d{{10}}$') then 'ten digits' when regexp_matches(phone, '^\\d{{5}}[\\s-]\\d{{5}}$') then 'spaced' else 'other' end as shape, count(*) as n from (values {_rows([c[:2] for c in CONTACTS])}) v(id, phone) group by 1"
     q["duplicate_identifiers"] = f"with {_PERSONS} select 'phone' as identifier, count(*) as repeated_values, sum(n)::bigint as rows_covered from (select count(*) as n from pe group by phone_norm) where n > 1 union all select 'email', count(*), sum(n)::bigint from (select count(*) as n from pe group by email_norm) where n > 1"
     q["trap_audit"] = f"with {_BASE} select (select count(*) - count(distinct lead_id) from leads) as repeated_ids, (select count(*) from calls where duration_sec < 0) as negative_durations, (select count(*) from leads where created_at > (select max(created_at) from leads) - interval 3 day) as immature, 0::bigint as forbidden_columns"
     digits = "regexp_replace(phone, '\\D', '', 'g')"
@@ -249,7 +247,9 @@ def oracle_sql() -> dict:
     stratum = "case when phone_match and email_match then 'both_keys' when phone_match then 'phone_only' when email_match then 'email_only' else 'other' end"
     grade = "case when phone_match and email_match and name_exact then 'very_strong' when phone_match and email_match or name_exact then 'strong' else 'weak' end"
     q["pair_evidence"] = f"with {_PERSONS} select a, b, phone_match, email_match, name_exact, course_match, {grade} as grade, {stratum} as stratum from ev"
-    rules = {"exact_key": "phone_match or email_match", "both_keys": "phone_match and email_match", "key_and_name": "(phone_match or email_match) and name_exact", "both_keys_or_key_and_name": "(phone_match and email_match) or ((phone_match or email_match) and name_exact)"}
+    # names have one letter, so their similarity is 0 or 1 and none begins another
+    named, either = "(phone_match or email_match) and name_exact", "(phone_match and email_match) or ((phone_match or email_match) and name_exact)"
+    rules = {"exact_key": "phone_match or email_match", "both_keys": "phone_match and email_match", "key_and_name": named, **{f"key_and_name_similarity_{k / 100:.2f}": named for k in range(50, 95, 5)}, "key_and_name_prefix": "false", "both_keys_or_key_and_name": either, "both_keys_or_name_prefix": "phone_match and email_match", "both_keys_or_exact_or_prefix": either}
     each = " union all ".join(f"select '{r}' as rule, course_match as t, {e} as g from ev" for r, e in rules.items())
     q["rule_sweep"] = f"with {_PERSONS}, x as ({each}), c as (select rule, count(*) filter (t and g) as tp, count(*) filter (not t and g) as fp, count(*) filter (t and not g) as fn, count(*) filter (not t and not g) as tn from x group by rule) select *, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) as recall from c"
     q["anti_join_old_pairs"] = f"with {_PERSONS} select a, b from pr where a % 2 <> 0"
@@ -261,6 +261,8 @@ def oracle_sql() -> dict:
         select 'C_' || c.canonical as cluster_id, cl.lead_id, cl.lead_id = c.canonical as is_canonical, a.n as cluster_size, c.canonical as canonical_lead_id, best_stage, stage_source, '["' || array_to_string(a.s, '", "') || '"]' as sources, a.n >= 4 as weak_cluster, case when a.n >= 4 then 'cluster size ' || a.n else '' end as weak_reason
         from cl join a using (cluster) join b using (cluster) join c on c.cluster = cl.cluster and c.k = 1"""
     q["dedupe_summary"] = f"with {_CLUSTERS}, k as (select count(*) as n from cl group by cluster), s as (select (select count(*) from pe) as leads, (select count(*) from pr) as candidate_pairs, count(*) as clusters, count(*) filter (n > 1) as duplicate_clusters, coalesce(sum(n) filter (n > 1), 0)::bigint as duplicate_leads, count(*) filter (n >= 4) as large_clusters, max(n) as largest from k) select *, leads * (leads - 1) // 2 as naive_comparisons, leads * (leads - 1) // 2 - candidate_pairs as avoided, round(duplicate_leads / leads, 6) as duplicate_rate from s"
+    h = f"{_PERSONS}, s as (select a, b, name_exact, {grade} as grade, {stratum} as stratum, md5(concat('42:', a, ':', b)) as h from ev), r as (select *, row_number() over (partition by stratum order by name_exact, h, a, b) as k from s), f as (select *, case when k > case stratum when 'other' then 0 else 50 end then 1 else 0 end as late from r where k <= 150)"
+    q["review_sample"] = f"with {h} select a, b, stratum, grade, null::int as label, null::varchar as note from f order by late, h, a, b limit 150"
     q["brier"] = f"with {_SCORES} select round(avg((p - y) ** 2), 6) as brier from sc"
     bins = f"{_SCORES}, bi as (select {_BINS} as bin, count(*) as n, avg(p) as mp, avg(y) as ob from sc group by 1)"
     q["ece"] = f"with {bins} select round(sum(n * abs(mp - ob)) / sum(n), 6) as ece from bi"
@@ -269,6 +271,9 @@ def oracle_sql() -> dict:
     q["average_precision"] = f"with {cum} select round(sum(pos * cp / cn) / (select sum(y) from sc), 6) as average_precision from cu"
     q["roc_auc"] = f"with {cum} select round(sum((n - pos) * (cp - pos + pos / 2)) / ((select sum(y) from sc) * (select count(*) - sum(y) from sc)), 6) as roc_auc from cu"
     q["lift_recall"] = f"with {_SCORES}, top as (select * from sc order by p desc, lead_id limit (select ceil(count(*) * 0.1)::bigint from sc)) select round((select avg(y) from top) / (select avg(y) from sc), 6) as lift, round((select sum(y) from top) / (select sum(y) from sc), 6) as recall"
+    tops = ", ".join(f"t{f} as (select * from sc order by p desc, lead_id limit (select ceil(count(*) * 0.{f // 10})::bigint from sc))" for f in (10, 20))
+    each = ", ".join(f"round((select avg(y) from t{f}) / (select avg(y) from sc), 6) as lift_at_{f}, round((select sum(y) from t{f}) / (select sum(y) from sc), 6) as recall_at_{f}" for f in (10, 20))
+    q["metric_bundle"] = f"with {cum}, bi as (select {_BINS} as bin, count(*) as n, avg(p) as mp, avg(y) as ob from sc group by 1), {tops} select (select round(sum(pos * cp / cn) / (select sum(y) from sc), 6) from cu) as average_precision, (select round(sum((n - pos) * (cp - pos + pos / 2)) / ((select sum(y) from sc) * (select count(*) - sum(y) from sc)), 6) from cu) as roc_auc, {each}, (select round(avg((p - y) ** 2), 6) from sc) as brier, (select round(sum(n * abs(mp - ob)) / sum(n), 6) from bi) as ece"
     q["bands"] = f"with {_SCORES}, t as (select quantile_cont(p, 0.9) as p1, quantile_cont(p, 0.5) as p2 from sc) select lead_id, case when p >= p1 then 'P1' when p >= p2 then 'P2' else 'P3' end as band from sc, t"
     q["platt_apply"] = f"with {_SCORES}, z as (select lead_id, least(greatest(p, 1e-6), 1 - 1e-6) as c from sc) select lead_id, round(1 / (1 + exp(-(0.9 * ln(c / (1 - c)) - 0.2))), 6) as p from z"
     knn = "src as (select * from embeddings order by vec_id limit 1), kn as (select e.vec_id as lead_id, round(list_cosine_similarity(e.embedding::double[], src.embedding::double[]), 6) as similarity, e.label % 2 as outcome from embeddings e, src where e.vec_id <> src.vec_id and e.label is not null order by similarity desc, e.vec_id limit 10)"

@@ -38,7 +38,9 @@ NOT_NULL = {
     "localities": ["locality", "km_to_riverside", "km_to_central", "km_to_lakeview"],
     "lead_clusters": ["lead_id"],
 }
+#: The texts that enumerated columns may have.
 ENUMS = {
+    "stage_history": {"stage": ["New", "Lost", "Dormant", "Contacted", "Interested", "Visit Scheduled", "Center Visited", "Demo Scheduled", "Seat Reserved", "Admission Done"]},
     "messages": {"direction": ["inbound", "outbound"], "sender_type": ["lead", "assistant", "counselor"]},
     "calls": {"outcome": ["answered", "no_answer", "busy", "switched_off"]},
 }
@@ -47,27 +49,30 @@ NOT_NEGATIVE = {"calls": ["duration_sec"], "localities": ["km_to_riverside", "km
 TIMES = {"leads": (C.parse_naive, ["created_at", "updated_at", "last_contacted_at"]), "messages": (C.parse_instant, ["sent_at"]), "stage_history": (C.parse_instant, ["changed_at"])}
 
 
-def read(spark: SparkSession, name: str, path: str, negative_durations: bool = False) -> DataFrame:
+def read(spark: SparkSession, name: str, path: str, negative_durations: bool = False, multi_line: bool = False) -> DataFrame:
     """Scans one CSV dataset with its declared columns, parses its times and checks its contract.
 
-    Malformed rows, bad times, nulls, unknown values and repeated ids are errors. Only needed columns are read downstream, as
-    the checks are separate actions over their own columns.
+    Malformed rows, bad times, nulls, unknown values and repeated ids are errors. Files are split unless ``multi_line``
+    says that fields may hold line ends, which makes each file one task. Only needed columns are read downstream, as
+    the checks are actions of their own: one over all columns that have a rule, one over a unique key.
     """
     header = spark.read.option("header", True).csv(path).columns
     if header != RAW[name].fieldNames():
         raise ValueError(f"{name}: columns {header} instead of {RAW[name].fieldNames()}")
-    df = spark.read.schema(RAW[name]).option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.schema(RAW[name]).option("header", True).option("mode", "FAILFAST").option("multiLine", multi_line).option("escape", '"').csv(path)
     return check(df, name, negative_durations)
 
 
 def check(df: DataFrame, name: str, negative_durations: bool = False) -> DataFrame:
     """The checks and derived columns of a dataset, whatever it was read from (a file, a JDBC table, a catalog table)."""
     validate.columns(df, RAW[name].fieldNames(), strict=True)
-    validate.not_null(df, NOT_NULL[name])
-    for c, values in ENUMS.get(name, {}).items():
-        validate.allowed(df, c, values)
-    if not negative_durations:
-        validate.at_least_zero(df, NOT_NEGATIVE.get(name, []))
+    enums, positive = ENUMS.get(name, {}), [] if negative_durations else NOT_NEGATIVE.get(name, [])
+    bad = {(r["check"], r["column"]) for r in validate.ledger(df, NOT_NULL[name], enums, positive).where("bad > 0").collect()}
+    if bad:  # a second look gives the examples
+        validate.not_null(df, [c for k, c in sorted(bad) if k == "not_null"])
+        for c, values in enums.items():
+            validate.allowed(df, c, values)
+        validate.at_least_zero(df, positive)
     if name in KEYS:
         validate.unique(df, KEYS[name])
     parse, names = TIMES.get(name, (None, []))
@@ -75,6 +80,11 @@ def check(df: DataFrame, name: str, negative_durations: bool = False) -> DataFra
     return df.withColumn("started_at", C.parse_epoch_ms(F.col("started_at_ms"))) if name == "calls" else df
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(lead_id, probability) of a file of finished scores; no other column is parsed."""
+    return spark.read.option("header", True).csv(path).select("lead_id", F.col("probability").cast("double").alias("probability"))
+
+
 def read_table(spark: SparkSession, name: str, url: str | None = None, table: str | None = None, **options) -> DataFrame:
     """The same dataset from a database (url) or the catalog; filters and columns are pushed to it."""
     df = spark.read.format("jdbc").options(url=url, dbtable=table or name, **options).load() if url else spark.table(table or name)
@@ -95,7 +105,7 @@ def read_or_table(spark: SparkSession, name: str, path: str, **options) -> DataF
 
 def write(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists") -> None:
     writer = df.write.mode(mode)
-    writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)
+    writer.option("header", True).option("escape", '"').csv(path) if form == "csv" else writer.format(form).save(path)
 
 
 def write_json(data: dict, path: str) -> None:
@@ -109,7 +119,7 @@ def read_json(path: str) -> dict:
 
 
 def content_hash(spark: SparkSession, paths: list[str]) -> str:
-    """SHA-256 of the files' bytes one after the other."""
+    """SHA-256 of the files' bytes one after the other. It is meant for the small input files of a training run: a hash of a sequence has no parallel form, so the bytes pass the driver one file at a time. See table_hash."""
     h = hashlib.sha256()
     for p in paths:
         for r in spark.read.format("binaryFile").load(p).orderBy("path").select("content").toLocalIterator():
@@ -117,6 +127,12 @@ def content_hash(spark: SparkSession, paths: list[str]) -> str:
     return h.hexdigest()
 
 
+def table_hash(df: DataFrame) -> DataFrame:
+    """(rows, digest) of a table of any size, whatever the order of its rows: the sum of the first 60 bits of each row's MD5, in columns by name."""
+    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows without a newer one of their key, and the new rows."""
     return old.join(new.select(*key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))

@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, more
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, SQL = catalogue.queries() | more.queries(), catalogue.oracle_sql() | more.oracle_sql()
 
 
 @pytest.fixture(scope="module")
