@@ -131,8 +131,6 @@ def queries() -> dict:
     q["trap_audit"] = lambda s, d: reports.trap_audit(_leads(s, d), _calls(s, d), pit.FORBIDDEN, DAYS)
     q["normalize_contacts"] = lambda s, d: _values(s, CONTACTS, "id int, phone string, email string, name string").select("id", C.normalize_phone(F.col("phone")).alias("phone"), C.normalize_email(F.col("email")).alias("email"), C.normalize_name(F.col("name")).alias("name"))
     q["token_prefix"] = lambda s, d: _values(s, NAMES, "id int, a string, b string").select("id", C.token_prefix(F.col("a"), F.col("b")).alias("prefix"))
-    q["name_similarity"] = lambda s, d: _values(s, NAMES, "id int, a string, b string").select("id", F.round(C.name_similarity("a", "b"), 6).alias("similarity"))
-    q["mask_contacts"] = lambda s, d: _values(s, TEXTS, "id int, text string").select("id", C.mask_contacts(F.col("text")).alias("text"))
     q["mask_email_documents"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(C.mask_email(F.col("text"))).alias("masked"))
     q["keyword_flags"] = lambda s, d: _values(s, TEXTS, "id int, text string").select("id", *[C.keyword_flag(F.col("text"), w).alias(f"kw_{k}") for k, w in C.KEYWORDS.items()])
     q["truncate_head"] = lambda s, d: table(s, d, "conversations").select("conv_id", "turn", "role", C.truncate_tokens(F.col("text"), 5, "head").alias("text"))
@@ -145,7 +143,7 @@ def queries() -> dict:
     q["clusters_capped"] = lambda s, d: resolve.clusters(_persons(s, d), _pairs(s, d).select("a", "b"), 3)[0]
     q["golden_records"] = _golden
     q["dedupe_summary"] = lambda s, d: _r(resolve.summary(_persons(s, d), _pairs(s, d), _members(s, d)), "duplicate_rate")
-    q["review_sample"] = lambda s, d: resolve.review_sample(_evidence(s, d), 150)
+    q["review_sample"] = lambda s, d: resolve.review_sample(_evidence(s, d), 150).drop("label", "note")
     q["brier"] = lambda s, d: _r(metrics.brier(_scores(s, d)), "brier")
     q["ece"] = lambda s, d: _r(metrics.calibration_error(_scores(s, d)), "ece")
     q["reliability"] = lambda s, d: _r(metrics.reliability(_scores(s, d)), "mean_predicted", "observed_rate")
@@ -155,11 +153,9 @@ def queries() -> dict:
     q["metric_bundle"] = lambda s, d: _r(metrics.bundle(_scores(s, d), "lead_id"), "average_precision", "roc_auc", "lift_at_10", "recall_at_10", "lift_at_20", "recall_at_20", "brier", "ece")
     q["bands"] = lambda s, d: metrics.bands(_scores(s, d)).select("lead_id", "band")
     q["platt_apply"] = lambda s, d: _r(_scores(s, d).select("lead_id", model.Platt(0.9, -0.2)(F.col("p")).alias("p")), "p")
-    q["calibrate_fit"] = lambda s, d: _r(_scores(s, d).select("lead_id", model.calibrator("isotonic", _scores(s, d))(F.col("p")).alias("p")), "p")
     q["knn_topk"] = _knn
     q["similar_summary"] = lambda s, d: serving.similar_summary(_knn(s, d))
     q["l2_normalize"] = lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(C.l2_normalize(F.col("embedding"))[0], 6).alias("x0"))
-    q["vector_literal"] = lambda s, d: table(s, d, "embeddings").select("vec_id", F.length(C.vector_literal(F.slice("embedding", 1, 3), 3)).alias("n"))
     q["latest_embedding"] = lambda s, d: serving.latest_per_key(table(s, d, "embeddings").select("label", F.col("vec_id").alias("asof")), "label", "asof")
     q["vector_upsert"] = lambda s, d: files.upsert(table(s, d, "embeddings").select("vec_id", F.lit("old").alias("version")), table(s, d, "embeddings").where("vec_id % 3 = 0").select("vec_id", F.lit("new").alias("version")), ["vec_id"])
     q["preprocess_numeric"] = lambda s, d: _r(model.standardise(table(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), model.numeric_parameters(table(s, d, "part"), ["p_size", "p_retailprice"])), "p_size", "p_retailprice")
@@ -262,7 +258,7 @@ def oracle_sql() -> dict:
         from cl join a using (cluster) join b using (cluster) join c on c.cluster = cl.cluster and c.k = 1"""
     q["dedupe_summary"] = f"with {_CLUSTERS}, k as (select count(*) as n from cl group by cluster), s as (select (select count(*) from pe) as leads, (select count(*) from pr) as candidate_pairs, count(*) as clusters, count(*) filter (n > 1) as duplicate_clusters, coalesce(sum(n) filter (n > 1), 0)::bigint as duplicate_leads, count(*) filter (n >= 4) as large_clusters, max(n) as largest from k) select *, leads * (leads - 1) // 2 as naive_comparisons, leads * (leads - 1) // 2 - candidate_pairs as avoided, round(duplicate_leads / leads, 6) as duplicate_rate from s"
     h = f"{_PERSONS}, s as (select a, b, name_exact, {grade} as grade, {stratum} as stratum, md5(concat('42:', a, ':', b)) as h from ev), r as (select *, row_number() over (partition by stratum order by name_exact, h, a, b) as k from s), f as (select *, case when k > case stratum when 'other' then 0 else 50 end then 1 else 0 end as late from r where k <= 150)"
-    q["review_sample"] = f"with {h} select a, b, stratum, grade, null::int as label, null::varchar as note from f order by late, h, a, b limit 150"
+    q["review_sample"] = f"with {h} select a, b, stratum, grade from f order by late, h, a, b limit 150"
     q["brier"] = f"with {_SCORES} select round(avg((p - y) ** 2), 6) as brier from sc"
     bins = f"{_SCORES}, bi as (select {_BINS} as bin, count(*) as n, avg(p) as mp, avg(y) as ob from sc group by 1)"
     q["ece"] = f"with {bins} select round(sum(n * abs(mp - ob)) / sum(n), 6) as ece from bi"
