@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 from tessera.llm import crf
 
 _TAG = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: The same without quotes, for what follows a tag that never ends: it looks no farther than the next '<'.
+_LOOSE = re.compile(r"""<!--|<!\[CDATA\[|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>""")
+_TITLE_ENDS = re.compile("</title", re.I)
+_OPENS = re.compile(r"<[/!?a-zA-Z]")
+_ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-#: Elements whose content is no markup; without an end tag it is the rest of the page. None of it is text of the page.
-RAW = {"script", "style", "textarea", "title"}
+#: Elements whose content is no markup and no text of the page; without an end tag it is the rest of the page.
+RAW = {"script", "style"}
 #: Elements that seldom hold text of the page; the field decides.
-EMBEDDED = {"template", "noscript", "iframe", "object", "svg", "math", "canvas", "select", "audio", "video"}
+EMBEDDED = {"title", "textarea", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "select", "audio", "video"}
 #: Of these and what is inside them, a tag that ends in '/' opens nothing.
 FOREIGN = {"svg", "math"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -58,7 +63,7 @@ def _meanings(attrs: str) -> tuple[frozenset, bool]:
         if name == "hidden" and not value or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style":
-            hidden |= bool(re.search(r"display\s*:\s*none", value, re.I))
+            hidden |= bool(_NONE.search(value))
         elif name in ("class", "id", "role"):
             for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()):
                 if w in _MEANS:
@@ -70,11 +75,12 @@ def blocks(page: str | None) -> list[tuple[str, str, frozenset, int]]:
     """(text, own tag, ancestors' features, characters in links) of the leaf blocks with text, in page order.
 
     Null and empty pages have none. Unclosed, crossed and unknown tags, a page that breaks off and a
-    tag that never ends are read as far as they go; a '<' that starts no tag is text.
+    tag that never ends are read as far as they go; a '<' that starts no tag is text. What stands in the head, and a title
+    before any text, is no text of the page. Every character is looked at a bounded number of times.
     """
     page = page or ""
     out: list[tuple[str, str, frozenset, int]] = []
-    stack: list[tuple[str, frozenset]] = []
+    stack: list[tuple[str, frozenset, str]] = []  # tag, features, nearest block-level tag
     open_: dict[str, int] = {}
     parts: list[str] = []
     links, linked, at = 0, 0, 0
@@ -84,8 +90,7 @@ def blocks(page: str | None) -> list[tuple[str, str, frozenset, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                own = next((t for t, _ in reversed(stack) if t not in INLINE), "body")
-                out.append((text, own, stack[-1][1] if stack else frozenset(), linked))
+                out.append((text, stack[-1][2] if stack else "body", stack[-1][1] if stack else frozenset(), linked))
             parts.clear()
         linked = 0
 
@@ -98,14 +103,22 @@ def blocks(page: str | None) -> list[tuple[str, str, frozenset, int]]:
 
     def pop(tag: str) -> None:
         while stack:
-            t, _ = stack.pop()
+            t = stack.pop()[0]
             open_[t] -= 1
             if t == tag:
                 return
 
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
+    tag_at, seen, titles = _TAG, 0, True
+    while (start := page.find("<", max(at, seen))) >= 0:
+        m = tag_at.match(page, start)
+        if not m and tag_at is _TAG and _OPENS.match(page, start):
+            tag_at = _LOOSE  # no quoted reading of this tag ends before the page does
+            m = tag_at.match(page, start)
+        if not m:
+            seen = start + 1
+            continue
+        add(page[at:start])
+        at = seen = m.end()
         closing, tag, attrs = m.groups()
         if not tag:
             if (mark := m.group()) in ("<!--", "<![CDATA["):
@@ -116,8 +129,13 @@ def blocks(page: str | None) -> list[tuple[str, str, frozenset, int]]:
         if tag in RAW and not closing:
             end = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if tag not in INLINE:
-                flush()
+            flush()
+            continue
+        if tag == "title" and not closing and not out and not parts and not open_.get("body") and not open_.get("svg"):
+            if titles and (end := _TITLE_ENDS.search(page, at)):
+                at = end.start()
+            else:
+                titles = False  # none ends any more
             continue
         if tag == "br":
             parts.append(" ")
@@ -147,12 +165,14 @@ def blocks(page: str | None) -> list[tuple[str, str, frozenset, int]]:
             extra = extra | {"in_head"}
         elif tag == "body":
             extra = extra - {"has_main"}
-        stack.append((tag, above if extra <= above else above | extra))
+        block = tag if tag not in INLINE else stack[-1][2] if stack else "body"
+        stack.append((tag, above if extra <= above else above | extra, block))
         open_[tag] = open_.get(tag, 0) + 1
         links = open_.get("a", 0)
-    add(page[at:] if "<" not in page[at:] or not re.match(r"<[/!a-zA-Z][^<]*$", page[at:][page[at:].rfind("<") :]) else page[at:][: page[at:].rfind("<")])
+    last = page.rfind("<")
+    add(page[at:last] if last >= at and _OPENS.match(page, last) else page[at:])  # a tag that the page's end cuts off
     flush()
-    return [b for b in out if "hidden" not in b[2] and "in_head" not in b[2]]
+    return [b for b in out if "in_head" not in b[2]]
 
 
 def features(found: list[tuple[str, str, frozenset, int]]) -> list[list[str]]:
@@ -169,7 +189,7 @@ def features(found: list[tuple[str, str, frozenset, int]]) -> list[list[str]]:
         if dense:
             fs.append("dense_links")
         fs.append("ends" if text[-1] in ".!?…:;\"'»)" else "open_end")
-        if "©" in text or "copyright" in text[:60].lower():
+        if "©" in text or "copyright" in text.lower():
             fs.append("copyright")
         if not above:
             fs.append(f"bare+{size}")
@@ -229,7 +249,13 @@ def labelled_pages(n: int = 700, seed: int = 11) -> list[tuple[str, list[int]]]:
                 put(rng.choice(["<p>{}</p>", "<div class='comment'><p>{}</p></div>", "<li>{}</li>"]).format(sentence(2, 40)), 0)
             page.append(f"</{tag}>")
 
-        page.append("<html><body>")
+        def unseen() -> None:
+            tag = rng.choice(["div", "section", "p", "span"])
+            page.append(f"<{tag}{rng.choice([' hidden', ' style=\"display:none\"', ' aria-hidden=\"true\"'])}>")
+            put(f"<div>{sentence(1, 40)}</div>", 0)
+            page.append(f"</{tag}>")
+
+        page.append(rng.choice(["<html><body>", "<!doctype html><html><head><title>" + words(1, 6) + "</title></head><body>", "<title>" + words(1, 6) + "</title><body>"]))
         for extra in rng.sample(["menu", "head", "ad", "notice"], rng.randint(1, 4)):
             if extra == "menu":
                 menu()
@@ -269,6 +295,8 @@ def labelled_pages(n: int = 700, seed: int = 11) -> list[tuple[str, list[int]]]:
                 page.append("<table>")
                 put(f"<tr><td>{words(1, 4)}</td></tr>", 1)
                 page.append("</table>")
+            elif roll < 0.93:
+                unseen()
             else:
                 boxed(rng.choice(["ad", "notice", "share", "side"]), ["div", "aside"])
         if rng.random() < 0.2:
@@ -296,8 +324,9 @@ def model() -> tuple[dict[str, float], list[list[float]]]:
     data = []
     for page, labels in labelled_pages():
         found = blocks(page)
-        if len(found) == len(labels):
-            data.append((features(found), labels))
+        if len(found) != len(labels):
+            raise ValueError(f"a generated page has {len(found)} blocks and {len(labels)} labels")
+        data.append((features(found), labels))
     weights, chain = crf.train(data, 2, epochs=6, rate=0.15, decay=1e-3)
     return {f: float(w[1] - w[0]) for f, w in weights.items()}, chain.tolist()
 
