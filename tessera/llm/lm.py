@@ -2,15 +2,16 @@
 
 1. Documents are cut into blocks of about ``BLOCK_BYTES`` as they are read and written once to the shared folder, a row for
    each block with its documents' coded streams compressed together.
-2. The words of each block are counted and dealt into shards by a hash of the word, one packed row for each block and
-   shard; a shard sums its words over all blocks and returns to each block the counts of that block's own words. So no
-   vocabulary is ever held as a whole, and a shard holds about the words of ``SHARD_BYTES`` of text.
-3. So are the nibbles of every context: each block deals the cells it has, counted over its training documents, into shards
-   by the slot's hash, and a shard returns to each block the corpus counts of that block's own slots. What is kept of the
-   contexts thus grows with the corpus, and no table of them is ever held as a whole or broadcast.
-4. The weights of the mixer are learned online on the development part (1 in ``DEV`` of the training documents) with counts
-   that leave it out, in blocks of their own of about ``TASK_BYTES``, and averaged. Other blocks' counts have that part too.
-5. Every block is scored with the log odds of its own slots and its own words' counts.
+2. Each block counts its words and the cells of its contexts over its training documents, those for development left
+   out of the cells, and deals both into shards, words by a hash and cells by name, one packed row for each block and
+   shard; of held-out documents come words and cells that count nothing. Contexts within a word are counted
+   by distinct word, those across words by byte.
+3. A shard sums over all blocks and returns to each block the counts of its own words and the log odds of its own
+   cells, which are all that the block's texts can ask for. So what is kept grows with the corpus, no vocabulary
+   or table is ever held as a whole, and a shard holds about the words and cells of ``SHARD_BYTES`` of text.
+4. The weights of the mixer are learned online on the development documents (1 in ``DEV`` of the training documents), which the
+   cells don't count, block by block, and averaged over all blocks; a vector of fixed length comes to the driver.
+5. Every block is scored with its own words' counts and cells' odds.
 """
 
 from __future__ import annotations
@@ -21,19 +22,18 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, TASK_BYTES, BATCH_BYTES, DEV = 16 << 20, 16 << 20, 8 << 20, 256 << 10, 16
-_MOST = (1 << 24) - 1  # of a count packed with its cell
-_WAITING = 1 << 20  # keys that a block gathers before it adds them
-_DENSE = 1 << 16  # slots whose counts are laid out at a time
+BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 16 << 20, 32 << 20, 256 << 10, 16
+_WAITING = 1 << 20  # cells that a block gathers before it adds them up
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -49,111 +49,51 @@ def _open(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-_BLOCK = "block long, ids array<long>, roles array<int>, sizes array<long>, streams binary"
-_KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
+_BLOCK = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "roles": pa.list_(pa.int32()), "streams": pa.binary(), "bytes": pa.int64(), "trained": pa.int64(), "hist": pa.list_(pa.float64())}
+_BLOCK_DDL = "block long, ids array<long>, roles array<int>, streams binary, bytes long, trained long, hist array<double>"
+
+
+def _row(kinds: dict, values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds.values())], list(kinds))
 
 
 def _cut(batches):
-    """One row per block: its documents' ids, roles (0 held out, 1 training, 2 development), sizes in bytes and streams."""
-    block, size, ids, roles, sizes, streams = TaskContext.get().partitionId() << 32, 0, [], [], [], []
+    """One row per block: its documents' ids, roles (0 held out, 1 training, 2 development) and streams, and how often its training documents have each byte."""
+    block, size, ids, roles, streams = TaskContext.get().partitionId() << 32, 0, [], [], []
 
     def row():
-        values = (block, ids, roles, sizes, _press(b"".join(streams)))
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS)], [c.split()[0] for c in _BLOCK.split(", ")])
+        trained = [s for s, r in zip(streams, roles) if r]
+        hist = np.bincount(np.frombuffer(b"".join(trained), np.uint8), minlength=256)
+        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams)), size, len(trained), hist.astype(float).tolist()))
 
     for batch in batches:
         for i, role, text in zip(batch.column("id").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
             if size > BLOCK_BYTES:
                 yield row()
-                block, size, ids, roles, sizes, streams = block + 1, 0, [], [], [], []
-            s = M.stream_of(text.as_py())
+                block, size, ids, roles, streams = block + 1, 0, [], [], []
             ids.append(i)
             roles.append(role)
-            sizes.append(len(text.as_buffer()) if text.is_valid else 0)
-            streams.append(s)
-            size += len(s)
+            streams.append(M.stream_of(text.as_py()))
+            size += len(streams[-1])
     if ids:
         yield row()
 
 
-def _documents(batch, k: int) -> list[bytes]:
-    """The streams of the documents of row k."""
-    return [x + b"\n" for x in _open(batch.column("streams")[k].as_py()).split(b"\n")[:-1]]
-
-
-def _block_words(shards: int):
-    """(shard, block, words, counts): the words of each block, and how often its training documents have them."""
-
-    def run(batches):
-        for batch in batches:
-            for k, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
-                c: Counter = Counter()
-                held: set[bytes] = set()
-                for role, s in zip(roles, _documents(batch, k)):
-                    (c if role else held).update(s.split())
-                c.update(dict.fromkeys(held.difference(c), 0))
-                dealt: dict[int, list[bytes]] = defaultdict(list)
-                for w in c:
-                    dealt[zlib.crc32(w) % shards].append(w)
-                words = [_press(b" ".join(ws)) for ws in dealt.values()]
-                counts = [_press(np.array([c[w] for w in ws], "<u4").tobytes()) for ws in dealt.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(dealt), pa.int64()), pa.array([block] * len(dealt), pa.int64()), pa.array(words, pa.binary()), pa.array(counts, pa.binary())], ["shard", "block", "words", "counts"])
-
-    return run
-
-
-def _shard_totals(table: pa.Table) -> pa.Table:
-    """(block, words, counts) with the corpus counts of the words that training has; and a row without a block whose stats are
-    the shard's sum, number of words and histogram of bytes."""
-    total: dict[bytes, int] = {}
-    split = [_open(x).split(b" ") for x in table.column("words").to_pylist()]
-    for words, raw in zip(split, table.column("counts").to_pylist()):
-        for w, n in zip(words, np.frombuffer(_open(raw), "<u4").tolist()):
-            total[w] = total.get(w, 0) + n
-    blocks, out_words, out_counts = [], [], []
-    for block, words, packed in zip(table.column("block").to_pylist(), split, table.column("words").to_pylist()):
-        n = np.array(list(map(total.__getitem__, words)), "<u8")
-        if not n.all():
-            words, n = [w for w, k in zip(words, n.tolist()) if k], n[n > 0]
-            packed = _press(b" ".join(words))
-        if words:
-            blocks.append(block)
-            out_words.append(packed)
-            out_counts.append(_press(n.tobytes()))
-    seen = [w for w, n in total.items() if n]
-    n = np.array([total[w] for w in seen], np.int64)
-    hist = np.bincount(np.frombuffer(b"".join(seen), np.uint8), weights=np.repeat(n, [len(w) for w in seen]), minlength=256).astype(np.int64)
-    stats = [None] * len(blocks) + [[int(n.sum()), len(seen), *hist.tolist()]]
-    return pa.table({"block": pa.array([*blocks, None], pa.int64()), "words": pa.array([*out_words, None], pa.binary()), "counts": pa.array([*out_counts, None], pa.binary()), "stats": pa.array(stats, pa.list_(pa.int64()))})
-
-
-def _streams(roles: list[int], documents: list[bytes]):
-    """Lists of (role, streams) of about BATCH_BYTES, one role in each."""
-    waiting: dict[int, list[bytes]] = {}
-    sizes: Counter = Counter()
-    for role, s in zip(roles, documents):
-        waiting.setdefault(role, []).append(s)
-        sizes[role] += len(s)
-        if sizes[role] >= BATCH_BYTES:
-            yield role, waiting.pop(role)
-            sizes[role] = 0
-    yield from waiting.items()
-
-
-def _development(batches):
-    """(block, k, stream): the k-th document of each block, if it is for development."""
-    for batch in batches:
-        for row, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
-            found = [(k, s) for k, (role, s) in enumerate(zip(roles, _documents(batch, row))) if role == 2]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["block", "k", "stream"])
+def _documents(packed: bytes) -> list[bytes]:
+    return [x + b"\n" for x in _open(packed).split(b"\n")[:-1]]
 
 
-def _gather(batches):
-    """One block of the partition's development documents; its number is below 0, and none of them counts."""
-    streams = [x for batch in batches for x in batch.column("stream").to_pylist()]
-    if streams:
-        values = ([-1 - TaskContext.get().partitionId()], [[0] * len(streams)], [_press(b"".join(streams))])
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (_KINDS[0], _KINDS[2], _KINDS[4]))], ["block", "roles", "streams"])
+def _batches(streams):
+    """Lists of streams of about BATCH_BYTES."""
+    held, size = [], 0
+    for s in streams:
+        held.append(s)
+        size += len(s)
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -177,141 +117,163 @@ def _heads(ascending: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.empty(0, np.int64)
 
 
-def _added(keys: list[np.ndarray]) -> np.ndarray:
-    """Keys of a cell, a role in 2 bits and a count in 24, ascending, with the counts of equal cells and roles added."""
-    key = np.concatenate(keys)
-    keys.clear()
-    key.sort()
-    head = _heads(key >> np.uint64(24))
-    n = np.add.reduceat(key & np.uint64(_MOST), head)
-    key = key[head] & ~np.uint64(_MOST)
-    most = np.uint64(_MOST)
-    if (n >= most).any():  # a count beyond 24 bits takes several keys
-        return np.concatenate([key + n % most, np.repeat(key + most, (n // most).astype(np.int64))])
-    return key + n
+def _added(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending names and the sums of their counts."""
+    name, n = np.concatenate([*names, np.empty(0, np.uint64)]), np.concatenate([*counts, np.empty(0, np.int64)])
+    order = np.argsort(name)
+    name = name[order]
+    head = _heads(name)
+    return name[head], np.add.reduceat(n[order], head) if len(head) else n
 
 
-_COUNTED = "shard long, block long, cells binary, main binary, dev binary"
+_DEALT = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
+_DEALT_DDL = "kind int, shard long, block long, a binary, b binary"
 
 
-def _count(rank: np.ndarray, bits: int, shards: int):
-    """The cells of each block, ascending, and how often its training documents have them, without and in the development
-    part. Of held-out documents come the slots, as cells that count nothing."""
-    bounds = np.array([(j << (bits - 4)) // shards << 6 for j in range(shards)] + [1 << (bits + 2)], np.uint64)
+def _count(rank: np.ndarray, shards: int):
+    """Rows of each block by shard. kind 0: its words, and how often its training documents have them; kind 1: its cells, ascending,
+    and how often its training documents but those for development have them."""
+    bounds = np.array([(j << M.HASH) // shards << 6 for j in range(shards)] + [1 << (M.HASH + 6)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            for row, (block, roles) in enumerate(zip(batch.column("block").to_pylist(), batch.column("roles").to_pylist())):
-                keys, waiting = [], 0
-                for role, streams in _streams(roles, _documents(batch, row)):
-                    found = M.cells(M.Coded(streams, rank, bits))
-                    found <<= np.uint64(26)
-                    found += np.uint64((role << 24) + 1)
-                    if not role:
-                        found &= ~np.uint64((15 << 26) + _MOST)
-                    keys.append(_added([found]))
-                    waiting += len(keys[-1])
+            for block, roles, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "roles", "streams"))):
+                documents = _documents(packed)
+                of = {r: [s for s, x in zip(documents, roles) if x == r] for r in (0, 1, 2)}
+                counted, dev, held = Counter(), Counter(), set()
+                for s in of[1]:
+                    counted.update(s.split())
+                for s in of[2]:
+                    dev.update(s.split())
+                for s in of[0]:
+                    held.update(s.split())
+                words = list(counted.keys() | dev.keys() | held)
+                dealt: dict[int, list[bytes]] = defaultdict(list)
+                for w in words:
+                    dealt[zlib.crc32(w) % shards].append(w)
+                for j, ws in dealt.items():
+                    yield _row(_DEALT, (0, j, block, _press(b" ".join(ws)), _press(np.array([counted[w] + dev[w] for w in ws], "<u4").tobytes())))
+
+                names, counts, waiting = [], [], 0
+                for role, streams in ((r, x) for r in of for x in _batches(of[r])):
+                    name = M.Coded(streams, rank).names()
+                    name.sort()
+                    head = _heads(name)
+                    names.append(name[head])
+                    counts.append(np.diff(np.append(head, len(name))) if role == 1 else np.zeros(len(head), np.int64))
+                    waiting += len(head)
                     if waiting > _WAITING:
-                        keys, waiting = [_added(keys)], 0
-                if not keys:
-                    continue
-                key = _added(keys)
-                key.sort()
-                cell, n, role = key >> np.uint64(26), key & np.uint64(_MOST), key >> np.uint64(24) & np.uint64(3)
-                head = _heads(cell)
-                main, dev = (np.add.reduceat(n * (role == r), head) for r in (1, 2))
-                cell = cell[head]
-                cut = np.searchsorted(cell, bounds)
+                        name, n = _added(names, counts)
+                        names, counts, waiting = [name], [n], 0
+                every = M.Words([*words, b"\n"], rank)
+                n = np.repeat(np.array([*(counted[w] for w in words), len(of[1])], np.int64), np.diff(every.starts))
+                for k in range(M.INSIDE):
+                    name, m = _added([every.names(k)], [n])
+                    names.append(name)
+                    counts.append(m)
+                name, n = _added(names, counts)
+                cut = np.searchsorted(name, bounds)
                 for j in range(shards):
-                    of = slice(cut[j], cut[j + 1])
                     if cut[j] < cut[j + 1]:
-                        values = (j, block, _steps(cell[of]), _pack(main[of]), _pack(dev[of]))
-                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], [c.split()[0] for c in _COUNTED.split(", ")])
+                        part = slice(cut[j], cut[j + 1])
+                        yield _row(_DEALT, (1, j, block, _steps(name[part]), _pack(n[part])))
 
     return run
 
 
-def _shard_cells(table: pa.Table) -> pa.Table:
-    """(block, cells, counts): the cells that training has in the slots of each block; for blocks of development documents as
-    counted without them, for others as counted in all."""
-    blocks = table.column("block").to_pylist()
-    own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in table.column("cells").to_pylist()]
-    cell = np.concatenate(own)
-    order = np.argsort(cell, kind="stable")
-    cell = cell[order]
-    head = _heads(cell)
-    main, dev = (np.add.reduceat(np.concatenate([_unpack(x) for x in table.column(c).to_pylist()])[order], head) for c in ("main", "dev"))
-    cell = cell[head]
-    slot = cell >> np.uint64(4)
-    head = _heads(slot)
-    names, size = slot[head], np.diff(head, append=len(slot))
-    full = main + dev
-    rows = []
-    for block, cells in zip(blocks, own):
-        mine = cells >> np.uint64(4)
-        at = np.searchsorted(names, mine[_heads(mine)])
-        n = size[at]
-        at = np.repeat(head[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        count = (main if block < 0 else full)[at]
-        at, count = at[count > 0], count[count > 0]
-        if len(at):
-            rows.append((block, _steps(cell[at]), _pack(count)))
-    return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate((("block", pa.int64()), ("cells", pa.binary()), ("times", pa.binary())))})
-
-
-def _own(table: pa.Table, bits: int) -> tuple[list[M.Slots], list[np.ndarray]]:
-    """(slots, log odds) of each context, from the rows that shards returned to a block."""
-    packed = zip(table.column("cells").to_pylist(), table.column("times").to_pylist())
-    rows = [(np.cumsum(_unpack(c), dtype=np.uint64), _unpack(n)) for c, n in packed if c is not None]
-    rows.sort(key=lambda r: r[0][0])
-    cell = np.concatenate([np.empty(0, np.uint64), *[r[0] for r in rows]])
-    count = np.concatenate([np.empty(0, np.uint64), *[r[1] for r in rows]])
-    slots, tables = [], []
-    for k in range(len(M.CONTEXTS)):
-        of = np.flatnonzero(cell >> np.uint64(4) & np.uint64(3) == k)
-        mine, n = cell[of], count[of]
-        head = _heads(mine >> np.uint64(6))
-        ends = np.append(head, len(mine))
-        slots.append(M.Slots((mine[head] >> np.uint64(6)).astype(np.uint32), bits))
-        tables.append(np.zeros(16 * (len(head) + 1), np.int8))
-        for a in range(0, len(head), _DENSE):
-            b = min(a + _DENSE, len(head))
-            part = slice(ends[a], ends[b])
-            dense = np.zeros((b - a, 16), np.uint64)
-            dense[np.repeat(np.arange(b - a), np.diff(ends[a : b + 1])), (mine[part] & np.uint64(15)).astype(np.int64)] = n[part]
-            tables[-1][16 * a : 16 * b] = M.odds(dense)
-    return slots, tables
-
-
-def _learn(rank: np.ndarray, bits: int):
-    """x of each block of development documents: bytes seen, the weights times that, then the calibration counts."""
+_FOUND_DDL = "kind int, block long, a binary, b binary, tokens long, types long"
+
+
+def _found(kind: int, rows: list[tuple], tokens: int | None = None, types: int | None = None) -> pa.Table:
+    """rows (block, a, b); with tokens and types a last row without a block."""
+    extra = [] if tokens is None else [(None, None, None)]
+    block, a, b = ([r[k] for r in rows + extra] for k in range(3))
+    n = len(rows)
+    last = lambda v: [None] * n + [v] * len(extra)
+    return pa.table({"kind": pa.array([kind] * len(block), pa.int32()), "block": pa.array(block, pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "tokens": pa.array(last(tokens), pa.int64()), "types": pa.array(last(types), pa.int64())})
+
+
+def _shard(table: pa.Table) -> pa.Table:
+    """What a shard returns to its blocks: of their words the corpus counts, of their cells the log odds; of words also the sum of the counts and how many words have one."""
+    blocks, a, b = (table.column(c).to_pylist() for c in ("block", "a", "b"))
+    if not table.column("kind")[0].as_py():
+        total: dict[bytes, int] = {}
+        split = [_open(x).split(b" ") if x else [] for x in a]
+        for words, raw in zip(split, b):
+            for w, n in zip(words, np.frombuffer(_open(raw), "<u4").tolist()):
+                total[w] = total.get(w, 0) + n
+        rows = [(block, x, _press(np.array(list(map(total.__getitem__, words)), "<u8").tobytes())) for block, x, words in zip(blocks, a, split)]
+        return _found(0, rows, sum(total.values()), sum(n > 0 for n in total.values()))
+    own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
+    name, n = _added(own, [_unpack(x).astype(np.int64) for x in b])
+    said = M.odds(name, n.astype(np.float32))
+    return _found(1, [(block, x, _pack(said[np.searchsorted(name, mine)])) for block, x, mine in zip(blocks, a, own)])
+
+
+def _own(found: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(words, counts, names of cells ascending, log odds) from the rows that shards returned to a block."""
+    words, counts, cells = [], [], []
+    for kind, a, b in zip(*(found.column(c).to_pylist() for c in ("kind", "a", "b"))):
+        if kind:
+            cells.append((np.cumsum(_unpack(a), dtype=np.uint64), _unpack(b).astype("<u4")))
+        else:
+            words += _open(a).split(b" ")
+            counts.append(np.frombuffer(_open(b), "<u8"))
+    cells.sort(key=lambda x: int(x[0][0]))
+    names, odds = (np.concatenate([np.empty(0, d), *[x[k] for x in cells]]) for k, d in ((0, np.uint64), (1, "<u4")))
+    return words, np.concatenate([np.empty(0, np.uint64), *counts]).astype(np.float64), names, odds
+
+
+class _Texts:
+    """Batches of a block's documents with what the mixer needs of them."""
+
+    def __init__(self, words: list[bytes], names: np.ndarray, odds: np.ndarray, rank: np.ndarray):
+        self.rank, self.names, self.odds = rank, names, odds
+        self.words = M.Words([*words, b"\n"], rank)
+        self.numbers = M.Numbers(self.words.keys)
+        self.by_word = {w: k for k, w in enumerate([*words, b"\n"])} if self.numbers.clash else None
+        self.inside = [M.lookup(self.words.names(k), names, odds) for k in range(M.INSIDE)]
+
+    def read(self, streams: list[bytes]) -> tuple[M.Coded, np.ndarray, np.ndarray, np.ndarray]:
+        """(coded, number of each word, place of each nibble among the words', log odds across words)."""
+        coded = M.Coded(streams, self.rank)
+        of = self.numbers.find(coded.keys) if self.by_word is None else np.array([self.by_word[w] for s in streams for w in M.words_of(s)])
+        return coded, of, coded.places(self.words, of), M.lookup(coded.names(), self.names, self.odds)
+
+
+def _development(batches):
+    """(block, streams): the documents of each block that are for development."""
+    for batch in batches:
+        for block, roles, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "roles", "streams"))):
+            if 2 in roles:
+                yield _row({"block": pa.int64(), "streams": pa.binary()}, (block, _press(b"".join(s for s, r in zip(_documents(packed), roles) if r == 2))))
+
+
+def _learn(rank: np.ndarray):
+    """x of each block with development documents: bytes seen, the weights times that, then the calibration counts."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        slots, tables = _own(found, bits)
-        w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))
-        squares = np.zeros(w.shape)
-        kept, size = [[]], 0
-        for k in range(docs.num_rows):
-            for s in _documents(docs, k):
-                if size > BATCH_BYTES:
-                    kept.append([])
-                    size = 0
-                kept[-1].append(s)
-                size += len(s)
-        for calibrate in (False, True):
-            for streams in kept:
-                if streams:
-                    M.learn(M.Coded(streams, rank, bits).locate(slots), tables, w, squares, apm, calibrate)
-        n = sum(len(x) for streams in kept for x in streams)
-        x = np.concatenate([[n], w.astype(np.float64).ravel() * n, apm.ravel()])
-        return pa.table({"x": pa.array([x.tolist()] if n else [], pa.list_(pa.float64()))})
+        out = []
+        for packed in docs.column("streams").to_pylist():
+            documents = _documents(packed)
+            words, _, names, odds = _own(found)
+            texts = _Texts(list({w for s in documents for w in s.split()}), names, odds, rank)
+            w, apm = M.start_weights(), np.zeros((2, 4, M.GATES * M.BUCKETS))
+            squares = np.zeros(w.shape)
+            for calibrate in (False, True):
+                for streams in _batches(documents):
+                    coded, _, at, across = texts.read(streams)
+                    M.learn([x.take(at) for x in texts.inside] + [across], coded.values, texts.words.gate.take(at), w, squares, apm, calibrate)
+            n = sum(map(len, documents))
+            out.append(np.concatenate([[n], w.astype(np.float64).ravel() * n, apm.ravel()]).tolist())
+        return pa.table({"x": pa.array(out, pa.list_(pa.float64()))})
 
     return run
 
 
-def _weights(x: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, refinement) from the sum of x over the development blocks, if there are any."""
-    w, apm = M.start_weights(), np.zeros((4, 2, M.BUCKETS * M.GATES))
+def _weights(x: list[float] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, refinement) from the sum of x over the blocks, if any has development documents."""
+    w, apm = M.start_weights(), np.zeros((2, 4, M.GATES * M.BUCKETS))
     if x:
         flat = np.array(x)
         w = (flat[1 : 1 + w.size] / flat[0]).reshape(w.shape).astype(np.float32)
@@ -319,106 +281,69 @@ def _weights(x: list[float]) -> tuple[np.ndarray, np.ndarray]:
     return w, M.refinement(apm)
 
 
-class _Counts(dict):
-    """Counts of words; an unknown one has 0, and is remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = 0
-        return 0
-
-
-def _score(rank, bits, train_tokens: int, types: int, ends: int):
+def _score(rank, w, apm, train_tokens: int, types: int, ends: int):
     floor = math.log10(train_tokens + 0.5 * (types + 1))
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        slots, tables = _own(found, bits)
-        w, apm = _weights(docs.column("x")[0].as_py() if docs.num_rows else [])
-        count_of = _Counts()
-        words = found.filter(pc.is_valid(found.column("words")))
-        for ws, raw in zip(words.column("words").to_pylist(), words.column("counts").to_pylist()):
-            count_of.update(zip(_open(ws).split(b" "), np.frombuffer(_open(raw), "<u8").tolist()))
+        words, known, names, odds = _own(found)
+        texts = _Texts(words, names, odds, rank)
+        count_of = np.append(known, float(ends))
+        inside = M.inside(texts.inside, texts.words.gate, w)
         n_tokens, n_known, base, sizes, scores = [], [], [], [], []
-        streams, counts, waiting = [], [], 0
-
-        def flush():
-            nonlocal streams, counts, waiting
-            if streams:
-                c = np.array(counts, np.float64)
+        for packed in docs.column("streams").to_pylist():
+            for streams in _batches(_documents(packed)):
+                coded, of, at, across = texts.read(streams)
+                c = count_of.take(of)
                 logs = np.log10(c + 0.5) - floor
-                head = np.concatenate([[0], np.cumsum(n_tokens[len(scores) :])[:-1]])
-                base.extend(np.add.reduceat(logs, head).tolist())
-                n_known.extend(np.add.reduceat((c > 0).astype(np.int64), head).tolist())
-                known = np.where(c > 0, logs * math.log(10), -np.inf)
-                scores.extend(M.score(M.Coded(streams, rank, bits).locate(slots), tables, w, apm, known, c).tolist())
-            streams, counts, waiting = [], [], 0
-
-        look_up = count_of.__getitem__
-        ids, roles = [], []
-        for k in range(docs.num_rows):
-            ids += docs.column("ids")[k].as_py()
-            roles += docs.column("roles")[k].as_py()
-            sizes += docs.column("sizes")[k].as_py()
-            for s in _documents(docs, k):
-                found = s.split()
-                if waiting + len(s) > BATCH_BYTES:
-                    flush()
-                n_tokens.append(len(found) + 1)
-                counts.extend(map(look_up, found))
-                counts.append(ends)
-                streams.append(s)
-                waiting += len(s)
-        flush()
-        bits_a_byte = [-x * math.log2(10) / max(1, n) for x, n in zip(scores, sizes)]
-        return pa.table([pa.array(ids, pa.int64()), pa.array([r == 0 for r in roles]), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(roles), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(bits_a_byte, pa.float64())], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+                first = np.searchsorted(coded.heads, coded.nibble[coded.starts[:-1]])
+                n_tokens += np.diff(np.append(first, len(c))).tolist()
+                n_known += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
+                base += np.add.reduceat(logs, first).tolist()
+                nibbles = M.nibble_scores(coded, inside.take(at), across, texts.words.gate.take(at), w, apm)
+                scores += M.score(coded, nibbles, np.where(c > 0, logs * math.log(10), -np.inf), c).tolist()
+                sizes += np.diff(coded.starts).tolist()
+        ids, roles = ([x for row in docs.column(c).to_pylist() for x in row] for c in ("ids", "roles"))
+        bits_a_byte = [-x * math.log2(10) / n for x, n in zip(scores, sizes)]
+        return pa.table([pa.array(ids, pa.int64()), pa.array([r == 0 for r in roles], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(roles), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(bits_a_byte, pa.float64())], names=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return run
 
 
-def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = M.BITS) -> DataFrame:
+def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte, one row per input row.
 
     Scores are log10 probabilities of the whole text: base_score of its words and one end under the smoothed
-    unigram counts, score under the mixture, bits_per_byte the latter over the text's bytes. Documents whose
-    crc32(id as text) mod 5 is 1 are held out and teach nothing. Null texts count as empty, null ids as the
-    empty id; repeated rows count and are returned as often as they come; only two columns are read. Without
-    training documents every bit has probability one half. A very long text is a block of its own.
+    unigram counts, score under the mixture, bits_per_byte the latter over the bytes that are coded (lower-cased words, a space after
+    each, an end). Documents whose crc32(id as text) mod 5 is 1 are held out and teach nothing. Null texts count as empty, null ids as
+    the empty id; repeated rows count and are returned as often as they come; only two columns are read. Without
+    training documents all contexts are unknown and the start weights stand. A very long text is a block of its own.
+    An empty table gives no rows.
     """
-    spark = docs.sparkSession
     crc = _crc(F.col(id_col))
     role = F.when(F.expr("c % 5") == 1, 0).when(F.expr(f"c div 5 % {DEV}") == 0, 2).otherwise(1)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), crc.alias("c"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", role.cast("int").alias("role"), "text")
-    blocks = materialise(rows.mapInArrow(_cut, _BLOCK), "blocks")
-
-    summed = lambda c, f: F.coalesce(F.sum(F.aggregate(c, F.lit(0).cast("long"), f)), F.lit(0))
-    size = blocks.agg(summed("sizes", lambda a, x: a + x).alias("bytes"), summed("roles", lambda a, x: a + (x > 0).cast("long")).alias("train")).first()
-    shards, ends = max(1, size["bytes"] // SHARD_BYTES), size["train"]
-    dealt = blocks.select("block", "roles", "streams").mapInArrow(_block_words(shards), "shard long, block long, words binary, counts binary")
-    words = materialise(dealt.groupBy("shard").applyInArrow(_shard_totals, "block long, words binary, counts binary, stats array<long>"), "words")
-    stats = words.where("block is null").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    stats = {r["k"]: r["x"] for r in stats}
-    train_tokens, types = stats.get(0, 0) + ends, stats.get(1, 0) + (ends > 0)
-    hist = {b: stats.get(2 + b, 0) for b in range(256)} | {M.SPACE: stats.get(0, 0), M.END: ends}
+    blocks = materialise(rows.mapInArrow(_cut, _BLOCK_DDL), "blocks")
+
+    size = blocks.groupBy(F.lit("all").alias("all")).agg(F.sum("bytes").alias("bytes"), F.sum("trained").alias("ends"), vector_to_array(Summarizer.sum(array_to_vector("hist"))).alias("hist")).first()
+    if size is None:
+        return docs.sparkSession.createDataFrame([], _SCHEMA)
+    shards, ends, hist = max(1, size["bytes"] // SHARD_BYTES), size["ends"], size["hist"]
     rank = np.full(256, M.TOP, np.uint8)
-    for k, b in enumerate(sorted(range(256), key=lambda b: (-hist.get(b, 0), b))[: M.TOP]):
-        rank[b] = k
-
-    dev = materialise(blocks.select("block", "roles", "streams").mapInArrow(_development, "block long, k long, stream binary"), "development")
-    tasks = max(1, (dev.agg(F.sum(F.octet_length("stream"))).first()[0] or 0) // TASK_BYTES)
-    dealt = dev.repartition(tasks, "block", "k").sortWithinPartitions("block", "k").select("stream")
-    dev = materialise(dealt.mapInArrow(_gather, "block long, roles array<int>, streams binary"), "gathered")
-
-    every = blocks.select("block", "roles", "streams").unionByName(dev)
-    counted = every.mapInArrow(_count(rank, bits, shards), _COUNTED)
-    found = counted.groupBy("shard").applyInArrow(_shard_cells, "block long, cells binary, times binary")
-    learned = dev.groupBy("block").cogroup(found.where("block < 0").groupBy("block")).applyInArrow(_learn(rank, bits), "x array<double>")
-    # the weights stay in the plan, so that one job reads what the shards return as it comes, and the counts are shuffled once for both
-    x = learned.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"))
-    x = x.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda v: v["x"]).alias("x"))
-
-    own = words.where("block is not null").select("block", "words", "counts").unionByName(found.where("block >= 0"), allowMissingColumns=True)
-    scorer = _score(rank, bits, train_tokens, types, ends)
-    return blocks.crossJoin(F.broadcast(x)).groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCHEMA)
+    rank[sorted(range(256), key=lambda b: (-hist[b], b))[: M.TOP]] = range(M.TOP)
+
+    counted = blocks.select("block", "roles", "streams").mapInArrow(_count(rank, shards), _DEALT_DDL)
+    found = materialise(counted.groupBy("kind", "shard").applyInArrow(_shard, _FOUND_DDL), "found")
+    stats = found.where("block is null").agg(F.sum("tokens"), F.sum("types")).first()
+    train_tokens, types = (stats[0] or 0) + ends, (stats[1] or 0) + (ends > 0)
+
+    own = found.where("block is not null").select("kind", "block", "a", "b")
+    dev = blocks.select("block", "roles", "streams").mapInArrow(_development, "block long, streams binary")
+    learned = dev.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_learn(rank), "x array<double>")
+    x = learned.groupBy(F.lit("all").alias("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).first()
+    w, apm = _weights(x and x["x"])
+    scorer = _score(rank, w, apm, train_tokens, types, ends)
+    return blocks.select("block", "ids", "roles", "streams").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

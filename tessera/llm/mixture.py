@@ -2,33 +2,41 @@
 
 A text is coded as a byte stream: its lower-cased words, a space after each, and one end byte. The
 ``TOP`` most frequent bytes are coded by one nibble, all others by an escape nibble and two more. Each bit
-of a nibble is predicted in the contexts of ``CONTEXTS``; a context's hash names a slot of 16 cells, the
-bits so far a cell within it, and the cell holds the log odds of a one as seen in training. Only slots that occur
-are held, so their number grows with the corpus. The
-predictions are added with weights chosen by a gate (which nibble, which bit, how far into the word), then
-refined: the weights by an online step of the document's own after its first 1, 3, 7, 15 ... times
-``CHUNK`` bytes, and the outcome by a table from predicted to observed odds. At last each word's probability is a mean
-of that of its bits and that of a unigram over known words, in shares that each document adapts (a Bayes mixture over
-``SHARES``, one for each kind of the word before). The probabilities of each bit's two values add to one, and
-so do the shares, so a text's is a proper probability.
+of a nibble is predicted in the contexts of ``CONTEXTS``: the last 2 and 3 bytes of the word so far, the whole word so far,
+and the last 5 bytes across words. A context's hash and a nibble's value name a cell; a cell holds, for each of the
+value's four bits, the log odds of a one in this context as seen in training. Only cells that occur are held, so their
+number grows with the corpus. What the contexts within a word predict is a matter of the word alone, so it is
+found once for each distinct word.
+
+The predictions are added with weights chosen by a gate (which nibble, how far into the word; for each bit), then
+refined by a table from predicted to observed odds. All this is adapted as a text is read, by a step of the document's own
+after every ``stride`` bytes: how far it trusts the contexts within words, that across words, a constant, and the
+share of the refinement. At last each word's probability is a mean of that of its bits and that of a unigram
+over known words, in shares that each document adapts (a Bayes mixture over ``SHARES``, one for each kind of the word
+before). The probabilities of each bit's two values add to one, and so do the shares, so a text's is a proper
+probability.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CONTEXTS = ("order2", "order3", "order5", "word")
+CONTEXTS = ("word2", "word3", "word", "order5")
 TOP, END, SPACE = 15, 10, 32
-BITS = 36  # of a cell's name: 4 within the slot, all others of the context's hash, at most 32
-CHUNK, RATE = 1024, 0.15
+HASH = 40  # bits of a context's hash in a cell's name; 2 of the context's number and 4 of the value follow
+FIRST, SLOWER = 256, 16
+#: Steps of a document's own trust in the contexts within words and across words, of its constant, and of its share.
+RATES = (0.05, 0.1, 0.04, 0.02)
 SCALE, LIMIT, PRIOR = 16.0, 7.9, 0.4
 PLACES, GATES = 4, 12  # 3 nibbles by 4 places in the word
 BUCKETS = 33
 _K = len(CONTEXTS)
+INSIDE, ACROSS = 3, 3  # contexts within a word; the number of the one across words
 _BASE = 0x100000001B3
-_M64 = np.uint64(0xC2B2AE3D27D4EB4F)
-_M32 = np.uint32(0x9E3779B1)
+_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_ESCAPED = np.uint64(0x8A5CD789635D2DFF)
 _ONE = np.float32(1)
+_PAD = b"\0" * 8
 
 
 def stream_of(text: str | None) -> bytes:
@@ -36,259 +44,346 @@ def stream_of(text: str | None) -> bytes:
     return b" ".join([*words, b""]) + b"\n"
 
 
+def words_of(stream: bytes) -> list[bytes]:
+    """The words of a stream and its end."""
+    return [*stream.split(), b"\n"]
+
+
+def stride(at: int) -> int:
+    """Bytes until the next step of a document that is read up to ``at``."""
+    return max(FIRST, at // SLOWER)
+
+
+def _mixed(key: np.ndarray) -> np.ndarray:
+    key ^= key >> np.uint64(29)
+    key *= np.uint64(0xBF58476D1CE4E5B9)
+    return key
+
+
+def _name(context: np.ndarray, k: int, values: np.ndarray) -> np.ndarray:
+    """Names of cells from a context's key and the nibbles' values."""
+    h = context * _MULT[k]
+    h = _mixed(h)
+    h >>= np.uint64(64 - HASH)
+    h <<= np.uint64(6)
+    h += values
+    if k:
+        h += np.uint64(k << 4)
+    return h
+
+
+def _nibbles(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values, byte of each nibble, which nibble of its byte, where escapes' second nibbles are)."""
+    code = rank[s]
+    esc = np.flatnonzero(code == TOP)
+    if not len(esc):
+        return code, np.arange(len(s)), np.zeros(len(s), np.uint8), esc
+    size = np.ones(len(s), np.int64)
+    size[esc] = 3
+    byte = np.repeat(np.arange(len(s)), size)
+    second = esc + 2 * np.arange(len(esc)) + 1
+    values, which = code[byte], np.zeros(len(byte), np.uint8)
+    values[second], values[second + 1] = s[esc] >> 4, s[esc] & 15
+    which[second], which[second + 1] = 1, 2
+    return values, byte, which, second
+
+
+def _escapes(key: np.ndarray, second: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The key with the nibbles already told of an escaped byte."""
+    if len(second):
+        key[second] += _ESCAPED
+        key[second + 1] += _ESCAPED * (values[second].astype(np.uint64) + np.uint64(2))
+    return key
+
+
+def _before(s: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The eight bytes before each one as a number, the nearest highest, 0 beyond the starts."""
+    out = np.ndarray((len(s) + 1,), "<u8", _PAD + raw + _PAD, strides=(1,))[: len(s)].copy()
+    for k in range(8):
+        at = starts[size > k] + k
+        out[at] &= np.uint64(((1 << 8 * k) - 1) << 8 * (8 - k))
+    return out
+
+
+class Words:
+    """Distinct words, and the end as one: their nibbles with values and gates, and the names of the nibbles' cells in the contexts within a word."""
+
+    __slots__ = ("_before", "_prefix", "_second", "gate", "keys", "starts", "values")
+
+    def __init__(self, words: list[bytes], rank: np.ndarray):
+        raw = b"".join([w if w == b"\n" else w + b" " for w in words])
+        s = np.frombuffer(raw, np.uint8)
+        size = np.fromiter((len(w) + (w != b"\n") for w in words), np.int64, len(words))
+        heads = np.cumsum(size) - size
+        up, down = _powers(len(s) + 1)
+        total = np.zeros(len(s) + 1, np.uint64)
+        np.cumsum((s + np.uint64(1)) * up[: len(s)], out=total[1:])
+        self.keys = (total[heads + size] - total[heads]) * down[heads]
+        place = np.minimum(np.arange(len(s)) - np.repeat(heads, size), PLACES - 1).astype(np.uint8)
+        self.values, byte, which, self._second = _nibbles(s, rank)
+        self.gate = place[byte] + which * np.uint8(PLACES)
+        self._before = _before(s, raw, heads, size)[byte]
+        self._prefix = ((total[: len(s)] - np.repeat(total[heads], size)) * np.repeat(down[heads], size))[byte]
+        self.starts = np.append(np.searchsorted(byte, heads), len(byte))
+
+    def names(self, k: int) -> np.ndarray:
+        key = self._prefix.copy() if k == 2 else self._before >> np.uint64(48 if k == 0 else 40)
+        return _name(_escapes(key, self._second, self.values), k, self.values)
+
+
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 19)
+        size = max(n, 1 << 18)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-class Part:
-    """Nibbles of one turn: values, gates, slots of each context, and the byte of the stream that each belongs to."""
-
-    __slots__ = ("at", "gate", "slots", "values")
-
-    def __init__(self, values, gate, slots, at):
-        self.values, self.gate, self.slots, self.at = values, gate, slots, at
-
-    def pick(self, where) -> Part:
-        return Part(self.values[where], self.gate[where], [s[where] for s in self.slots], None if self.at is None else self.at[where])
-
-
 class Coded:
-    """The nibbles of some documents: parts[0] has one for each byte, parts[1] and parts[2] those after an escape; starts of the documents and of their words and ends (heads) in bytes."""
+    """The nibbles of some documents in order; where documents (in bytes) and their words (in bytes and nibbles) begin, and the words' keys."""
 
-    __slots__ = ("heads", "parts", "starts")
+    __slots__ = ("_before", "_second", "heads", "keys", "nibble", "starts", "values")
 
-    def __init__(self, streams: list[bytes], rank: np.ndarray, bits: int = BITS):
-        s = np.frombuffer(b"".join(streams), np.uint8)
+    def __init__(self, streams: list[bytes], rank: np.ndarray):
+        raw = b"".join(streams)
+        s = np.frombuffer(raw, np.uint8)
         n = len(s)
-        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in streams])]).astype(np.int64)
-        first = self.starts[:-1]
-        b = []
-        for k in range(1, 6):  # the k-th byte before, 0 beyond the document's start
-            x = np.zeros(n, np.uint32)
-            x[k:] = s[:-k] if k < n else 0
-            for j in range(k):
-                hit = first + j
-                x[hit[hit < np.concatenate([first[1:], [n]])]] = 0
-            b.append(x)
-        opens = b[0] == SPACE
-        opens[first] = True
-        heads = np.flatnonzero(opens)
-        lengths = np.diff(np.concatenate([heads, [n]]))
-        start = np.repeat(heads, lengths)
+        size = np.fromiter(map(len, streams), np.int64, len(streams))
+        self.starts = np.concatenate([[0], np.cumsum(size)])
+        opens = np.empty(n + 1, bool)
+        opens[1:] = s == SPACE
+        opens[self.starts] = True
+        heads = np.flatnonzero(opens)  # with one at the end
         up, down = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((s + np.uint64(1)) * up[:n], out=total[1:])
-        prefix = (total[:n] - np.repeat(total[heads], lengths)) * np.repeat(down[heads], lengths)
-        self.heads = heads
-        o2 = b[0] | b[1] << np.uint32(8)
-        o3 = o2 | b[2] << np.uint32(16)
-        o5 = (o3 | b[3] << np.uint32(24)) * np.uint32(0x85EBCA6B) + b[4] * np.uint32(0xC2B2AE35)
-        ctx = (o2, o3, o5, ((prefix * _M64) >> np.uint64(32)).astype(np.uint32))
-        place = np.minimum(np.arange(n) - start, PLACES - 1).astype(np.uint8)
-        code = rank[s]
-        esc = np.flatnonzero(code == TOP)
-        shift = np.uint32(32 - (bits - 4))
-
-        def slots(where, extra):
-            out = []
-            for k, c in enumerate(ctx):
-                h = (c if where is None else c[where]) + extra
-                h = h * _M32 + np.uint32(0x7FEB352D * (k + 1) & 0xFFFFFFFF)
-                h ^= h >> np.uint32(15)
-                h *= np.uint32(0x846CA68B)
-                out.append(h >> shift)
-            return out
-
-        high, low = s[esc] >> 4, s[esc] & 15
-        self.parts = [
-            Part(code, place.astype(np.int64), slots(None, np.uint32(0)), None),
-            Part(high, place[esc].astype(np.int64) + PLACES, slots(esc, np.uint32(0x3C6EF372)), esc),
-            Part(low, place[esc].astype(np.int64) + 2 * PLACES, slots(esc, (high.astype(np.uint32) + np.uint32(1)) * np.uint32(0x1B873593)), esc),
-        ]
-
-
-    def locate(self, slots: list[Slots]) -> Coded:
-        """Replaces the names of the slots by their places."""
-        for part in self.parts:
-            part.slots = [known.find(s) for known, s in zip(slots, part.slots)]
-        return self
-
-
-class Slots:
-    """The slots of a context that some documents need, found by name; the last place is of one never seen."""
-
-    __slots__ = ("first", "keys", "n", "shift")
-
-    def __init__(self, names: np.ndarray, bits: int = BITS):
-        """names: ascending, uint32."""
-        self.n, width = len(names), bits - 4
-        top = min(width, self.n.bit_length() + 1)
-        self.shift = np.uint32(width - top)
-        self.first = np.searchsorted(names, np.arange(1 << top, dtype=np.uint32) << self.shift).astype(np.int32)
-        self.keys = np.concatenate([names, np.array([0xFFFFFFFF], np.uint32)])
-
-    def find(self, names: np.ndarray) -> np.ndarray:
-        at = self.first.take(names >> self.shift)
-        left = np.flatnonzero(self.keys.take(at) != names)
+        self.keys = (total[heads[1:]] - total[heads[:-1]]) * down[heads[:-1]]
+        self.values, byte, _, self._second = _nibbles(s, rank)
+        before = _before(s, raw, self.starts[:-1], size)
+        if len(byte) == n:
+            self.nibble, self._before = np.arange(n + 1), before
+        else:
+            self.nibble, self._before = np.append(np.searchsorted(byte, np.arange(n)), len(byte)), before[byte]
+        self.heads = self.nibble[heads[:-1]]
+
+    def names(self) -> np.ndarray:
+        """Of each nibble's cell in the context across words."""
+        return _name(_escapes(self._before >> np.uint64(24), self._second, self.values), ACROSS, self.values)
+
+    def places(self, words: Words, of: np.ndarray) -> np.ndarray:
+        """Where the nibbles stand among those of distinct words; of: the number of each word."""
+        begin = words.starts[of]
+        size = words.starts[of + 1] - begin
+        return np.repeat(begin - self.heads, size) + np.arange(len(self.values))
+
+
+def lookup(names: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of cells by name; keys ascending; 0 for one that isn't there.
+
+    Names are sorted with their places, 18 bits beside 46, and met with the keys in order, which spares the memory
+    the jumps of a table.
+    """
+    out = np.zeros(len(names), values.dtype)
+    if not len(keys):
+        return out
+    for a in range(0, len(names), 1 << 18):
+        part = names[a : a + (1 << 18)] << np.uint64(18)
+        part += np.arange(len(part), dtype=np.uint64)
+        part.sort()
+        place = (part & np.uint64((1 << 18) - 1)).astype(np.int64)
+        part >>= np.uint64(18)
+        head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        one = part[head]
+        at = np.searchsorted(keys, one)
+        at[at == len(keys)] = 0
+        found = np.where(keys[at] == one, values[at], values.dtype.type(0))
+        out[a + place] = np.repeat(found, np.diff(np.append(head, len(part))))
+    return out
+
+
+class Numbers:
+    """The number of each word by its key; words whose keys are alike can't be told apart, which ``clash`` says."""
+
+    __slots__ = ("clash", "first", "keys", "numbers", "shift")
+
+    def __init__(self, keys: np.ndarray):
+        self.numbers = np.argsort(keys, kind="stable")
+        self.keys = keys[self.numbers]
+        self.clash = bool((self.keys[1:] == self.keys[:-1]).any())
+        top = min(40, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - top)
+        spread = _spread(self.keys)
+        by = np.argsort(spread, kind="stable")
+        self.keys, self.numbers, spread = self.keys[by], self.numbers[by], spread[by]
+        self.first = np.searchsorted(spread, np.arange(1 << top, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.keys = np.append(self.keys, np.uint64(0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Every key must be there."""
+        at = self.first.take((_spread(keys) >> self.shift).view(np.int64)).astype(np.int64)
+        left = np.flatnonzero(self.keys.take(at) != keys)
         while len(left):
-            want, key = names.take(left), self.keys.take(at.take(left))
-            at[left[key > want]] = self.n
-            left = left[key < want]
             at[left] += 1
-        return at
+            left = left[self.keys.take(at.take(left)) != keys.take(left)]
+        return self.numbers.take(at)
 
 
-def cells(coded: Coded) -> np.ndarray:
-    """The name of each nibble's cell in every context, ascending: slot, context in 2 bits, value in 4."""
-    out = [(s.astype(np.uint64) << np.uint64(6)) + (part.values.astype(np.uint64) + np.uint64(16 * k)) for part in coded.parts for k, s in enumerate(part.slots)]
-    out = np.concatenate(out)
-    out.sort()
-    return out
+def _spread(keys: np.ndarray) -> np.ndarray:
+    return _mixed(keys * np.uint64(0x9E3779B97F4A7C15))
+
 
+def odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Packed log odds of cells, by ascending names, from how often each occurs.
 
-def odds(counts: np.ndarray) -> np.ndarray:
-    """Cells of log odds, scaled to int8, from nibble counts; 16 cells a slot, cell 1 the first bit's, 2-3 the second's, and so on."""
-    c = counts.reshape(-1, 16).astype(np.float32)
-    out = np.zeros(c.shape, np.float32)
-    for level in range(4):
-        parts = c.reshape(-1, 1 << level, 2, 8 >> level).sum(axis=3)
-        out[:, (1 << level) : (2 << level)] = np.log((parts[:, :, 1] + PRIOR) / (parts[:, :, 0] + PRIOR))
-    return np.round(np.clip(out, -LIMIT, LIMIT) * SCALE).astype(np.int8).ravel()
+    Byte j of a cell's number is the log odds, times SCALE, that bit j of the nibble is one after the bits before it.
+    """
+    slot = names >> np.uint64(4)
+    head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, np.int64)
+    out = np.empty((len(names), 4), np.int8)
+    for a in range(0, len(head), 1 << 16):
+        lo, hi = head[a], head[a + (1 << 16)] if a + (1 << 16) < len(head) else len(names)
+        own = np.repeat(np.arange(min(1 << 16, len(head) - a)), np.diff(np.append(head[a : a + (1 << 16)], hi)))
+        value = (names[lo:hi] & np.uint64(15)).astype(np.int64)
+        dense = np.zeros((own[-1] + 1, 16), np.float32)
+        dense[own, value] = counts[lo:hi]
+        for level in range(4):
+            parts = dense.reshape(-1, 1 << level, 2, 8 >> level).sum(axis=3)
+            x = np.log((parts[:, :, 1] + np.float32(PRIOR)) / (parts[:, :, 0] + np.float32(PRIOR)))
+            x = np.round(np.clip(x, -LIMIT, LIMIT) * SCALE).astype(np.int8)
+            out[lo:hi, level] = x[own, value >> (4 - level)]
+    return out.view("<u4").ravel()
 
 
 def start_weights() -> np.ndarray:
-    """(level, context and bias, gate); a prediction's unit is 1 / SCALE."""
-    w = np.full((4, _K + 1, GATES), 0.4 / SCALE, np.float32)
-    w[:, -1] = 0
+    """(context and bias, bit, gate); a prediction's unit is 1 / SCALE."""
+    w = np.full((_K + 1, 4, GATES), 0.4 / SCALE, np.float32)
+    w[-1] = 0
     return w
 
 
-def _slots(part: Part, tables: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(the 16 cells of each nibble's slot, one after another, of each context; where each nibble's begin)."""
-    cells = [t.view(np.complex128).take(s).view(np.int8) for t, s in zip(tables, part.slots)]
-    return cells, np.arange(0, 16 * len(part.values), 16)
-
+#: 1 where a bit of a nibble is 0 and -1 where it is 1, (bit, value); and the bits themselves.
+_SIDE = np.array([[1.0 - 2 * (v >> (3 - j) & 1) for v in range(16)] for j in range(4)], np.float32)
 
-def _level(part: Part, cells: list[np.ndarray], begin: np.ndarray, level: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(predictions in int8 of each context, bits) of one bit of the nibbles."""
-    node = begin + (part.values >> (4 - level))
-    node += 1 << level
-    return [c.take(node) for c in cells], part.values >> (3 - level) & 1
 
+def bits_of(packed: np.ndarray) -> np.ndarray:
+    """(4, n) predictions of packed log odds."""
+    return np.ascontiguousarray(packed.view(np.int8).reshape(-1, 4).T).astype(np.float32)
 
-def _mix(st: list[np.ndarray], w: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    z = w[_K].take(gate)
-    for k in range(_K):
-        wk = w[k].take(gate)
-        wk *= st[k]
-        z += wk
-    return z
 
-
-def _cell(z: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Places in a refinement table; row: where the gates' buckets begin."""
+def _cell(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Places in a refinement table (bit, gate, bucket), for each bit."""
     at = z * np.float32(2)
     np.clip(at, -16, 16, out=at)
     at += np.float32(16.5)
     cell = at.astype(np.int64)
-    cell += row
+    cell += gate.astype(np.int64) * BUCKETS
+    for j in range(1, 4):
+        cell[j] += j * BUCKETS * GATES
     return cell
 
 
-def learn(coded: Coded, tables: list[np.ndarray], w: np.ndarray, squares: np.ndarray, apm: np.ndarray, calibrate: bool) -> None:
-    """One online pass, a step of Adagrad on the weights after every 32 K nibbles; or, to calibrate, no steps but counts of predicted against seen bits in apm."""
-    for whole in coded.parts:
-        for a in range(0, len(whole.values), 32_768):
-            part = whole.pick(slice(a, a + 32_768))
-            gate = part.gate
-            n = np.maximum(np.bincount(gate, minlength=GATES), 64)
-            cells, begin = _slots(part, tables)
-            for level in range(4):
-                st, bit = _level(part, cells, begin, level)
-                z = _mix(st, w[level], gate)
-                if calibrate:
-                    cell = _cell(z, gate * BUCKETS)
-                    apm[level, 1] += np.bincount(cell, weights=bit, minlength=BUCKETS * GATES)
-                    apm[level, 0] += np.bincount(cell, weights=1 - bit, minlength=BUCKETS * GATES)
-                    continue
-                err = bit - _ONE / (_ONE + np.exp(-z))
-                for k in range(_K + 1):
-                    grad = np.bincount(gate, weights=err * st[k] if k < _K else err, minlength=GATES) / n / (SCALE if k < _K else 1)
-                    squares[level, k] += grad * grad
-                    w[level, k] += (0.1 * grad / np.sqrt(squares[level, k] + 1e-4) / (SCALE if k < _K else 1)).astype(np.float32)
+def learn(st: list[np.ndarray], values: np.ndarray, gates: np.ndarray, w: np.ndarray, squares: np.ndarray, apm: np.ndarray, calibrate: bool) -> None:
+    """One online pass over nibbles with packed predictions st by context, a step of Adagrad on the weights after every 32 K nibbles; or, to calibrate, no steps but counts of predicted against seen bits in apm (2, bit, gate, bucket)."""
+    for a in range(0, len(values), 32_768):
+        part, gate = [bits_of(x[a : a + 32_768]) for x in st], gates[a : a + 32_768]
+        bit = (1 - _SIDE.take(values[a : a + 32_768], axis=1)) / 2
+        z = w[_K].take(gate, axis=1)
+        for k in range(_K):
+            z += part[k] * w[k].take(gate, axis=1)
+        if calibrate:
+            cell = _cell(z, gate).ravel()
+            flat = apm.reshape(2, -1)
+            flat[1] += np.bincount(cell, weights=bit.ravel(), minlength=flat.shape[1])
+            flat[0] += np.bincount(cell, weights=1 - bit.ravel(), minlength=flat.shape[1])
+            continue
+        err = bit - _ONE / (_ONE + np.exp(-z))
+        n = np.maximum(np.bincount(gate, minlength=GATES), 64)
+        for k in range(_K + 1):
+            scale = SCALE if k < _K else 1
+            for j in range(4):
+                grad = np.bincount(gate, weights=err[j] * part[k][j] if k < _K else err[j], minlength=GATES) / n / scale
+                squares[k, j] += grad * grad
+                w[k, j] += (0.1 * grad / np.sqrt(squares[k, j] + 1e-4) / scale).astype(np.float32)
 
 
 def refinement(apm: np.ndarray) -> np.ndarray:
-    """(4, GATES * BUCKETS) log odds from the counts (4, 2, ...); buckets seen little keep the prediction."""
-    p = 1 / (1 + np.exp(-np.tile((np.arange(BUCKETS) - 16) / 2.0, GATES)))
-    return np.log((apm[:, 1] + 50 * p) / (apm[:, 0] + 50 * (1 - p))).astype(np.float32)
-
-
-def _run(part: Part, bounds: np.ndarray, tables, w, apm, own, grads) -> np.ndarray:
-    """Natural logarithms of the nibbles' probabilities; adds to grads, unless None, the sums of each document, whose nibbles lie between its bounds."""
+    """Log odds by (bit, gate, bucket), flat, from the counts (2, bit, gate, bucket); buckets seen little keep the prediction."""
+    apm = apm.reshape(2, -1)
+    p = 1 / (1 + np.exp(-np.tile((np.arange(BUCKETS) - 16) / 2.0, GATES * 4)))
+    return np.log((apm[1] + 50 * p) / (apm[0] + 50 * (1 - p))).astype(np.float32)
+
+
+def inside(st: list[np.ndarray], gate: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What the contexts within words and the bias add up to at each nibble of distinct words: four float32, packed in a complex128."""
+    out = np.empty((len(gate), 4), np.float32)
+    for a in range(0, len(gate), 1 << 16):
+        g = gate[a : a + (1 << 16)]
+        z = w[_K].take(g, axis=1)
+        for k in range(INSIDE):
+            z += bits_of(st[k][a : a + (1 << 16)]) * w[k].take(g, axis=1)
+        out[a : a + (1 << 16)] = z.T
+    return out.view(np.complex128).ravel()
+
+
+def _run(within, across, gate, values, w, apm, own, bounds, goes_on) -> tuple[np.ndarray, np.ndarray]:
+    """(logarithms of the nibbles' probabilities, the gradient by each document's own numbers); a document's nibbles lie between its bounds."""
     size = np.diff(bounds)
-    some = np.flatnonzero(size)
-    head = bounds[some]
-    gate = part.gate if own is None else part.gate + np.repeat(np.arange(len(size)) * GATES, size)
-    total, row = np.zeros(len(part.values), np.float32), part.gate * BUCKETS
-    cells, begin = _slots(part, tables)
-    for level in range(4):
-        st, bit = _level(part, cells, begin, level)
-        z = _mix(st, w[level] if own is None else (w[level][:, None] + own[:, :, None]).reshape(_K + 1, -1), gate)
-        fine = apm[level].take(_cell(z, row))
-        fine += z
-        fine *= np.float32(0.5) - bit
-        np.minimum(fine, np.float32(60), out=fine)
-        np.exp(fine, out=fine)
-        fine += _ONE
-        np.log(fine, out=fine)
-        total -= fine
-        if grads is not None and len(some):
-            err = bit - _ONE / (_ONE + np.exp(-z))
-            for k in range(_K):
-                grads[k, some] += np.add.reduceat(err * st[k], head)
-            grads[_K, some] += np.add.reduceat(err, head)
-    return total
-
-
-def byte_scores(coded: Coded, tables: list[np.ndarray], w: np.ndarray, apm: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the probability of each byte; every document starts from the same weights and refines its own."""
+    within = np.ascontiguousarray(within.view(np.float32).reshape(-1, 4).T)
+    across = bits_of(across)
+    across *= w[ACROSS].take(gate, axis=1)
+    if own is None:
+        z, share = within + across, np.float32(0.5)
+    else:
+        a, b, c, share = (np.repeat(x, size) for x in own.T)
+        z = within * a
+        z += across * b
+        z += c
+    more = apm.take(_cell(z, gate))
+    more -= z
+    side = _SIDE.take(values, axis=1)
+    e = (more * share + z) * side
+    np.minimum(e, np.float32(60), out=e)
+    np.exp(e, out=e)
+    total = e + _ONE
+    loss = np.log(total).sum(axis=0)
+    if not goes_on:
+        return -loss, None
+    e /= total
+    e *= side
+    grads = [np.einsum("jn,jn->n", e, x) for x in (within, across)] + [e.sum(axis=0), np.einsum("jn,jn->n", e, more)]
+    return -loss, -np.stack([np.add.reduceat(g, bounds[:-1]) for g in grads], axis=1)
+
+
+def nibble_scores(coded: Coded, within: np.ndarray, across: np.ndarray, gate: np.ndarray, w: np.ndarray, apm: np.ndarray, adapts: bool = True) -> np.ndarray:
+    """Natural logarithm of the probability of each nibble; every document starts from the same weights and adapts its own.
+
+    within: the sums of the contexts within words, packed as by ``inside``; across: packed log odds of the context across words.
+    """
     starts, docs = coded.starts, len(coded.starts) - 1
-    size, out = np.diff(starts), np.zeros(starts[-1], np.float32)
-    own = np.zeros((_K + 1, docs), np.float32)
-    scale = np.array([1 / SCALE] * _K + [1.0], np.float32)[:, None]
-    lo, turn = 0, 0
+    size, out = np.diff(starts), np.zeros(len(across), np.float32)
+    own = np.tile(np.array([1, 1, 0, 0.5], np.float32), (docs, 1))
+    rates = np.array(RATES, np.float32)
+    lo = 0
     while len(live := np.flatnonzero(size > lo)):
-        hi = lo + (CHUNK << turn)
+        hi = lo + stride(lo) if adapts else int(size.max())
         for goes_on in (False, True):
             who = live[(size[live] > hi) == goes_on]
             if not len(who):
                 continue
-            n = np.minimum(size[who], hi) - lo
-            a = starts[who] + lo
-            head = np.concatenate([[0], np.cumsum(n)])
-            grads = np.zeros((_K + 1, len(who)), np.float32) if goes_on else None
-            mine = own[:, who] if turn else None
-            at = np.repeat(a - head[:-1], n) + np.arange(head[-1])
-            out[at] += _run(coded.parts[0].pick(at), head, tables, w, apm, mine, grads)
-            for part in coded.parts[1:]:
-                left, right = np.searchsorted(part.at, a), np.searchsorted(part.at, a + n)
-                m = right - left
-                h = np.concatenate([[0], np.cumsum(m)])
-                if h[-1]:
-                    own_part = part.pick(np.repeat(left - h[:-1], m) + np.arange(h[-1]))
-                    out[own_part.at] += _run(own_part, h, tables, w, apm, mine, grads)
+            a, b = coded.nibble[starts[who] + lo], coded.nibble[starts[who] + np.minimum(size[who], hi)]
+            n = b - a
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(a - bounds[:-1], n) + np.arange(bounds[-1])
+            out[at], grad = _run(within.take(at), across.take(at), gate.take(at), coded.values.take(at), w, apm, own[who] if lo else None, bounds, goes_on)
             if goes_on:
-                own[:, who] += RATE * scale * scale * grads / n
-        lo, turn = hi, turn + 1
+                mine = own[who] + rates * grad / np.sqrt(n)[:, None]
+                mine[:, 3] = np.clip(mine[:, 3], 0, 1)
+                own[who] = mine
+        lo = hi
     return out
 
 
@@ -296,12 +391,12 @@ SHARES = (0.02, 0.25, 0.7)
 KINDS_BEFORE = 4
 
 
-def score(coded: Coded, tables: list[np.ndarray], w: np.ndarray, apm: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 of each document's probability. known: for each word and end, the logarithm of its unigram probability, -inf
-    if it has none; counts: how often training has it. The kind of the word before is by its count: 0, under 16, under 1024, more."""
-    bits = np.add.reduceat(byte_scores(coded, tables, w, apm), coded.heads, dtype=np.float64)
+def score(coded: Coded, nibbles: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log10 of each document's probability from its nibbles' logarithms. known: for each word and end, the logarithm of its unigram
+    probability, -inf if it has none; counts: how often training has it. The kind of the word before is by its count: 0, under 16, under 1024, more."""
+    bits = np.add.reduceat(nibbles, coded.heads, dtype=np.float64)
     docs = len(coded.starts) - 1
-    first = np.searchsorted(coded.heads, coded.starts[:-1])
+    first = np.searchsorted(coded.heads, coded.nibble[coded.starts[:-1]])
     kind = np.concatenate([[0], np.searchsorted([1, 16, 1024], counts[:-1], side="right")]).astype(np.int64)
     kind[first] = KINDS_BEFORE - 1
     cell = np.repeat(np.arange(docs), np.diff(np.concatenate([first, [len(bits)]]))) * KINDS_BEFORE + kind

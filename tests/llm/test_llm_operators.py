@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import catalogue, html_text, licences, lm, mixing, near_dup, packing, private, quality, toxic, vector_dup
+from tessera.llm import catalogue, html_text, licences, mixing, near_dup, packing, private, quality, toxic, vector_dup
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string"
@@ -241,80 +241,6 @@ def test_licences(spark):
     assert got == {1: ("MIT", "direct", None), 2: ("Apache-2.0", "inherited", "a/b"), 3: ("Apache-2.0", "direct", None), 4: (None, "none", None), 5: (None, "none", None), 6: (None, "none", None)}
 
 
-# language model
-def test_language_scores(spark):
-    texts = [*ODD, *[" ".join(words(200, 50 + k % 20)) for k in range(60)]]
-    got = {r["doc_id"]: r for r in lm.language_scores(documents(spark, texts), bits=16).collect()}
-    c, held = Counter(), {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in range(len(texts))}
-    for k, t in enumerate(texts):
-        if not held[k]:
-            c.update([*(t or "").lower().split(), None])
-    n, v = sum(c.values()), len(c)
-    for k, t in enumerate(texts):
-        tokens = [*(t or "").lower().split(), None]
-        assert got[k]["held_out"] == held[k] and got[k]["n_tokens"] == len(tokens) and got[k]["n_known"] == sum(c[x] > 0 for x in tokens) and got[k]["train_tokens"] == n
-        assert math.isclose(got[k]["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens), rel_tol=1e-9)
-        assert got[k]["score"] < 0
-    assert lm.language_scores(documents(spark, []), bits=16).count() == 0
-
-
-def test_probabilities_add_to_one():
-    """Over all texts of one byte and the end, with any tables."""
-    rng = np.random.default_rng(0)
-    tables = [rng.integers(-90, 90, 1 << 16).astype(np.int8) for _ in lm.M.CONTEXTS]
-    rank = np.full(256, lm.M.TOP, np.uint8)
-    rank[list(b" etaoinshrdlu\nc")] = range(15)
-    w, apm = lm.M.start_weights(), lm.M.refinement(np.zeros((4, 2, lm.M.BUCKETS * lm.M.GATES)))
-    streams = [bytes([b]) + b" \n" for b in range(256)]
-    first = [lm.M.byte_scores(lm.M.Coded([s], rank, 16), tables, w, apm)[0] for s in streams]
-    assert math.isclose(float(np.exp(np.array(first, np.float64)).sum()), 1 - _unused(rank, tables, w, apm), rel_tol=1e-3)
-
-
-def test_contexts_grow_with_the_corpus():
-    """Far more contexts than any fixed table of the package had get slots of their own."""
-    rng = np.random.default_rng(5)
-    letters = rng.integers(97, 123, (90_000, 8)).astype(np.uint8)
-    stream = b" ".join(x.tobytes() for x in letters) + b" \n"
-    rank = np.full(256, lm.M.TOP, np.uint8)
-    prefixes = {x[:k].tobytes() for x in letters for k in range(9)}
-    slots = lm.M.Coded([stream], rank).parts[0].slots[lm.M.CONTEXTS.index("word")]
-    assert len(prefixes) > 1 << 18 and abs(len(np.unique(slots)) - len(prefixes)) < 0.001 * len(prefixes)
-
-
-def test_shards_return_the_counts_of_all_blocks():
-    import pyarrow as pa
-
-    rank, bits = np.full(256, lm.M.TOP, np.uint8), 16
-    rank[list(b" etaoinshrdlu\nc")] = range(15)
-    streams = [lm.M.stream_of(" ".join(words(400, k))) for k in range(9)]
-    roles = [[1, 2, 0], [1, 1, 0], [0, 0, 0]]  # the last block's number is below 0: it gets odds without role 2
-    batch = pa.table({"block": [0, 1, -1], "roles": roles, "streams": [lm._press(b"".join(streams[3 * k : 3 * k + 3])) for k in range(3)]}).to_batches()[0]
-    counted = pa.Table.from_batches(list(lm._count(rank, bits, 3)([batch])))
-    back = pa.concat_tables([lm._shard_cells(counted.filter(pa.compute.equal(counted["shard"], j))) for j in range(3)])
-    for row, block in enumerate([0, 1, -1]):
-        found, tables = lm._own(back.filter(pa.compute.equal(back["block"], block)), bits)
-        for k in range(len(lm.M.CONTEXTS)):
-            dense = np.zeros(1 << bits, np.uint32)
-            for role, s in zip(sum(roles, []), streams):
-                if role == 1 or role == 2 and block >= 0:
-                    for part in lm.M.Coded([s], rank, bits).parts:
-                        np.add.at(dense, (part.slots[k].astype(np.int64) << 4) + part.values, 1)
-            want = lm.M.odds(dense).reshape(-1, 16)
-            for part in lm.M.Coded(streams[3 * row : 3 * row + 3], rank, bits).parts:
-                assert (tables[k].reshape(-1, 16)[found[k].find(part.slots[k])] == want[part.slots[k]]).all()
-
-
-def _unused(rank, tables, w, apm):
-    """Probability of escapes that spell a byte with a nibble of its own, which a coder never writes."""
-    total = 0.0
-    for b in range(256):
-        if rank[b] < lm.M.TOP:
-            other = rank.copy()
-            other[b] = lm.M.TOP
-            total += math.exp(float(lm.M.byte_scores(lm.M.Coded([bytes([b]) + b" \n"], other, 16), tables, w, apm)[0]))
-    return total
-
-
 # pipeline
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
