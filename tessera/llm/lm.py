@@ -3,22 +3,21 @@
 1. Documents are cut into blocks of about ``BLOCK_BYTES`` as they are read and written once to the shared folder, a row for
    each block with its documents' coded streams compressed together.
 2. Each block counts its words and the cells of its contexts over its training documents, those for development left
-   out of the cells, and deals both into shards, words by a hash and cells by name, one packed row for each block and
-   shard; of held-out documents come words and cells that count nothing. Contexts within a word are counted
-   by distinct word, those across words by byte.
+   out of the cells, and deals both into shards by hash, one packed row for each block, context and shard; of other
+   documents come words and cells that count nothing. Contexts within a word are counted by distinct word, those across
+   words by byte. Within a block words are told apart by a hash of 64 bits, within a shard by their letters.
 3. A shard sums over all blocks and returns to each block the counts of its own words and the log odds of its own
    cells, which are all that the block's texts can ask for. So what is kept grows with the corpus, no vocabulary
    or table is ever held as a whole, and a shard holds about the words and cells of ``SHARD_BYTES`` of text.
 4. The weights of the mixer are learned online on the development documents (1 in ``DEV`` of the training documents), which the
-   cells don't count, block by block, and averaged over all blocks; a vector of fixed length comes to the driver.
-5. Every block is scored with its own words' counts and cells' odds.
+   cells don't count, block by block, and averaged over all blocks.
+5. Every block is scored with its own words' counts and cells' odds. Steps 2 to 5 are one job, whose exchange of
+   the counts is written once and read by both.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 16 << 20, 32 << 20, 256 << 10, 16
+BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 16 << 20, 32 << 20, 512 << 10, 16
 _WAITING = 1 << 20  # cells that a block gathers before it adds them up
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -49,8 +48,9 @@ def _open(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-_BLOCK = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "roles": pa.list_(pa.int32()), "streams": pa.binary(), "bytes": pa.int64(), "trained": pa.int64(), "hist": pa.list_(pa.float64())}
-_BLOCK_DDL = "block long, ids array<long>, roles array<int>, streams binary, bytes long, trained long, hist array<double>"
+_STATS = -(1 << 62)  # the block to which shards report how many words training has
+_BLOCK = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "roles": pa.list_(pa.int32()), "streams": pa.binary(), "bytes": pa.int64(), "trained": pa.int64(), "tokens": pa.int64(), "hist": pa.list_(pa.float64())}
+_BLOCK_DDL = "block long, ids array<long>, roles array<int>, streams binary, bytes long, trained long, tokens long, hist array<double>"
 
 
 def _row(kinds: dict, values) -> pa.RecordBatch:
@@ -64,7 +64,7 @@ def _cut(batches):
     def row():
         trained = [s for s, r in zip(streams, roles) if r]
         hist = np.bincount(np.frombuffer(b"".join(trained), np.uint8), minlength=256)
-        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams)), size, len(trained), hist.astype(float).tolist()))
+        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams)), size, len(trained), sum(x.count(b" ") for x in trained), hist.astype(float).tolist()))
 
     for batch in batches:
         for i, role, text in zip(batch.column("id").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
@@ -117,147 +117,209 @@ def _heads(ascending: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.empty(0, np.int64)
 
 
-def _added(names: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _added(names: list[np.ndarray], counts: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending names and the sums of their counts."""
-    name, n = np.concatenate([*names, np.empty(0, np.uint64)]), np.concatenate([*counts, np.empty(0, np.int64)])
-    order = np.argsort(name)
-    name = name[order]
+    name, n = np.concatenate([*names, np.empty(0, np.uint64)]), np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.uint64)
+    low = np.uint64(60 - bits)
+    if not (n >> low).any():  # a name and its count fit in one number
+        name <<= low
+        name += n
+        name.sort()
+        n = name & ((np.uint64(1) << low) - np.uint64(1))
+        name >>= low
+    else:
+        order = np.argsort(name)
+        name, n = name[order], n[order]
     head = _heads(name)
-    return name[head], np.add.reduceat(n[order], head) if len(head) else n
+    return name[head], (np.add.reduceat(n, head) if len(head) else n).astype(np.int64)
+
+
+def _types(batches: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(batch, place in it, counts in training without and with development) of the distinct words of batches (role, keys of words)."""
+    keys, at, place, n1, n2 = [], [], [], [], []
+    for k, (role, of_words) in enumerate(batches):
+        order = np.argsort(of_words)
+        key = of_words[order]
+        head = _heads(key)
+        n = np.diff(np.append(head, len(key)))
+        keys.append(key[head])
+        at.append(np.full(len(head), k))
+        place.append(order[head])
+        n1.append(n * (role == 1))
+        n2.append(n * (role > 0))
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    head = _heads(key[order])
+    n1, n2 = (np.add.reduceat(np.concatenate(n)[order], head) for n in (n1, n2))
+    one = order[head]
+    return np.concatenate(at)[one], np.concatenate(place)[one], n1, n2
+
+
+def _distinct(roles_and_streams, rank: np.ndarray, each) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(distinct words with a space after each, counts in training without and with development) of batches (role, streams); each: called with every (role, coded)."""
+    raws, words, kept = [], [], []
+    for role, streams in roles_and_streams:
+        coded = M.Coded(streams, rank)
+        each(role, coded)
+        raws.append(np.frombuffer(b"".join(streams), np.uint8))
+        words.append(coded.words)
+        kept.append((role, coded.keys))
+    at, place, n1, n2 = _types(kept)
+    offset = np.cumsum([0, *map(len, raws)])
+    first = np.cumsum([0, *map(len, words)])
+    flat = np.concatenate(words)
+    begin, end = flat[first[at] + place], flat[first[at] + place + 1]
+    raw = np.concatenate(raws)
+    begin += offset[at]
+    end += offset[at]
+    real = raw[begin] != M.END
+    begin, size, n1, n2 = begin[real], (end - begin)[real], n1[real], n2[real]
+    head = np.cumsum(size) - size
+    return raw[np.repeat(begin - head, size) + np.arange(size.sum())].tobytes(), n1, n2
 
 
 _DEALT = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 _DEALT_DDL = "kind int, shard long, block long, a binary, b binary"
-
-
-def _count(rank: np.ndarray, shards: int):
-    """Rows of each block by shard. kind 0: its words, and how often its training documents have them; kind 1: its cells, ascending,
-    and how often its training documents but those for development have them."""
-    bounds = np.array([(j << M.HASH) // shards << 6 for j in range(shards)] + [1 << (M.HASH + 6)], np.uint64)
+_WORDS = len(M.CONTEXTS)  # the kind of rows of words; those of cells have the context's number
+
+
+def _count(rank: np.ndarray, bits: int, shards: int):
+    """Rows of each block by kind and shard: its words, and how often its training documents have them; and for each context its
+    cells, ascending, and how often its training documents but those for development have them. The cells of the development documents
+    come once more, counting nothing, for a block of their own, whose number is below 0."""
+    bounds = np.array([(j << bits) // shards << 4 for j in range(shards)] + [1 << (bits + 4)], np.uint64)
+
+    def cells(kind, block, names, counts):
+        name, n = _added(names, counts, bits)
+        cut = np.searchsorted(name, bounds)
+        for j in np.flatnonzero(np.diff(cut)).tolist():
+            part = slice(cut[j], cut[j + 1])
+            yield _row(_DEALT, (kind, j, block, _steps(name[part]), _pack(n[part])))
+
+    def words(block, raw, n):
+        s = np.frombuffer(raw, np.uint8)
+        end = np.flatnonzero(s == M.SPACE) + 1
+        begin = np.concatenate([[0], end[:-1]])
+        shard = (M.Words(raw, rank).keys[:-1] >> np.uint64(20)) % np.uint64(shards)
+        order = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        for j in np.flatnonzero(np.diff(cut)).tolist():
+            of = order[cut[j] : cut[j + 1]]
+            size = end[of] - begin[of]
+            head = np.cumsum(size) - size
+            letters = s[np.repeat(begin[of] - head, size) + np.arange(size.sum())].tobytes()
+            yield _row(_DEALT, (_WORDS, j, block, _press(letters), _pack(n[of].astype(np.uint64))))
 
     def run(batches):
         for batch in batches:
             for block, roles, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "roles", "streams"))):
                 documents = _documents(packed)
-                of = {r: [s for s, x in zip(documents, roles) if x == r] for r in (0, 1, 2)}
-                counted, dev, held = Counter(), Counter(), set()
-                for s in of[1]:
-                    counted.update(s.split())
-                for s in of[2]:
-                    dev.update(s.split())
-                for s in of[0]:
-                    held.update(s.split())
-                words = list(counted.keys() | dev.keys() | held)
-                dealt: dict[int, list[bytes]] = defaultdict(list)
-                for w in words:
-                    dealt[zlib.crc32(w) % shards].append(w)
-                for j, ws in dealt.items():
-                    yield _row(_DEALT, (0, j, block, _press(b" ".join(ws)), _press(np.array([counted[w] + dev[w] for w in ws], "<u4").tobytes())))
-
+                of = {r: [s for s, x in zip(documents, roles) if x == r] for r in (1, 2, 0)}
                 names, counts, waiting = [], [], 0
-                for role, streams in ((r, x) for r in of for x in _batches(of[r])):
-                    name = M.Coded(streams, rank).names()
+
+                def each(role, coded):
+                    nonlocal names, counts, waiting
+                    name = coded.names(bits)
                     name.sort()
                     head = _heads(name)
                     names.append(name[head])
                     counts.append(np.diff(np.append(head, len(name))) if role == 1 else np.zeros(len(head), np.int64))
                     waiting += len(head)
                     if waiting > _WAITING:
-                        name, n = _added(names, counts)
-                        names, counts, waiting = [name], [n], 0
-                every = M.Words([*words, b"\n"], rank)
-                n = np.repeat(np.array([*(counted[w] for w in words), len(of[1])], np.int64), np.diff(every.starts))
+                        names, counts = ([x] for x in _added(names, counts, bits))
+                        waiting = 0
+
+                if of[2]:
+                    raw, _, _ = _distinct(((2, x) for x in _batches(of[2])), rank, each)
+                    yield from cells(M.ACROSS, -1 - block, [x.copy() for x in names], counts)
+                    every = M.Words(raw, rank)
+                    for k in range(M.INSIDE):
+                        name = every.names(k, bits)
+                        yield from cells(k, -1 - block, [name], [np.zeros(len(name), np.int64)])
+                    names, counts, waiting = [], [], 0
+                raw, n1, n2 = _distinct(((r, x) for r in of for x in _batches(of[r])), rank, each)
+                yield from cells(M.ACROSS, block, names, counts)
+                if raw:
+                    yield from words(block, raw, n2)
+                every = M.Words(raw, rank)
+                n = np.repeat(np.append(n1, len(of[1])), np.diff(every.starts))
                 for k in range(M.INSIDE):
-                    name, m = _added([every.names(k)], [n])
-                    names.append(name)
-                    counts.append(m)
-                name, n = _added(names, counts)
-                cut = np.searchsorted(name, bounds)
-                for j in range(shards):
-                    if cut[j] < cut[j + 1]:
-                        part = slice(cut[j], cut[j + 1])
-                        yield _row(_DEALT, (1, j, block, _steps(name[part]), _pack(n[part])))
+                    yield from cells(k, block, [every.names(k, bits)], [n])
 
     return run
 
 
-_FOUND_DDL = "kind int, block long, a binary, b binary, tokens long, types long"
-
-
-def _found(kind: int, rows: list[tuple], tokens: int | None = None, types: int | None = None) -> pa.Table:
-    """rows (block, a, b); with tokens and types a last row without a block."""
-    extra = [] if tokens is None else [(None, None, None)]
-    block, a, b = ([r[k] for r in rows + extra] for k in range(3))
-    n = len(rows)
-    last = lambda v: [None] * n + [v] * len(extra)
-    return pa.table({"kind": pa.array([kind] * len(block), pa.int32()), "block": pa.array(block, pa.int64()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "tokens": pa.array(last(tokens), pa.int64()), "types": pa.array(last(types), pa.int64())})
-
-
-def _shard(table: pa.Table) -> pa.Table:
-    """What a shard returns to its blocks: of their words the corpus counts, of their cells the log odds; of words also the sum of the counts and how many words have one."""
-    blocks, a, b = (table.column(c).to_pylist() for c in ("block", "a", "b"))
-    if not table.column("kind")[0].as_py():
-        total: dict[bytes, int] = {}
-        split = [_open(x).split(b" ") if x else [] for x in a]
-        for words, raw in zip(split, b):
-            for w, n in zip(words, np.frombuffer(_open(raw), "<u4").tolist()):
-                total[w] = total.get(w, 0) + n
-        rows = [(block, x, _press(np.array(list(map(total.__getitem__, words)), "<u8").tobytes())) for block, x, words in zip(blocks, a, split)]
-        return _found(0, rows, sum(total.values()), sum(n > 0 for n in total.values()))
-    own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
-    name, n = _added(own, [_unpack(x).astype(np.int64) for x in b])
-    said = M.odds(name, n.astype(np.float32))
-    return _found(1, [(block, x, _pack(said[np.searchsorted(name, mine)])) for block, x, mine in zip(blocks, a, own)])
-
-
-def _own(found: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """(words, counts, names of cells ascending, log odds) from the rows that shards returned to a block."""
-    words, counts, cells = [], [], []
-    for kind, a, b in zip(*(found.column(c).to_pylist() for c in ("kind", "a", "b"))):
-        if kind:
-            cells.append((np.cumsum(_unpack(a), dtype=np.uint64), _unpack(b).astype("<u4")))
+_FOUND = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
+
+
+def _shard(bits: int):
+    """What a shard returns to its blocks: of their words the corpus counts, of their cells the log odds (with their names, if across
+    words; within words a block finds the same order again). Of words also how many training has, as a row's shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        blocks, a, b = (table.column(c).to_pylist() for c in ("block", "a", "b"))
+        if kind == _WORDS:
+            total: dict[bytes, int] = {}
+            split = [_open(x).split() for x in a]
+            for words, raw in zip(split, b):
+                for w, n in zip(words, _unpack(raw).tolist()):
+                    total[w] = total.get(w, 0) + n
+            rows = [(kind, shard, block, x, _pack(np.array(list(map(total.__getitem__, words)), np.uint64))) for block, x, words in zip(blocks, a, split)]
+            rows.append((kind, sum(n > 0 for n in total.values()), _STATS, None, None))
         else:
-            words += _open(a).split(b" ")
-            counts.append(np.frombuffer(_open(b), "<u8"))
-    cells.sort(key=lambda x: int(x[0][0]))
-    names, odds = (np.concatenate([np.empty(0, d), *[x[k] for x in cells]]) for k, d in ((0, np.uint64), (1, "<u4")))
-    return words, np.concatenate([np.empty(0, np.uint64), *counts]).astype(np.float64), names, odds
+            own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
+            name, n = _added([x.copy() for x in own], [_unpack(x).astype(np.int64) for x in b], bits)
+            said = M.odds(name, n.astype(np.float32))
+            rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack(said[np.searchsorted(name, mine)])) for block, x, mine in zip(blocks, a, own)]
+        return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(_FOUND.items())})
+
+    return run
 
 
 class _Texts:
-    """Batches of a block's documents with what the mixer needs of them."""
-
-    def __init__(self, words: list[bytes], names: np.ndarray, odds: np.ndarray, rank: np.ndarray):
-        self.rank, self.names, self.odds = rank, names, odds
-        self.words = M.Words([*words, b"\n"], rank)
+    """Batches of a block's documents with what the mixer needs of them, from the rows that shards returned to it."""
+
+    def __init__(self, found: pa.Table, rank: np.ndarray, bits: int, raw: bytes | None = None):
+        """raw: the block's distinct words, unless they are among what was found, with their counts."""
+        self.rank, self.bits = rank, bits
+        rows: dict[int, list] = {k: [] for k in range(_WORDS + 1)}
+        for kind, shard, a, b in sorted(zip(*(found.column(c).to_pylist() for c in ("kind", "shard", "a", "b"))), key=lambda r: r[:2]):
+            rows[kind].append((a, b))
+        if raw is None:
+            raw = b"".join(_open(a) for a, _ in rows[_WORDS])
+        self.counts = np.concatenate([np.empty(0, np.uint64), *[_unpack(b) for _, b in rows[_WORDS]]]).astype(np.float64)
+        self.words = M.Words(raw, rank)
         self.numbers = M.Numbers(self.words.keys)
-        self.by_word = {w: k for k, w in enumerate([*words, b"\n"])} if self.numbers.clash else None
-        self.inside = [M.lookup(self.words.names(k), names, odds) for k in range(M.INSIDE)]
+        self.by_word = {w: k for k, w in enumerate([*raw.split(), b"\n"])} if self.numbers.clash else None
+        said = [np.concatenate([np.empty(0, np.uint64), *[_unpack(b) for _, b in rows[k]]]).astype("<u4") for k in range(_WORDS)]
+        self.inside = [said[k][M.places_of(self.words.names(k, bits), bits)[1]] for k in range(M.INSIDE)]
+        self.names, self.odds = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(a), dtype=np.uint64) for a, _ in rows[M.ACROSS]]]), said[M.ACROSS]
 
     def read(self, streams: list[bytes]) -> tuple[M.Coded, np.ndarray, np.ndarray, np.ndarray]:
         """(coded, number of each word, place of each nibble among the words', log odds across words)."""
         coded = M.Coded(streams, self.rank)
         of = self.numbers.find(coded.keys) if self.by_word is None else np.array([self.by_word[w] for s in streams for w in M.words_of(s)])
-        return coded, of, coded.places(self.words, of), M.lookup(coded.names(), self.names, self.odds)
+        return coded, of, coded.places(self.words, of), M.lookup(coded.names(self.bits), self.names, self.odds, self.bits)
 
 
 def _development(batches):
-    """(block, streams): the documents of each block that are for development."""
+    """(block, streams): the documents of each block that are for development; the block's number is turned below 0."""
     for batch in batches:
         for block, roles, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "roles", "streams"))):
             if 2 in roles:
-                yield _row({"block": pa.int64(), "streams": pa.binary()}, (block, _press(b"".join(s for s, r in zip(_documents(packed), roles) if r == 2))))
+                yield _row({"block": pa.int64(), "streams": pa.binary()}, (-1 - block, _press(b"".join(s for s, r in zip(_documents(packed), roles) if r == 2))))
 
 
-def _learn(rank: np.ndarray):
+def _learn(rank: np.ndarray, bits: int):
     """x of each block with development documents: bytes seen, the weights times that, then the calibration counts."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         for packed in docs.column("streams").to_pylist():
             documents = _documents(packed)
-            words, _, names, odds = _own(found)
-            texts = _Texts(list({w for s in documents for w in s.split()}), names, odds, rank)
+            raw, _, _ = _distinct(((2, x) for x in _batches(documents)), rank, lambda role, coded: None)
+            texts = _Texts(found, rank, bits, raw)
             w, apm = M.start_weights(), np.zeros((2, 4, M.GATES * M.BUCKETS))
             squares = np.zeros(w.shape)
             for calibrate in (False, True):
@@ -281,30 +343,38 @@ def _weights(x: list[float] | None) -> tuple[np.ndarray, np.ndarray]:
     return w, M.refinement(apm)
 
 
-def _score(rank, w, apm, train_tokens: int, types: int, ends: int):
-    floor = math.log10(train_tokens + 0.5 * (types + 1))
+_SCORED = "id long, role int, tokens long, known long, base double, score double, size long"
+
+
+def _score(rank, bits: int, train_tokens: int, ends: int):
+    """Rows of documents, base without the logarithm of the denominator; the report of a shard is a row without a role, its words as tokens."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        words, known, names, odds = _own(found)
-        texts = _Texts(words, names, odds, rank)
-        count_of = np.append(known, float(ends))
-        inside = M.inside(texts.inside, texts.words.gate, w)
-        n_tokens, n_known, base, sizes, scores = [], [], [], [], []
-        for packed in docs.column("streams").to_pylist():
-            for streams in _batches(_documents(packed)):
-                coded, of, at, across = texts.read(streams)
-                c = count_of.take(of)
-                logs = np.log10(c + 0.5) - floor
-                first = np.searchsorted(coded.heads, coded.nibble[coded.starts[:-1]])
-                n_tokens += np.diff(np.append(first, len(c))).tolist()
-                n_known += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
-                base += np.add.reduceat(logs, first).tolist()
-                nibbles = M.nibble_scores(coded, inside.take(at), across, texts.words.gate.take(at), w, apm)
-                scores += M.score(coded, nibbles, np.where(c > 0, logs * math.log(10), -np.inf), c).tolist()
-                sizes += np.diff(coded.starts).tolist()
-        ids, roles = ([x for row in docs.column(c).to_pylist() for x in row] for c in ("ids", "roles"))
-        bits_a_byte = [-x * math.log2(10) / n for x, n in zip(scores, sizes)]
-        return pa.table([pa.array(ids, pa.int64()), pa.array([r == 0 for r in roles], pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(roles), pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(bits_a_byte, pa.float64())], names=[c.split()[0] for c in _SCHEMA.split(", ")])
+        ids, roles, tokens, known, base, sizes, scores = [], [], [], [], [], [], []
+        if not docs.num_rows:
+            tokens = found.column("shard").to_pylist()
+            ids = roles = known = base = scores = sizes = [None] * len(tokens)
+        else:
+            w, apm = _weights(docs.column("x")[0].as_py())
+            texts = _Texts(found, rank, bits)
+            count_of = np.append(texts.counts, float(ends))
+            logs_of = np.log10(count_of + 0.5)
+            chance_of = np.where(count_of > 0, np.log(np.maximum(count_of, 1) / max(1, train_tokens)), -np.inf)
+            inside = M.inside(texts.inside, texts.words.gate, w)
+            ids, roles = ([x for row in docs.column(c).to_pylist() for x in row] for c in ("ids", "roles"))
+            for packed in docs.column("streams").to_pylist():
+                for streams in _batches(_documents(packed)):
+                    coded, of, at, across = texts.read(streams)
+                    c = count_of.take(of)
+                    first = np.searchsorted(coded.words, coded.starts[:-1])
+                    tokens += np.diff(np.append(first, len(c))).tolist()
+                    known += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
+                    base += np.add.reduceat(logs_of.take(of), first).tolist()
+                    nibbles = M.nibble_scores(coded, inside.take(at), across, texts.words.gate.take(at), w, apm)
+                    scores += M.score(coded, nibbles, chance_of.take(of), c).tolist()
+                    sizes += np.diff(coded.starts).tolist()
+        kinds = {"id": pa.int64(), "role": pa.int32(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "size": pa.int64()}
+        return pa.table([pa.array(v, k) for v, k in zip((ids, roles, tokens, known, base, scores, sizes), kinds.values())], names=list(kinds))
 
     return run
 
@@ -325,25 +395,24 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("id", role.cast("int").alias("role"), "text")
     blocks = materialise(rows.mapInArrow(_cut, _BLOCK_DDL), "blocks")
 
-    size = blocks.groupBy(F.lit("all").alias("all")).agg(F.sum("bytes").alias("bytes"), F.sum("trained").alias("ends"), vector_to_array(Summarizer.sum(array_to_vector("hist"))).alias("hist")).first()
+    size = blocks.groupBy(F.lit("all").alias("all")).agg(*[F.sum(c).alias(c) for c in ("bytes", "trained", "tokens")], vector_to_array(Summarizer.sum(array_to_vector("hist"))).alias("hist")).first()
     if size is None:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
-    shards, ends, hist = max(1, size["bytes"] // SHARD_BYTES), size["ends"], size["hist"]
-    rank = np.full(256, M.TOP, np.uint8)
-    rank[sorted(range(256), key=lambda b: (-hist[b], b))[: M.TOP]] = range(M.TOP)
-
-    counted = blocks.select("block", "roles", "streams").mapInArrow(_count(rank, shards), _DEALT_DDL)
-    found = materialise(counted.groupBy("kind", "shard").applyInArrow(_shard, _FOUND_DDL), "found")
-    stats = found.where("block is null").agg(F.sum("tokens"), F.sum("types")).first()
-    train_tokens, types = (stats[0] or 0) + ends, (stats[1] or 0) + (ends > 0)
-
-    own = found.where("block is not null").select("kind", "block", "a", "b")
-    dev = blocks.select("block", "roles", "streams").mapInArrow(_development, "block long, streams binary")
-    learned = dev.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_learn(rank), "x array<double>")
-    x = learned.groupBy(F.lit("all").alias("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).first()
-    w, apm = _weights(x and x["x"])
-    scorer = _score(rank, w, apm, train_tokens, types, ends)
-    return blocks.select("block", "ids", "roles", "streams").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCHEMA)
+    shards, bits, ends, rank = max(1, size["bytes"] // SHARD_BYTES), M.hash_bits(size["bytes"]), size["trained"], M.ranks(size["hist"])
+    train_tokens = size["tokens"] + ends
+
+    texts = blocks.select("block", "roles", "streams")
+    found = texts.mapInArrow(_count(rank, bits, shards), _DEALT_DDL).groupBy("kind", "shard").applyInArrow(_shard(bits), _DEALT_DDL)
+    learned = texts.mapInArrow(_development, "block long, streams binary").groupBy("block").cogroup(found.where(f"block < 0 and block > {_STATS}").groupBy("block")).applyInArrow(_learn(rank, bits), "x array<double>")
+    x = learned.groupBy(F.lit("all").alias("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).select("x")
+    ready = blocks.select("block", "ids", "roles", "streams").join(F.broadcast(x), F.lit(True), "left")
+    scorer = _score(rank, bits, train_tokens, ends)
+    scored = ready.groupBy("block").cogroup(found.where(f"block >= 0 or block = {_STATS}").groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCORED)
+    scored = materialise(scored, "scored")
+    types = (scored.where("role is null").agg(F.sum("tokens")).first()[0] or 0) + (ends > 0)
+    floor = math.log10(train_tokens + 0.5 * (types + 1))
+    out = scored.where("role is not null")
+    return out.select(F.col("id").alias("doc_id"), (F.col("role") == 0).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("tokens") * floor).alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("size")).alias("bits_per_byte"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

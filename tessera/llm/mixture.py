@@ -1,7 +1,7 @@
 """Logistic context mixing over hashed contexts: the numerical core, one batch of documents at a time.
 
 A text is coded as a byte stream: its lower-cased words, a space after each, and one end byte. The
-``TOP`` most frequent bytes are coded by one nibble, all others by an escape nibble and two more. Each bit
+``TOP`` most frequent bytes are coded by one nibble, the next ``TOP`` by two, all others by four. Each bit
 of a nibble is predicted in the contexts of ``CONTEXTS``: the last 2 and 3 bytes of the word so far, the whole word so far,
 and the last 5 bytes across words. A context's hash and a nibble's value name a cell; a cell holds, for each of the
 value's four bits, the log odds of a one in this context as seen in training. Only cells that occur are held, so their
@@ -23,18 +23,17 @@ import numpy as np
 
 CONTEXTS = ("word2", "word3", "word", "order5")
 TOP, END, SPACE = 15, 10, 32
-HASH = 40  # bits of a context's hash in a cell's name; 2 of the context's number and 4 of the value follow
 FIRST, SLOWER = 256, 16
 #: Steps of a document's own trust in the contexts within words and across words, of its constant, and of its share.
 RATES = (0.05, 0.1, 0.04, 0.02)
 SCALE, LIMIT, PRIOR = 16.0, 7.9, 0.4
-PLACES, GATES = 4, 12  # 3 nibbles by 4 places in the word
+PLACES, GATES = 4, 16  # 4 nibbles by 4 places in the word
 BUCKETS = 33
 _K = len(CONTEXTS)
 INSIDE, ACROSS = 3, 3  # contexts within a word; the number of the one across words
 _BASE = 0x100000001B3
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_ESCAPED = np.uint64(0x8A5CD789635D2DFF)
+_ESCAPED = np.array([0x8A5CD789635D2DFF, 0x121FD2155C472F96, 0xA0761D6478BD642F], np.uint64)
 _ONE = np.float32(1)
 _PAD = b"\0" * 8
 
@@ -49,6 +48,11 @@ def words_of(stream: bytes) -> list[bytes]:
     return [*stream.split(), b"\n"]
 
 
+def hash_bits(size: int) -> int:
+    """Bits of a context's hash in the names of cells, for a corpus of this many bytes: so many that few contexts meet, however large it is."""
+    return max(20, size.bit_length() + 4)
+
+
 def stride(at: int) -> int:
     """Bytes until the next step of a document that is read up to ``at``."""
     return max(FIRST, at // SLOWER)
@@ -60,40 +64,67 @@ def _mixed(key: np.ndarray) -> np.ndarray:
     return key
 
 
-def _name(context: np.ndarray, k: int, values: np.ndarray) -> np.ndarray:
-    """Names of cells from a context's key and the nibbles' values."""
-    h = context * _MULT[k]
-    h = _mixed(h)
-    h >>= np.uint64(64 - HASH)
-    h <<= np.uint64(6)
-    h += values
-    if k:
-        h += np.uint64(k << 4)
-    return h
-
-
-def _nibbles(s: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(values, byte of each nibble, which nibble of its byte, where escapes' second nibbles are)."""
-    code = rank[s]
-    esc = np.flatnonzero(code == TOP)
-    if not len(esc):
-        return code, np.arange(len(s)), np.zeros(len(s), np.uint8), esc
-    size = np.ones(len(s), np.int64)
-    size[esc] = 3
-    byte = np.repeat(np.arange(len(s)), size)
-    second = esc + 2 * np.arange(len(esc)) + 1
-    values, which = code[byte], np.zeros(len(byte), np.uint8)
-    values[second], values[second + 1] = s[esc] >> 4, s[esc] & 15
-    which[second], which[second + 1] = 1, 2
-    return values, byte, which, second
-
-
-def _escapes(key: np.ndarray, second: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The key with the nibbles already told of an escaped byte."""
-    if len(second):
-        key[second] += _ESCAPED
-        key[second + 1] += _ESCAPED * (values[second].astype(np.uint64) + np.uint64(2))
-    return key
+def ranks(hist) -> np.ndarray:
+    """The place of each byte by falling frequency, 2 * TOP for all beyond."""
+    rank = np.full(256, 2 * TOP, np.uint8)
+    rank[sorted(range(256), key=lambda b: (-hist[b], b))[: 2 * TOP]] = range(2 * TOP)
+    return rank
+
+
+def path(b: int, rank: np.ndarray) -> list[tuple[tuple, int]]:
+    """The nibbles of a byte, each with what was told of the byte before it."""
+    r = int(rank[b])
+    if r < TOP:
+        return [((), r)]
+    if r < 2 * TOP:
+        return [((), TOP), ((1,), r - TOP)]
+    return [((), TOP), ((1,), TOP), ((2,), b >> 4), ((3, b >> 4), b & 15)]
+
+
+class Nibbles:
+    """Values of the nibbles of bytes, the byte of each, which one of it it is, and where each byte's begin (with one at the end)."""
+
+    __slots__ = ("byte", "rare", "second", "starts", "values", "which")
+
+    def __init__(self, s: np.ndarray, rank: np.ndarray):
+        code = rank[s]
+        long = np.flatnonzero(code >= TOP)
+        if not len(long):
+            self.values, self.byte, self.which, self.starts = code, None, None, np.arange(len(s) + 1)
+            self.second = self.rare = long
+            return
+        size = np.ones(len(s) + 1, np.int64)
+        size[0] = 0
+        size[long + 1] = 2
+        rare = long[code[long] == 2 * TOP]
+        size[rare + 1] = 4
+        self.starts = np.cumsum(size)
+        self.byte = np.repeat(np.arange(len(s)), size[1:])
+        self.second, self.rare = self.starts[long] + 1, self.starts[rare] + 2
+        self.values, self.which = np.minimum(code, TOP)[self.byte], np.zeros(len(self.byte), np.uint8)
+        self.values[self.second] = code[long] - TOP
+        self.values[self.rare], self.values[self.rare + 1] = s[rare] >> 4, s[rare] & 15
+        self.which[self.second], self.which[self.rare], self.which[self.rare + 1] = 1, 2, 3
+
+    def of(self, per_byte: np.ndarray) -> np.ndarray:
+        return per_byte if self.byte is None else per_byte[self.byte]
+
+    def gates(self, place: np.ndarray) -> np.ndarray:
+        return place if self.byte is None else place[self.byte] + self.which * np.uint8(PLACES)
+
+    def names(self, key: np.ndarray, k: int, bits: int) -> np.ndarray:
+        """Names of the cells in the k-th context from its keys, by nibble and of this call alone: the hash, then the value in 4 bits."""
+        if len(self.second):
+            key[self.second] += _ESCAPED[0]
+        if len(self.rare):
+            key[self.rare] += _ESCAPED[1]
+            key[self.rare + 1] += _ESCAPED[2] * (self.values[self.rare].astype(np.uint64) + np.uint64(2))
+        key *= _MULT[k]
+        key = _mixed(key)
+        key >>= np.uint64(64 - bits)
+        key <<= np.uint64(4)
+        key += self.values
+        return key
 
 
 def _before(s: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -106,29 +137,30 @@ def _before(s: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray) ->
 
 
 class Words:
-    """Distinct words, and the end as one: their nibbles with values and gates, and the names of the nibbles' cells in the contexts within a word."""
+    """Distinct words, and the end as the last of them: their nibbles with values and gates, and the names of the nibbles' cells in the contexts within a word."""
 
-    __slots__ = ("_before", "_prefix", "_second", "gate", "keys", "starts", "values")
+    __slots__ = ("_before", "_nibbles", "_prefix", "gate", "keys", "starts", "values")
 
-    def __init__(self, words: list[bytes], rank: np.ndarray):
-        raw = b"".join([w if w == b"\n" else w + b" " for w in words])
+    def __init__(self, raw: bytes, rank: np.ndarray):
+        """raw: the words, a space after each."""
+        raw += b"\n"
         s = np.frombuffer(raw, np.uint8)
-        size = np.fromiter((len(w) + (w != b"\n") for w in words), np.int64, len(words))
-        heads = np.cumsum(size) - size
+        heads = np.concatenate([[0], np.flatnonzero(s == SPACE) + 1])
+        size = np.diff(heads, append=len(s))
         up, down = _powers(len(s) + 1)
         total = np.zeros(len(s) + 1, np.uint64)
         np.cumsum((s + np.uint64(1)) * up[: len(s)], out=total[1:])
         self.keys = (total[heads + size] - total[heads]) * down[heads]
-        place = np.minimum(np.arange(len(s)) - np.repeat(heads, size), PLACES - 1).astype(np.uint8)
-        self.values, byte, which, self._second = _nibbles(s, rank)
-        self.gate = place[byte] + which * np.uint8(PLACES)
-        self._before = _before(s, raw, heads, size)[byte]
-        self._prefix = ((total[: len(s)] - np.repeat(total[heads], size)) * np.repeat(down[heads], size))[byte]
-        self.starts = np.append(np.searchsorted(byte, heads), len(byte))
+        owner = np.repeat(np.arange(len(heads)), size)
+        place = np.minimum(np.arange(len(s)) - heads[owner], PLACES - 1).astype(np.uint8)
+        self._nibbles = n = Nibbles(s, rank)
+        self.values, self.gate = n.values, n.gates(place)
+        self._before = n.of(_before(s, raw, heads, size))
+        self._prefix = n.of((total[: len(s)] - total[heads][owner]) * down[heads][owner])
+        self.starts = n.starts[np.append(heads, len(s))]
 
-    def names(self, k: int) -> np.ndarray:
-        key = self._prefix.copy() if k == 2 else self._before >> np.uint64(48 if k == 0 else 40)
-        return _name(_escapes(key, self._second, self.values), k, self.values)
+    def names(self, k: int, bits: int) -> np.ndarray:
+        return self._nibbles.names(self._prefix.copy() if k == 2 else self._before >> np.uint64(48 if k == 0 else 40), k, bits)
 
 
 _POWERS: list[np.ndarray] = []
@@ -146,7 +178,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Coded:
     """The nibbles of some documents in order; where documents (in bytes) and their words (in bytes and nibbles) begin, and the words' keys."""
 
-    __slots__ = ("_before", "_second", "heads", "keys", "nibble", "starts", "values")
+    __slots__ = ("_before", "_nibbles", "heads", "keys", "nibble", "starts", "values", "words")
 
     def __init__(self, streams: list[bytes], rank: np.ndarray):
         raw = b"".join(streams)
@@ -157,52 +189,58 @@ class Coded:
         opens = np.empty(n + 1, bool)
         opens[1:] = s == SPACE
         opens[self.starts] = True
-        heads = np.flatnonzero(opens)  # with one at the end
+        self.words = np.flatnonzero(opens)  # with one at the end
         up, down = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((s + np.uint64(1)) * up[:n], out=total[1:])
-        self.keys = (total[heads[1:]] - total[heads[:-1]]) * down[heads[:-1]]
-        self.values, byte, _, self._second = _nibbles(s, rank)
-        before = _before(s, raw, self.starts[:-1], size)
-        if len(byte) == n:
-            self.nibble, self._before = np.arange(n + 1), before
-        else:
-            self.nibble, self._before = np.append(np.searchsorted(byte, np.arange(n)), len(byte)), before[byte]
-        self.heads = self.nibble[heads[:-1]]
-
-    def names(self) -> np.ndarray:
+        self.keys = np.diff(total[self.words]) * down[self.words[:-1]]
+        self._nibbles = Nibbles(s, rank)
+        self.values, self.nibble = self._nibbles.values, self._nibbles.starts
+        self._before = _before(s, raw, self.starts[:-1], size)
+        self.heads = self.nibble[self.words[:-1]]
+
+    def names(self, bits: int) -> np.ndarray:
         """Of each nibble's cell in the context across words."""
-        return _name(_escapes(self._before >> np.uint64(24), self._second, self.values), ACROSS, self.values)
+        return self._nibbles.names(self._nibbles.of(self._before >> np.uint64(24)), ACROSS, bits)
 
     def places(self, words: Words, of: np.ndarray) -> np.ndarray:
         """Where the nibbles stand among those of distinct words; of: the number of each word."""
         begin = words.starts[of]
-        size = words.starts[of + 1] - begin
-        return np.repeat(begin - self.heads, size) + np.arange(len(self.values))
+        return np.repeat(begin - self.heads, words.starts[of + 1] - begin) + np.arange(len(self.values))
+
+
+def places_of(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct names ascending, which of them each name is)."""
+    n = len(names)
+    if bits + 4 + n.bit_length() <= 64:  # a name and its place fit in one number
+        low = np.uint64(n.bit_length())
+        key = names << low
+        key += np.arange(n, dtype=np.uint64)
+        key.sort()
+        order = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+        key >>= low
+    else:
+        order = np.argsort(names)
+        key = names[order]
+    new = np.empty(n, bool)
+    new[:1] = True
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new) - 1
+    return key[new], out
 
 
-def lookup(names: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+def lookup(names: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
     """The values of cells by name; keys ascending; 0 for one that isn't there.
 
-    Names are sorted with their places, 18 bits beside 46, and met with the keys in order, which spares the memory
-    the jumps of a table.
+    Names are sorted with their places and met with the keys in order, which spares the memory the jumps of a table.
     """
-    out = np.zeros(len(names), values.dtype)
     if not len(keys):
-        return out
-    for a in range(0, len(names), 1 << 18):
-        part = names[a : a + (1 << 18)] << np.uint64(18)
-        part += np.arange(len(part), dtype=np.uint64)
-        part.sort()
-        place = (part & np.uint64((1 << 18) - 1)).astype(np.int64)
-        part >>= np.uint64(18)
-        head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        one = part[head]
-        at = np.searchsorted(keys, one)
-        at[at == len(keys)] = 0
-        found = np.where(keys[at] == one, values[at], values.dtype.type(0))
-        out[a + place] = np.repeat(found, np.diff(np.append(head, len(part))))
-    return out
+        return np.zeros(len(names), values.dtype)
+    one, of = places_of(names, bits)
+    at = np.searchsorted(keys, one)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == one, values[at], values.dtype.type(0))[of]
 
 
 class Numbers:

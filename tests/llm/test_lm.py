@@ -30,8 +30,9 @@ def tokens_of(t):
     return [*(w for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in low).split(" ") if w), None]
 
 
-RANK = np.full(256, M.TOP, np.uint8)
-RANK[list(b" etaoinshrdlu\nc")] = range(15)
+RANK = np.full(256, 2 * M.TOP, np.uint8)
+RANK[list(b" etaoinshrdlu\ncbfgjkmpqvwxyz.,")] = range(30)
+BITS = 32
 
 
 def test_base_against_brute_force(spark):
@@ -75,8 +76,7 @@ def nibbles_of(s):
     for i, b in enumerate(s):
         inside = s[start:i]
         keys = (inside[-2:], inside[-3:], inside, (b"\0" * 5 + s[:i])[-5:])
-        path = [((), RANK[b])] if RANK[b] != M.TOP else [((), M.TOP), ((1,), b >> 4), ((2, b >> 4), b & 15)]
-        for told, v in path:
+        for told, v in M.path(b, RANK):
             for k, key in enumerate(keys):
                 yield k, key, told, int(v)
         if b == M.SPACE:
@@ -88,18 +88,20 @@ def test_shards_return_the_odds_of_all_blocks():
     streams = [M.stream_of(" ".join(rng.choice(["the", "then", "zebra", "é", "a", "io", *words(3, k)]) for _ in range(120))) for k in range(9)]
     roles = [[1, 2, 0], [1, 1, 0], [0, 1, 2]]
     batch = pa.RecordBatch.from_pydict({"block": [0, 1, 2], "roles": roles, "streams": [lm._press(b"".join(streams[3 * k : 3 * k + 3])) for k in range(3)]})
-    dealt = pa.Table.from_batches(list(lm._count(RANK, 3)([batch])))
+    dealt = pa.Table.from_batches(list(lm._count(RANK, BITS, 3)([batch])))
     groups = {(k, j) for k, j in zip(dealt["kind"].to_pylist(), dealt["shard"].to_pylist())}
-    back = pa.concat_tables([lm._shard(dealt.filter(pa.compute.and_(pa.compute.equal(dealt["kind"], k), pa.compute.equal(dealt["shard"], j)))) for k, j in sorted(groups)])
+    back = pa.concat_tables([lm._shard(BITS)(dealt.filter(pa.compute.and_(pa.compute.equal(dealt["kind"], k), pa.compute.equal(dealt["shard"], j)))) for k, j in sorted(groups)])
     trained = Counter(w for s, r in zip(streams, sum(roles, [])) if r for w in s.split())
-    assert sum(x or 0 for x in back["tokens"].to_pylist()) == sum(trained.values()) and sum(x or 0 for x in back["types"].to_pylist()) == len(trained)
+    assert sum(back.filter(pa.compute.equal(back["block"], lm._STATS))["shard"].to_pylist()) == len(trained)
     seen = brute_odds([s for s, r in zip(streams, sum(roles, [])) if r == 1])
-    for block in range(3):
-        found, known, names, odds = lm._own(back.filter(pa.compute.equal(back["block"], block)))
-        assert dict(zip(found, known)) == {w: trained[w] for s in streams[3 * block : 3 * block + 3] for w in s.split()}
-        texts = lm._Texts(found, names, odds, RANK)
-        for s in streams[3 * block : 3 * block + 3]:
+    for block in (0, 1, 2, -1, -3):
+        mine = streams[3 * block : 3 * block + 3] if block >= 0 else [s for s, r in zip(streams[3 * (-1 - block) : 3 * (-block)], roles[-1 - block]) if r == 2]
+        raw = None if block >= 0 else b"".join(w + b" " for w in {w for s in mine for w in s.split()})
+        texts = lm._Texts(back.filter(pa.compute.equal(back["block"], block)), RANK, BITS, raw)
+        for s in mine:
             coded, of, at, across = texts.read([s])
+            if block >= 0:
+                assert np.append(texts.counts, 0)[of][:-1].tolist() == [trained[w] for w in s.split()]
             got = [M.bits_of(x.take(at)) for x in texts.inside] + [M.bits_of(across)]
             want = [[], [], [], []]
             for k, key, told, v in nibbles_of(s):
@@ -125,8 +127,7 @@ def test_probabilities_add_to_one():
 
     def p(b, rank):
         s = bytes([b])
-        path = [((), rank[b])] if rank[b] != M.TOP else [((), M.TOP), ((1,), b >> 4), ((2, b >> 4), b & 15)]
-        st, values = [[], [], [], []], []
+        st, values, path = [[], [], [], []], [], M.path(b, rank)
         for told, v in path:
             values.append(v)
             for k, key in enumerate((b"", b"", b"", b"\0" * 5)):
@@ -140,9 +141,9 @@ def test_probabilities_add_to_one():
 
     total = sum(p(b, RANK) for b in range(256))
     for b in range(256):
-        if RANK[b] < M.TOP:
+        if RANK[b] < 2 * M.TOP:  # the four nibbles that would spell it, too
             other = RANK.copy()
-            other[b] = M.TOP
+            other[b] = 2 * M.TOP
             total += p(b, other)
     assert math.isclose(total, 1, rel_tol=1e-3)
 
@@ -155,7 +156,7 @@ def test_short_texts_are_refined():
     for seed in range(12):
         s = M.stream_of(" ".join(words(230, seed)))
         coded = M.Coded([s], RANK)
-        known = M.Words([*dict.fromkeys(s.split()), b"\n"], RANK)
+        known = M.Words(b"".join(w + b" " for w in dict.fromkeys(s.split())), RANK)
         at = coded.places(known, M.Numbers(known.keys).find(coded.keys))
         good = np.array([[M.SCALE * 2 * (v >> (3 - j) & 1) - M.SCALE for j in range(4)] for v in range(16)], np.int8).view("<u4").ravel()
         noise = rng.integers(-40, 40, (len(coded.values), 4)).astype(np.int8).view("<u4").ravel()
@@ -180,9 +181,12 @@ def test_lookup_and_numbers():
     values = rng.integers(0, 1 << 32, len(keys)).astype("<u4")
     of = dict(zip(keys.tolist(), values.tolist()))
     ask = np.concatenate([rng.choice(keys, 600_000), rng.integers(0, 1 << 46, 1000, dtype=np.uint64)])
-    assert M.lookup(ask, keys, values).tolist() == [of.get(x, 0) for x in ask.tolist()]
-    assert M.lookup(ask[:3], keys[:0], values[:0]).tolist() == [0, 0, 0]
+    assert M.lookup(ask, keys, values, 42).tolist() == [of.get(x, 0) for x in ask.tolist()]
+    assert M.lookup(ask[:3], keys[:0], values[:0], 42).tolist() == [0, 0, 0]
     names = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    for bits in (42, 60):  # with and without room for the place beside the name
+        one, of = M.places_of(ask, bits)
+        assert (one[of] == ask).all() and (np.diff(one.astype(object)) > 0).all()
     n = M.Numbers(names)
     assert not n.clash and n.find(names[::-1].copy()).tolist() == list(range(2999, -1, -1)) and M.Numbers(np.append(names, names[:1])).clash
 
@@ -191,12 +195,12 @@ def test_cells_grow_with_the_corpus():
     """Every context of the corpus has cells of its own."""
     rng = np.random.default_rng(5)
     letters = rng.integers(97, 123, (90_000, 8)).astype(np.uint8)
-    found = M.Words([x.tobytes() for x in np.unique(letters, axis=0)], RANK)
+    found = M.Words(b"".join(x.tobytes() + b" " for x in np.unique(letters, axis=0)), RANK)
     prefixes = {x[:k].tobytes() for x in letters for k in range(9)}
     assert len(prefixes) > 1 << 18
     first = found.gate < M.PLACES
-    slots = np.unique(found.names(2)[first] >> np.uint64(4))
-    assert abs(len(slots) - len(prefixes)) < 0.001 * len(prefixes)
+    slots = np.unique(found.names(2, M.hash_bits(1 << 26))[first] >> np.uint64(4))
+    assert abs(len(slots) - len(prefixes)) < 0.002 * len(prefixes)
 
 
 def test_repeated_documents_score_apart(spark):
