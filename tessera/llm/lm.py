@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 16 << 20, 32 << 20, 512 << 10, 16
+BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 8 << 20, 32 << 20, 512 << 10, 16
 _WAITING = 1 << 20  # cells that a block gathers before it adds them up
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -40,8 +40,8 @@ def _crc(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
-def _press(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def _press(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def _open(raw: bytes) -> bytes:
@@ -64,7 +64,7 @@ def _cut(batches):
     def row():
         trained = [s for s, r in zip(streams, roles) if r]
         hist = np.bincount(np.frombuffer(b"".join(trained), np.uint8), minlength=256)
-        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams)), size, len(trained), sum(x.count(b" ") for x in trained), hist.astype(float).tolist()))
+        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams), 3), size, len(trained), sum(x.count(b" ") for x in trained), hist.astype(float).tolist()))
 
     for batch in batches:
         for i, role, text in zip(batch.column("id").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
@@ -238,11 +238,13 @@ def _count(rank: np.ndarray, bits: int, shards: int):
                         yield from cells(k, -1 - block, [name], [np.zeros(len(name), np.int64)])
                     names, counts, waiting = [], [], 0
                 raw, n1, n2 = _distinct(((r, x) for r in of for x in _batches(of[r])), rank, each)
+                ends = len(of[1])
+                del documents, of  # the letters are done with
                 yield from cells(M.ACROSS, block, names, counts)
                 if raw:
                     yield from words(block, raw, n2)
                 every = M.Words(raw, rank)
-                n = np.repeat(np.append(n1, len(of[1])), np.diff(every.starts))
+                n = np.repeat(np.append(n1, ends), np.diff(every.starts))
                 for k in range(M.INSIDE):
                     yield from cells(k, block, [every.names(k, bits)], [n])
 
@@ -252,14 +254,18 @@ def _count(rank: np.ndarray, bits: int, shards: int):
 _FOUND = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 
 
-def _shard(bits: int):
-    """What a shard returns to its blocks: of their words the corpus counts, of their cells the log odds (with their names, if across
-    words; within words a block finds the same order again). Of words also how many training has, as a row's shard."""
+def _shard(bits: int, dev: bool):
+    """What a shard returns to its blocks, those of development documents or the others: of their words the corpus counts, of their cells the
+    log odds (with their names, if across words; within words a block finds the same order again). Of words also how
+    many training has, as a row's shard."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
         blocks, a, b = (table.column(c).to_pylist() for c in ("block", "a", "b"))
-        if kind == _WORDS:
+        rows = []
+        if kind == _WORDS and dev:
+            pass
+        elif kind == _WORDS:
             total: dict[bytes, int] = {}
             split = [_open(x).split() for x in a]
             for words, raw in zip(split, b):
@@ -268,10 +274,18 @@ def _shard(bits: int):
             rows = [(kind, shard, block, x, _pack(np.array(list(map(total.__getitem__, words)), np.uint64))) for block, x, words in zip(blocks, a, split)]
             rows.append((kind, sum(n > 0 for n in total.values()), _STATS, None, None))
         else:
-            own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
-            name, n = _added([x.copy() for x in own], [_unpack(x).astype(np.int64) for x in b], bits)
-            said = M.odds(name, n.astype(np.float32))
-            rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack(said[np.searchsorted(name, mine)])) for block, x, mine in zip(blocks, a, own)]
+            asks = [(block < 0) == dev for block in blocks]
+            if any(asks):
+                own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
+                name, n = _added([x.copy() for x in own], [_unpack(x).astype(np.int64) for x in b], bits)
+                if dev:  # odds of the slots that are asked for
+                    slot = np.unique(np.concatenate([x >> np.uint64(4) for x, ask in zip(own, asks) if ask]))
+                    at = np.searchsorted(slot, name >> np.uint64(4))
+                    at[at == len(slot)] = 0
+                    wanted = slot[at] == name >> np.uint64(4)
+                    name, n = name[wanted], n[wanted]
+                said = M.odds(name, n.astype(np.float32))
+                rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack(said[np.searchsorted(name, mine)])) for block, x, mine, ask in zip(blocks, a, own, asks) if ask]
         return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(_FOUND.items())})
 
     return run
@@ -293,7 +307,7 @@ class _Texts:
         self.numbers = M.Numbers(self.words.keys)
         self.by_word = {w: k for k, w in enumerate([*raw.split(), b"\n"])} if self.numbers.clash else None
         said = [np.concatenate([np.empty(0, np.uint64), *[_unpack(b) for _, b in rows[k]]]).astype("<u4") for k in range(_WORDS)]
-        self.inside = [said[k][M.places_of(self.words.names(k, bits), bits)[1]] for k in range(M.INSIDE)]
+        self.inside = [M.by_rank(self.words.names(k, bits), said[k], bits) for k in range(M.INSIDE)]
         self.names, self.odds = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(a), dtype=np.uint64) for a, _ in rows[M.ACROSS]]]), said[M.ACROSS]
 
     def read(self, streams: list[bytes]) -> tuple[M.Coded, np.ndarray, np.ndarray, np.ndarray]:
@@ -402,12 +416,13 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train_tokens = size["tokens"] + ends
 
     texts = blocks.select("block", "roles", "streams")
-    found = texts.mapInArrow(_count(rank, bits, shards), _DEALT_DDL).groupBy("kind", "shard").applyInArrow(_shard(bits), _DEALT_DDL)
-    learned = texts.mapInArrow(_development, "block long, streams binary").groupBy("block").cogroup(found.where(f"block < 0 and block > {_STATS}").groupBy("block")).applyInArrow(_learn(rank, bits), "x array<double>")
+    dealt = texts.mapInArrow(_count(rank, bits, shards), _DEALT_DDL).groupBy("kind", "shard")
+    found, of_dev = (dealt.applyInArrow(_shard(bits, dev), _DEALT_DDL) for dev in (False, True))
+    learned = texts.mapInArrow(_development, "block long, streams binary").groupBy("block").cogroup(of_dev.groupBy("block")).applyInArrow(_learn(rank, bits), "x array<double>")
     x = learned.groupBy(F.lit("all").alias("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).select("x")
     ready = blocks.select("block", "ids", "roles", "streams").join(F.broadcast(x), F.lit(True), "left")
     scorer = _score(rank, bits, train_tokens, ends)
-    scored = ready.groupBy("block").cogroup(found.where(f"block >= 0 or block = {_STATS}").groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCORED)
+    scored = ready.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCORED)
     scored = materialise(scored, "scored")
     types = (scored.where("role is null").agg(F.sum("tokens")).first()[0] or 0) + (ends > 0)
     floor = math.log10(train_tokens + 0.5 * (types + 1))

@@ -209,8 +209,8 @@ class Coded:
         return np.repeat(begin - self.heads, words.starts[of + 1] - begin) + np.arange(len(self.values))
 
 
-def places_of(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct names ascending, which of them each name is)."""
+def _ordered(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct names ascending, how often each comes, the places of all names in that order)."""
     n = len(names)
     if bits + 4 + n.bit_length() <= 64:  # a name and its place fit in one number
         low = np.uint64(n.bit_length())
@@ -222,12 +222,16 @@ def places_of(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     else:
         order = np.argsort(names)
         key = names[order]
-    new = np.empty(n, bool)
-    new[:1] = True
-    np.not_equal(key[1:], key[:-1], out=new[1:])
-    out = np.empty(n, np.int64)
-    out[order] = np.cumsum(new) - 1
-    return key[new], out
+    head = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), key[1:] != key[:-1]]))
+    return key[head], np.diff(np.append(head, n)), order
+
+
+def by_rank(names: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """For each name the value of its rank among the distinct ones."""
+    _, times, order = _ordered(names, bits)
+    out = np.empty(len(names), values.dtype)
+    out[order] = np.repeat(values, times)
+    return out
 
 
 def lookup(names: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
@@ -235,12 +239,13 @@ def lookup(names: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: int) -
 
     Names are sorted with their places and met with the keys in order, which spares the memory the jumps of a table.
     """
-    if not len(keys):
-        return np.zeros(len(names), values.dtype)
-    one, of = places_of(names, bits)
-    at = np.searchsorted(keys, one)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == one, values[at], values.dtype.type(0))[of]
+    out = np.zeros(len(names), values.dtype)
+    if len(keys):
+        one, times, order = _ordered(names, bits)
+        at = np.searchsorted(keys, one)
+        at[at == len(keys)] = 0
+        out[order] = np.repeat(np.where(keys[at] == one, values[at], values.dtype.type(0)), times)
+    return out
 
 
 class Numbers:
@@ -274,6 +279,10 @@ def _spread(keys: np.ndarray) -> np.ndarray:
     return _mixed(keys * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: 1 where a bit of a nibble is 0 and -1 where it is 1, (bit, value); and the bits themselves.
+_SIDE = np.array([[1.0 - 2 * (v >> (3 - j) & 1) for v in range(16)] for j in range(4)], np.float32)
+
+
 def odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Packed log odds of cells, by ascending names, from how often each occurs.
 
@@ -281,18 +290,24 @@ def odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """
     slot = names >> np.uint64(4)
     head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(names)))
+    value = (names & np.uint64(15)).astype(np.int64)
     out = np.empty((len(names), 4), np.int8)
+    scaled = lambda x: np.round(np.clip(x, -LIMIT, LIMIT) * SCALE).astype(np.int8)
+    alone = head[size == 1]  # of slots with one value all that was seen agrees with it
+    x = scaled(np.log((counts[alone] + np.float32(PRIOR)) / np.float32(PRIOR)))
+    out[alone] = np.where(_SIDE.T[value[alone]] < 0, x[:, None], -x[:, None])
+    head, size = head[size > 1], size[size > 1]
     for a in range(0, len(head), 1 << 16):
-        lo, hi = head[a], head[a + (1 << 16)] if a + (1 << 16) < len(head) else len(names)
-        own = np.repeat(np.arange(min(1 << 16, len(head) - a)), np.diff(np.append(head[a : a + (1 << 16)], hi)))
-        value = (names[lo:hi] & np.uint64(15)).astype(np.int64)
-        dense = np.zeros((own[-1] + 1, 16), np.float32)
-        dense[own, value] = counts[lo:hi]
+        begin, n = head[a : a + (1 << 16)], size[a : a + (1 << 16)]
+        own = np.repeat(np.arange(len(n)), n)
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(len(own))
+        dense = np.zeros((len(n), 16), np.float32)
+        dense[own, value[at]] = counts[at]
         for level in range(4):
             parts = dense.reshape(-1, 1 << level, 2, 8 >> level).sum(axis=3)
-            x = np.log((parts[:, :, 1] + np.float32(PRIOR)) / (parts[:, :, 0] + np.float32(PRIOR)))
-            x = np.round(np.clip(x, -LIMIT, LIMIT) * SCALE).astype(np.int8)
-            out[lo:hi, level] = x[own, value >> (4 - level)]
+            x = scaled(np.log((parts[:, :, 1] + np.float32(PRIOR)) / (parts[:, :, 0] + np.float32(PRIOR))))
+            out[at, level] = x[own, value[at] >> (4 - level)]
     return out.view("<u4").ravel()
 
 
@@ -303,10 +318,6 @@ def start_weights() -> np.ndarray:
     return w
 
 
-#: 1 where a bit of a nibble is 0 and -1 where it is 1, (bit, value); and the bits themselves.
-_SIDE = np.array([[1.0 - 2 * (v >> (3 - j) & 1) for v in range(16)] for j in range(4)], np.float32)
-
-
 def bits_of(packed: np.ndarray) -> np.ndarray:
     """(4, n) predictions of packed log odds."""
     return np.ascontiguousarray(packed.view(np.int8).reshape(-1, 4).T).astype(np.float32)
