@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 8 << 20, 32 << 20, 512 << 10, 16
+BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 12 << 20, 32 << 20, 1 << 20, 16
 _WAITING = 1 << 20  # cells that a block gathers before it adds them up
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -112,6 +112,19 @@ def _steps(ascending: np.ndarray) -> bytes:
     return _pack(np.diff(ascending, prepend=np.uint64(0)))
 
 
+def _pack_odds(odds: np.ndarray, names: np.ndarray) -> bytes:
+    """Packed log odds of named cells: how far each bit's agree with the cell's value, then the differences from bit to bit, which are 0 where a context has one value."""
+    agree = odds.view(np.int8).reshape(-1, 4) * M.SIGN[names & np.uint64(15)]
+    agree[:, 1:] -= agree[:, :-1].copy()
+    return _press(agree.T.tobytes(), 3)
+
+
+def _unpack_odds(raw: bytes, names: np.ndarray) -> np.ndarray:
+    agree = np.frombuffer(_open(raw), np.int8).reshape(4, -1)
+    agree = np.cumsum(agree, axis=0, dtype=np.int8)
+    return (np.ascontiguousarray(agree.T) * M.SIGN[names & np.uint64(15)]).view("<u4").ravel()
+
+
 def _heads(ascending: np.ndarray) -> np.ndarray:
     """Where each value begins."""
     return np.flatnonzero(np.concatenate([[True], ascending[1:] != ascending[:-1]])) if len(ascending) else np.empty(0, np.int64)
@@ -196,11 +209,11 @@ def _count(rank: np.ndarray, bits: int, shards: int):
             part = slice(cut[j], cut[j + 1])
             yield _row(_DEALT, (kind, j, block, _steps(name[part]), _pack(n[part])))
 
-    def words(block, raw, n):
+    def words(block, raw, keys, n):
         s = np.frombuffer(raw, np.uint8)
         end = np.flatnonzero(s == M.SPACE) + 1
         begin = np.concatenate([[0], end[:-1]])
-        shard = (M.Words(raw, rank).keys[:-1] >> np.uint64(20)) % np.uint64(shards)
+        shard = (keys >> np.uint64(20)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
         for j in np.flatnonzero(np.diff(cut)).tolist():
@@ -241,9 +254,9 @@ def _count(rank: np.ndarray, bits: int, shards: int):
                 ends = len(of[1])
                 del documents, of  # the letters are done with
                 yield from cells(M.ACROSS, block, names, counts)
-                if raw:
-                    yield from words(block, raw, n2)
                 every = M.Words(raw, rank)
+                if raw:
+                    yield from words(block, raw, every.keys[:-1], n2)
                 n = np.repeat(np.append(n1, ends), np.diff(every.starts))
                 for k in range(M.INSIDE):
                     yield from cells(k, block, [every.names(k, bits)], [n])
@@ -285,7 +298,7 @@ def _shard(bits: int, dev: bool):
                     wanted = slot[at] == name >> np.uint64(4)
                     name, n = name[wanted], n[wanted]
                 said = M.odds(name, n.astype(np.float32))
-                rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack(said[np.searchsorted(name, mine)])) for block, x, mine, ask in zip(blocks, a, own, asks) if ask]
+                rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack_odds(said[np.searchsorted(name, mine)], mine)) for block, x, mine, ask in zip(blocks, a, own, asks) if ask]
         return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(_FOUND.items())})
 
     return run
@@ -306,9 +319,21 @@ class _Texts:
         self.words = M.Words(raw, rank)
         self.numbers = M.Numbers(self.words.keys)
         self.by_word = {w: k for k, w in enumerate([*raw.split(), b"\n"])} if self.numbers.clash else None
-        said = [np.concatenate([np.empty(0, np.uint64), *[_unpack(b) for _, b in rows[k]]]).astype("<u4") for k in range(_WORDS)]
-        self.inside = [M.by_rank(self.words.names(k, bits), said[k], bits) for k in range(M.INSIDE)]
-        self.names, self.odds = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(a), dtype=np.uint64) for a, _ in rows[M.ACROSS]]]), said[M.ACROSS]
+        self.inside = [M.by_rank(self.words.names(k, bits), lambda names, of=rows[k]: self._odds([b for _, b in of], names), bits) for k in range(M.INSIDE)]
+        self.names = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(a), dtype=np.uint64) for a, _ in rows[M.ACROSS]]])
+        self.odds = self._odds([b for _, b in rows[M.ACROSS]], self.names)
+
+    @staticmethod
+    def _odds(packed: list[bytes], names: np.ndarray) -> np.ndarray:
+        """The log odds of cells from the rows of one shard after the other."""
+        out, at = [np.empty(0, "<u4")], 0
+        for raw in packed:
+            n = len(_open(raw)) // 4
+            out.append(_unpack_odds(raw, names[at : at + n]))
+            at += n
+        if at != len(names):
+            raise ValueError(f"{at} cells came back of {len(names)}")
+        return np.concatenate(out)
 
     def read(self, streams: list[bytes]) -> tuple[M.Coded, np.ndarray, np.ndarray, np.ndarray]:
         """(coded, number of each word, place of each nibble among the words', log odds across words)."""

@@ -226,9 +226,10 @@ def _ordered(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     return key[head], np.diff(np.append(head, n)), order
 
 
-def by_rank(names: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    """For each name the value of its rank among the distinct ones."""
-    _, times, order = _ordered(names, bits)
+def by_rank(names: np.ndarray, values_of, bits: int) -> np.ndarray:
+    """For each name its value; values_of gives those of the distinct names, ascending."""
+    one, times, order = _ordered(names, bits)
+    values = values_of(one)
     out = np.empty(len(names), values.dtype)
     out[order] = np.repeat(values, times)
     return out
@@ -283,6 +284,10 @@ def _spread(keys: np.ndarray) -> np.ndarray:
 _SIDE = np.array([[1.0 - 2 * (v >> (3 - j) & 1) for v in range(16)] for j in range(4)], np.float32)
 
 
+#: 1 where a bit of a value is 1 and -1 where it is 0, (value, bit).
+SIGN = -np.ascontiguousarray(_SIDE.T).astype(np.int8)
+
+
 def odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Packed log odds of cells, by ascending names, from how often each occurs.
 
