@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 12 << 20, 32 << 20, 1 << 20, 16
+BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 12 << 20, 32 << 20, 512 << 10, 32
 _WAITING = 1 << 20  # cells that a block gathers before it adds them up
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -64,7 +65,7 @@ def _cut(batches):
     def row():
         trained = [s for s, r in zip(streams, roles) if r]
         hist = np.bincount(np.frombuffer(b"".join(trained), np.uint8), minlength=256)
-        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams), 3), size, len(trained), sum(x.count(b" ") for x in trained), hist.astype(float).tolist()))
+        return _row(_BLOCK, (block, ids, roles, _press(b"".join(streams), 5), size, len(trained), sum(x.count(b" ") for x in trained), hist.astype(float).tolist()))
 
     for batch in batches:
         for i, role, text in zip(batch.column("id").to_pylist(), batch.column("role").to_pylist(), batch.column("text")):
@@ -96,6 +97,14 @@ def _batches(streams):
         yield held
 
 
+def _give_back() -> None:
+    """Returns what a finished block no longer needs to the system, where the C library can: workers outlive their tasks."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers, in as few bytes each as the largest needs, by place of the byte."""
     wide = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
@@ -260,6 +269,8 @@ def _count(rank: np.ndarray, bits: int, shards: int):
                 n = np.repeat(np.append(n1, ends), np.diff(every.starts))
                 for k in range(M.INSIDE):
                     yield from cells(k, block, [every.names(k, bits)], [n])
+                del every, n
+                _give_back()
 
     return run
 
@@ -299,6 +310,7 @@ def _shard(bits: int, dev: bool):
                     name, n = name[wanted], n[wanted]
                 said = M.odds(name, n.astype(np.float32))
                 rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack_odds(said[np.searchsorted(name, mine)], mine)) for block, x, mine, ask in zip(blocks, a, own, asks) if ask]
+        _give_back()
         return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(_FOUND.items())})
 
     return run
@@ -412,6 +424,8 @@ def _score(rank, bits: int, train_tokens: int, ends: int):
                     nibbles = M.nibble_scores(coded, inside.take(at), across, texts.words.gate.take(at), w, apm)
                     scores += M.score(coded, nibbles, chance_of.take(of), c).tolist()
                     sizes += np.diff(coded.starts).tolist()
+            del texts, inside
+            _give_back()
         kinds = {"id": pa.int64(), "role": pa.int32(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "size": pa.int64()}
         return pa.table([pa.array(v, k) for v, k in zip((ids, roles, tokens, known, base, scores, sizes), kinds.values())], names=list(kinds))
 

@@ -50,7 +50,7 @@ def words_of(stream: bytes) -> list[bytes]:
 
 def hash_bits(size: int) -> int:
     """Bits of a context's hash in the names of cells, for a corpus of this many bytes: so many that few contexts meet, however large it is."""
-    return max(20, size.bit_length() + 4)
+    return max(20, size.bit_length() + 3)
 
 
 def stride(at: int) -> int:
