@@ -9,10 +9,10 @@
 3. A shard sums over all blocks and returns to each block the counts of its own words and the log odds of its own
    cells, which are all that the block's texts can ask for. So what is kept grows with the corpus, no vocabulary
    or table is ever held as a whole, and a shard holds about the words and cells of ``SHARD_BYTES`` of text.
-4. The weights of the mixer are learned online on the development documents (1 in ``DEV`` of the training documents), which the
-   cells don't count, block by block, and averaged over all blocks.
-5. Every block is scored with its own words' counts and cells' odds. Steps 2 to 5 are one job, whose exchange of
-   the counts is written once and read by both.
+4. Each block learns weights of the mixer online on its own development documents (1 in ``DEV`` of the training documents), which the
+   cells don't count, from the block's own counts; one more shard averages them and returns the average to each block.
+5. Every block is scored with its own words' counts and cells' odds and the average weights, which depend on the corpus and on how it
+   is cut into blocks. Steps 2 to 5 are one job.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
-BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 12 << 20, 32 << 20, 512 << 10, 32
+BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 10 << 20, 32 << 20, 512 << 10, 32
 _WAITING = 1 << 20  # cells that a block gathers before it adds them up
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
@@ -203,16 +203,15 @@ def _distinct(roles_and_streams, rank: np.ndarray, each) -> tuple[bytes, np.ndar
 _DEALT = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 _DEALT_DDL = "kind int, shard long, block long, a binary, b binary"
 _WORDS = len(M.CONTEXTS)  # the kind of rows of words; those of cells have the context's number
+_WEIGHTS = _WORDS + 1  # and of what a block learned
 
 
 def _count(rank: np.ndarray, bits: int, shards: int):
-    """Rows of each block by kind and shard: its words, and how often its training documents have them; and for each context its
-    cells, ascending, and how often its training documents but those for development have them. The cells of the development documents
-    come once more, counting nothing, for a block of their own, whose number is below 0."""
+    """Rows of each block by kind and shard: its words, and how often its training documents have them; for each context its
+    cells, ascending, and how often its training documents but those for development have them; and what it learned of the weights."""
     bounds = np.array([(j << bits) // shards << 4 for j in range(shards)] + [1 << (bits + 4)], np.uint64)
 
-    def cells(kind, block, names, counts):
-        name, n = _added(names, counts, bits)
+    def cells(kind, block, name, n):
         cut = np.searchsorted(name, bounds)
         for j in np.flatnonzero(np.diff(cut)).tolist():
             part = slice(cut[j], cut[j + 1])
@@ -251,25 +250,27 @@ def _count(rank: np.ndarray, bits: int, shards: int):
                         names, counts = ([x] for x in _added(names, counts, bits))
                         waiting = 0
 
-                if of[2]:
-                    raw, _, _ = _distinct(((2, x) for x in _batches(of[2])), rank, each)
-                    yield from cells(M.ACROSS, -1 - block, [x.copy() for x in names], counts)
-                    every = M.Words(raw, rank)
-                    for k in range(M.INSIDE):
-                        name = every.names(k, bits)
-                        yield from cells(k, -1 - block, [name], [np.zeros(len(name), np.int64)])
-                    names, counts, waiting = [], [], 0
                 raw, n1, n2 = _distinct(((r, x) for r in of for x in _batches(of[r])), rank, each)
-                ends = len(of[1])
+                ends, dev = len(of[1]), of[2]
                 del documents, of  # the letters are done with
-                yield from cells(M.ACROSS, block, names, counts)
                 every = M.Words(raw, rank)
                 if raw:
                     yield from words(block, raw, every.keys[:-1], n2)
-                n = np.repeat(np.append(n1, ends), np.diff(every.starts))
+                learns = _Learner(dev, rank, bits) if dev else None
+                n1 = np.repeat(np.append(n1, ends), np.diff(every.starts))
                 for k in range(M.INSIDE):
-                    yield from cells(k, block, [every.names(k, bits)], [n])
-                del every, n
+                    name, n = _added([every.names(k, bits)], [n1], bits)
+                    yield from cells(k, block, name, n)
+                    if learns:
+                        learns.know(k, name, n)
+                del every, raw, n1
+                name, n = _added(names, counts, bits)
+                yield from cells(M.ACROSS, block, name, n)
+                if learns:
+                    learns.know(M.ACROSS, name, n)
+                x = learns.learned() if learns else np.zeros(0)
+                yield _row(_DEALT, (_WEIGHTS, 0, block, _press(x.tobytes()), None))
+                del name, n, names, counts, learns
                 _give_back()
 
     return run
@@ -278,18 +279,15 @@ def _count(rank: np.ndarray, bits: int, shards: int):
 _FOUND = {"kind": pa.int32(), "shard": pa.int64(), "block": pa.int64(), "a": pa.binary(), "b": pa.binary()}
 
 
-def _shard(bits: int, dev: bool):
-    """What a shard returns to its blocks, those of development documents or the others: of their words the corpus counts, of their cells the
-    log odds (with their names, if across words; within words a block finds the same order again). Of words also how
-    many training has, as a row's shard."""
+def _shard(bits: int):
+    """What a shard returns to its blocks: of their words the corpus counts, of their cells the log odds (with their names, if across
+    words; within words a block finds the same order again), and the sum of what all learned. Of words also how many
+    training has, as a row's shard."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
         blocks, a, b = (table.column(c).to_pylist() for c in ("block", "a", "b"))
-        rows = []
-        if kind == _WORDS and dev:
-            pass
-        elif kind == _WORDS:
+        if kind == _WORDS:
             total: dict[bytes, int] = {}
             split = [_open(x).split() for x in a]
             for words, raw in zip(split, b):
@@ -297,41 +295,77 @@ def _shard(bits: int, dev: bool):
                     total[w] = total.get(w, 0) + n
             rows = [(kind, shard, block, x, _pack(np.array(list(map(total.__getitem__, words)), np.uint64))) for block, x, words in zip(blocks, a, split)]
             rows.append((kind, sum(n > 0 for n in total.values()), _STATS, None, None))
+        elif kind == _WEIGHTS:
+            parts = [x for x in (np.frombuffer(_open(y)) for _, y in sorted(zip(blocks, a))) if len(x)]
+            packed = _press(np.sum(parts, axis=0).tobytes()) if parts else _press(b"")
+            rows = [(kind, shard, block, packed, None) for block in blocks]
         else:
-            asks = [(block < 0) == dev for block in blocks]
-            if any(asks):
-                own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
-                name, n = _added([x.copy() for x in own], [_unpack(x).astype(np.int64) for x in b], bits)
-                if dev:  # odds of the slots that are asked for
-                    slot = np.unique(np.concatenate([x >> np.uint64(4) for x, ask in zip(own, asks) if ask]))
-                    at = np.searchsorted(slot, name >> np.uint64(4))
-                    at[at == len(slot)] = 0
-                    wanted = slot[at] == name >> np.uint64(4)
-                    name, n = name[wanted], n[wanted]
-                said = M.odds(name, n.astype(np.float32))
-                rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack_odds(said[np.searchsorted(name, mine)], mine)) for block, x, mine, ask in zip(blocks, a, own, asks) if ask]
+            own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
+            name, n = _added([x.copy() for x in own], [_unpack(x).astype(np.int64) for x in b], bits)
+            said = M.odds(name, n.astype(np.float32))
+            rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack_odds(said[np.searchsorted(name, mine)], mine)) for block, x, mine in zip(blocks, a, own)]
         _give_back()
         return pa.table({n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(_FOUND.items())})
 
     return run
 
 
+class _Learner:
+    """Learns weights on development documents, from the counts of one context after the other."""
+
+    def __init__(self, documents: list[bytes], rank: np.ndarray, bits: int):
+        raw, _, _ = _distinct(((2, x) for x in _batches(documents)), rank, lambda role, coded: None)
+        self.words, self.bits = M.Words(raw, rank), bits
+        numbers = M.Numbers(self.words.keys)
+        self.size = sum(map(len, documents))
+        self.coded = [M.Coded(streams, rank) for streams in _batches(documents)]
+        self.places = [c.places(self.words, numbers.find(c.keys)) for c in self.coded]
+        self.inside: list[np.ndarray] = []
+        self.across: list[np.ndarray] = []
+
+    def know(self, k: int, name: np.ndarray, n: np.ndarray) -> None:
+        """The counts of the k-th context: ascending names and how often each occurs."""
+        asked = [self.words.names(k, self.bits)] if k < M.INSIDE else [c.names(self.bits) for c in self.coded]
+        slot = np.unique(np.concatenate(asked) >> np.uint64(4)) << np.uint64(4)
+        begin, end = np.searchsorted(name, slot), np.searchsorted(name, slot + np.uint64(16))
+        size = end - begin
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        name, n = name[at], n[at]
+        # what the documents ask for but training lacks has the odds of its context, as in a shard
+        name, n = _added([name.copy(), *[np.unique(x) for x in asked]], [n, *[np.zeros(len(np.unique(x)), np.int64) for x in asked]], self.bits)
+        odds = M.odds(name, n.astype(np.float32))
+        found = [M.lookup(x, name, odds, self.bits) for x in asked]
+        if k < M.INSIDE:
+            self.inside += found
+        else:
+            self.across = found
+
+    def learned(self) -> np.ndarray:
+        """Bytes seen, the weights times that, then the calibration counts."""
+        w, apm = M.start_weights(), np.zeros((2, 4, M.GATES * M.BUCKETS))
+        squares = np.zeros(w.shape)
+        for calibrate in (False, True):
+            for coded, at, across in zip(self.coded, self.places, self.across):
+                M.learn([x.take(at) for x in self.inside] + [across], coded.values, self.words.gate.take(at), w, squares, apm, calibrate)
+        return np.concatenate([[self.size], w.astype(np.float64).ravel() * self.size, apm.ravel()])
+
+
 class _Texts:
     """Batches of a block's documents with what the mixer needs of them, from the rows that shards returned to it."""
 
-    def __init__(self, found: pa.Table, rank: np.ndarray, bits: int, raw: bytes | None = None):
-        """raw: the block's distinct words, unless they are among what was found, with their counts."""
+    def __init__(self, found: pa.Table, rank: np.ndarray, bits: int):
         self.rank, self.bits = rank, bits
-        rows: dict[int, list] = {k: [] for k in range(_WORDS + 1)}
+        rows: dict[int, list] = {k: [] for k in range(_WEIGHTS + 1)}
         for kind, shard, a, b in sorted(zip(*(found.column(c).to_pylist() for c in ("kind", "shard", "a", "b"))), key=lambda r: r[:2]):
             rows[kind].append((a, b))
-        if raw is None:
-            raw = b"".join(_open(a) for a, _ in rows[_WORDS])
+        raw = b"".join(_open(a) for a, _ in rows[_WORDS])
+        self.learned = np.frombuffer(_open(rows[_WEIGHTS][0][0])) if rows[_WEIGHTS] else np.zeros(0)
         self.counts = np.concatenate([np.empty(0, np.uint64), *[_unpack(b) for _, b in rows[_WORDS]]]).astype(np.float64)
         self.words = M.Words(raw, rank)
         self.numbers = M.Numbers(self.words.keys)
         self.by_word = {w: k for k, w in enumerate([*raw.split(), b"\n"])} if self.numbers.clash else None
         self.inside = [M.by_rank(self.words.names(k, bits), lambda names, of=rows[k]: self._odds([b for _, b in of], names), bits) for k in range(M.INSIDE)]
+        self.words.forget()
         self.names = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(a), dtype=np.uint64) for a, _ in rows[M.ACROSS]]])
         self.odds = self._odds([b for _, b in rows[M.ACROSS]], self.names)
 
@@ -354,43 +388,12 @@ class _Texts:
         return coded, of, coded.places(self.words, of), M.lookup(coded.names(self.bits), self.names, self.odds, self.bits)
 
 
-def _development(batches):
-    """(block, streams): the documents of each block that are for development; the block's number is turned below 0."""
-    for batch in batches:
-        for block, roles, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "roles", "streams"))):
-            if 2 in roles:
-                yield _row({"block": pa.int64(), "streams": pa.binary()}, (-1 - block, _press(b"".join(s for s, r in zip(_documents(packed), roles) if r == 2))))
-
-
-def _learn(rank: np.ndarray, bits: int):
-    """x of each block with development documents: bytes seen, the weights times that, then the calibration counts."""
-
-    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        out = []
-        for packed in docs.column("streams").to_pylist():
-            documents = _documents(packed)
-            raw, _, _ = _distinct(((2, x) for x in _batches(documents)), rank, lambda role, coded: None)
-            texts = _Texts(found, rank, bits, raw)
-            w, apm = M.start_weights(), np.zeros((2, 4, M.GATES * M.BUCKETS))
-            squares = np.zeros(w.shape)
-            for calibrate in (False, True):
-                for streams in _batches(documents):
-                    coded, _, at, across = texts.read(streams)
-                    M.learn([x.take(at) for x in texts.inside] + [across], coded.values, texts.words.gate.take(at), w, squares, apm, calibrate)
-            n = sum(map(len, documents))
-            out.append(np.concatenate([[n], w.astype(np.float64).ravel() * n, apm.ravel()]).tolist())
-        return pa.table({"x": pa.array(out, pa.list_(pa.float64()))})
-
-    return run
-
-
-def _weights(x: list[float] | None) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, refinement) from the sum of x over the blocks, if any has development documents."""
+def _weights(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, refinement) from the sum of what the blocks learned, if any has development documents."""
     w, apm = M.start_weights(), np.zeros((2, 4, M.GATES * M.BUCKETS))
-    if x:
-        flat = np.array(x)
-        w = (flat[1 : 1 + w.size] / flat[0]).reshape(w.shape).astype(np.float32)
-        apm = flat[1 + w.size :].reshape(apm.shape)
+    if len(x):
+        w = (x[1 : 1 + w.size] / x[0]).reshape(w.shape).astype(np.float32)
+        apm = x[1 + w.size :].reshape(apm.shape)
     return w, M.refinement(apm)
 
 
@@ -406,8 +409,8 @@ def _score(rank, bits: int, train_tokens: int, ends: int):
             tokens = found.column("shard").to_pylist()
             ids = roles = known = base = scores = sizes = [None] * len(tokens)
         else:
-            w, apm = _weights(docs.column("x")[0].as_py())
             texts = _Texts(found, rank, bits)
+            w, apm = _weights(texts.learned)
             count_of = np.append(texts.counts, float(ends))
             logs_of = np.log10(count_of + 0.5)
             chance_of = np.where(count_of > 0, np.log(np.maximum(count_of, 1) / max(1, train_tokens)), -np.inf)
@@ -455,12 +458,9 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train_tokens = size["tokens"] + ends
 
     texts = blocks.select("block", "roles", "streams")
-    dealt = texts.mapInArrow(_count(rank, bits, shards), _DEALT_DDL).groupBy("kind", "shard")
-    found, of_dev = (dealt.applyInArrow(_shard(bits, dev), _DEALT_DDL) for dev in (False, True))
-    learned = texts.mapInArrow(_development, "block long, streams binary").groupBy("block").cogroup(of_dev.groupBy("block")).applyInArrow(_learn(rank, bits), "x array<double>")
-    x = learned.groupBy(F.lit("all").alias("all")).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x")).select("x")
-    ready = blocks.select("block", "ids", "roles", "streams").join(F.broadcast(x), F.lit(True), "left")
+    found = texts.mapInArrow(_count(rank, bits, shards), _DEALT_DDL).groupBy("kind", "shard").applyInArrow(_shard(bits), _DEALT_DDL)
     scorer = _score(rank, bits, train_tokens, ends)
+    ready = blocks.select("block", "ids", "roles", "streams")
     scored = ready.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCORED)
     scored = materialise(scored, "scored")
     types = (scored.where("role is null").agg(F.sum("tokens")).first()[0] or 0) + (ends > 0)

@@ -159,6 +159,10 @@ class Words:
         self._prefix = n.of((total[: len(s)] - total[heads][owner]) * down[heads][owner])
         self.starts = n.starts[np.append(heads, len(s))]
 
+    def forget(self) -> None:
+        """Gives up what only names are made of."""
+        self._nibbles = self._before = self._prefix = None
+
     def names(self, k: int, bits: int) -> np.ndarray:
         return self._nibbles.names(self._prefix.copy() if k == 2 else self._before >> np.uint64(48 if k == 0 else 40), k, bits)
 
