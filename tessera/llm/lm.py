@@ -451,9 +451,11 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("id", role.cast("int").alias("role"), "text")
     blocks = materialise(rows.mapInArrow(_cut, _BLOCK_DDL), "blocks")
 
-    size = blocks.groupBy(F.lit("all").alias("all")).agg(*[F.sum(c).alias(c) for c in ("bytes", "trained", "tokens")], vector_to_array(Summarizer.sum(array_to_vector("hist"))).alias("hist")).first()
+    size = blocks.groupBy(F.lit("all").alias("all")).agg(F.count("*").alias("blocks"), *[F.sum(c).alias(c) for c in ("bytes", "trained", "tokens")], vector_to_array(Summarizer.sum(array_to_vector("hist"))).alias("hist")).first()
     if size is None:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
+    # each block is a task of its own, however many partitions a shuffle has by default
+    tasks = size["blocks"]
     shards, bits, ends, rank = max(1, size["bytes"] // SHARD_BYTES), M.hash_bits(size["bytes"]), size["trained"], M.ranks(size["hist"])
     train_tokens = size["tokens"] + ends
 
@@ -461,7 +463,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = texts.mapInArrow(_count(rank, bits, shards), _DEALT_DDL).groupBy("kind", "shard").applyInArrow(_shard(bits), _DEALT_DDL)
     scorer = _score(rank, bits, train_tokens, ends)
     ready = blocks.select("block", "ids", "roles", "streams")
-    scored = ready.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCORED)
+    scored = ready.repartition(tasks, "block").groupBy("block").cogroup(found.repartition(tasks, "block").groupBy("block")).applyInArrow(lambda a, b: scorer(a, b), _SCORED)
     scored = materialise(scored, "scored")
     types = (scored.where("role is null").agg(F.sum("tokens")).first()[0] or 0) + (ends > 0)
     floor = math.log10(train_tokens + 0.5 * (types + 1))

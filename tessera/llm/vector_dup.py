@@ -5,7 +5,10 @@ orthonormal projection. Distinct vectors are projected on the leading principal
 of their grid cells of width eps (label, length and cells first, then id) and cut into blocks. Two blocks
 meet only if their label and length are equal and their boxes in the projected space are within eps. A
 meeting recurses: both sequences are halved, each half with its own box, and pairs of intervals
-that are provably apart are skipped; what is left is compared in double precision.
+that are provably apart are skipped; what is left is compared in double precision. How much can be skipped is a
+matter of the data: the leading axes must hold enough of the variance for boxes to lie eps apart. Where they don't, as with
+vectors that are spread evenly over all dimensions, every two blocks of a label meet, and blocks are large so that
+what the meetings carry stays small beside the products they save no one from.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.plans.components import connected_components
 from tessera.plans.scratch import materialise
 
-COSINE, AXES, BLOCK, LEAF = 0.93, 6, 512, 64
+COSINE, AXES, BLOCK, LEAF = 0.93, 8, 2048, 64
 _SLACK = 1e-9
 
 
@@ -27,8 +30,8 @@ def _moments(dim: int):
         n, total, outer = 0, np.zeros(dim), np.zeros((dim, dim))
         for batch in batches:
             if batch.num_rows:
-                x = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                v = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
+                x = _unit(v.tobytes(), *v.shape)
                 n, total, outer = n + len(x), total + x.sum(axis=0), outer + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([outer.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "o"])
 
@@ -47,14 +50,28 @@ def axes_of(vectors: DataFrame, dim: int, axes: int = AXES) -> np.ndarray:
     return np.ascontiguousarray(vec[:, ::-1][:, :axes])
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The vectors in single precision, if that is exact."""
+    with np.errstate(over="ignore"):
+        y = x.astype(np.float32)
+    return y if (y == x).all() else x
+
+
+def _unit(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """(n, dim) unit vectors in double precision from vectors in single or double."""
+    x = np.frombuffer(raw, np.float32 if len(raw) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square of it overflows
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _cells(axes: np.ndarray, eps: float):
     def run(batches):
         for batch in batches:
-            x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.zeros((0, len(axes)))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            cell = np.floor(x @ axes / eps).astype(np.int64) + 1024
-            key = np.array([b"".join(int(c).to_bytes(2, "big") for c in row).hex() for row in cell], dtype=object)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("id"), batch.column("copies"), pa.array(key, pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "id", "copies", "cell", "u"])
+            v = np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64) if batch.num_rows else np.zeros((0, len(axes)))
+            x = _unit(v.tobytes(), *v.shape)
+            cell = (np.floor(x @ axes / eps).astype(np.int64) + 1024).astype(">u2")
+            key = [row.tobytes().hex() for row in cell]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("id"), batch.column("copies"), pa.array(key, pa.string()), pa.array([_narrow(r).tobytes() for r in v], pa.binary())], ["label", "id", "copies", "cell", "u"])
 
     return run
 
@@ -63,9 +80,11 @@ def _blocks(axes: np.ndarray, size: int):
     names = ["label", "block", "ids", "copies", "m", "low", "high"]
 
     def put(label, ids, copies, us):
-        x = np.stack([np.frombuffer(u) for u in us])
-        p = x @ axes
-        return pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([min(ids)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([copies], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))], names)
+        dim = len(axes)
+        narrow = all(len(u) == 4 * dim for u in us)
+        raw = b"".join(us) if narrow else b"".join(u if len(u) == 8 * dim else np.frombuffer(u, np.float32).astype(np.float64).tobytes() for u in us)
+        p = _unit(raw, len(us), dim) @ axes
+        return pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([min(ids)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([copies], pa.list_(pa.int64())), pa.array([raw], pa.binary()), pa.array([p.min(axis=0).tolist()], pa.list_(pa.float64())), pa.array([p.max(axis=0).tolist()], pa.list_(pa.float64()))], names)
 
     def run(batches):
         at, ids, copies, us = None, [], [], []
@@ -85,7 +104,7 @@ def _blocks(axes: np.ndarray, size: int):
 
 
 def _pairs_within(x, px, y, py, eps, cosine, same, found, i0=0, j0=0):
-    """Recursive interval join of two sequences; appends arrays of index pairs (i, j), i < j if both are one sequence."""
+    """Recursive interval join of two sequences; appends arrays of index pairs (i, j), i < j if both are one sequence, for every two leaves that are compared."""
     gap = np.maximum(0, np.maximum(px.min(axis=0) - py.max(axis=0), py.min(axis=0) - px.max(axis=0)))
     if gap @ gap > (eps + _SLACK) ** 2:
         return
@@ -134,7 +153,7 @@ def _meet(axes: np.ndarray, eps: float, cosine: float):
         for batch in batches:
             ids, links, other = [], [], []
             for r in batch.to_pylist():
-                x, y = (np.frombuffer(r[k]).reshape(-1, dim) for k in ("m1", "m2"))
+                x, y = (_unit(r[m], len(r[i]), dim) for m, i in (("m1", "ids1"), ("m2", "ids2")))
                 same = r["block1"] == r["block2"]
                 found: list = []
                 _pairs_within(x, x @ axes, y, y @ axes, eps, cosine, same, found)
