@@ -182,24 +182,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors link only with those of the same label and length. Null labels, null or empty or zero vectors, and vectors
     with a null, NaN or infinite component link with nothing, nor do rows without an id (component null, kept true).
     Equal vectors of a label are one point with a count, so a group of copies costs no pairs; the rows of a
-    repeated id are separate points of one name. Blocks hold ``block`` distinct points; a meeting returns a
+    repeated id have links of their own and one component. Blocks hold ``block`` distinct points; a meeting returns a
     count per point and a spanning forest, never its pairs. An empty table gives no rows.
     """
     eps = float(np.sqrt(2 - 2 * cosine))
-    v = F.col(vec_col).cast("array<double>")
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    v = F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
+    zero = F.lit(0.0).cast("float" if single else "double")
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     key = F.concat_ws(":", F.size(v), F.col(label_col).cast("string"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & good, key).alias("label"), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & good, key).alias("label"), F.transform(v, lambda x: F.when(x == 0, zero).otherwise(x)).alias("v"))
     rows = materialise(rows, "vectors")
     usable = rows.where("label is not null")
-    points = materialise(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "points")
+    points = usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    points = materialise(points.withColumn("point", F.monotonically_increasing_id()), "points")
     links_of, forests = [], []
     dims = [r[0] for r in points.select(F.size("v").alias("d")).distinct().collect()]
     for dim in sorted(dims):
         own = points.where(F.size("v") == dim)
         base = axes_of(own.select("v"), dim, min(axes, dim))
         k = base.shape[1]
-        placed = own.select("label", F.col("rep").alias("id"), "copies", "v").mapInArrow(_cells(base, eps), "label string, id long, copies long, cell string, u binary")
+        placed = own.select("label", F.col("point").alias("id"), "copies", "v").mapInArrow(_cells(base, eps), "label string, id long, copies long, cell string, u binary")
         ordered = materialise(placed, "placed").repartitionByRange("label", "cell", "id").sortWithinPartitions("label", "cell", "id")
         blocks = ordered.mapInArrow(_blocks(base, block), "label string, block long, ids array<long>, copies array<long>, m binary, low array<double>, high array<double>")
         blocks = materialise(blocks, "blocks")
@@ -214,18 +217,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         met = materialise(met, "met")
         links_of.append(met.where("other is null").select("id", "links"))
         forests.append(met.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")))
-    members = materialise(usable.join(points, ["label", "v"]).select("id", "rep", "copies"), "members")
+    members = materialise(usable.join(points, ["label", "v"]).select("id", "rep", "copies", "point"), "members")
     edges = members.where("id <> rep").select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    end = lambda c: points.select(F.col("point").alias(c), F.col("rep").alias(f"{c}_id"))
     for f in forests:
-        edges = edges.unionAll(f)
+        edges = edges.unionAll(f.join(end("src"), "src").join(end("dst"), "dst").select("src_id", "dst_id"))
     groups = materialise(connected_components(edges), "groups")
     counted = None
     for x in links_of:
         counted = x if counted is None else counted.unionAll(x)
     if counted is None:
         counted = rows.sparkSession.createDataFrame([], "id long, links long")
-    counted = materialise(counted.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")), "counted")
-    linked = members.join(counted, "rep", "left").select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
+    counted = materialise(counted.groupBy(F.col("id").alias("point")).agg(F.sum("links").alias("links")), "counted")
+    linked = members.join(counted, "point", "left").select("id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"))
     lone = rows.where("label is null").select("id", F.lit(0).cast("long").alias("n"))
     known = linked.join(groups, "id", "left").select("id", "n", F.coalesce("component", "id").alias("c"))
     out = known.unionAll(lone.select("id", "n", F.col("id").alias("c")))
