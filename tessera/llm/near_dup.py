@@ -33,9 +33,8 @@ SIDE, ROWS, MIN_AGREE = 10, 2, 13
 BROADCAST_IDS = 2_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = 1 << 16
-#: Members of a block and shingles of a product in the last comparison.
-BLOCK, COLUMNS = 256, 8192
-_BYTES = 6
+#: Members and bytes of a block, and shingles of a product, in the last comparison.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 8192
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +108,7 @@ def _sets(batches):
             s = shingles(text.as_py(), known)
             if len(s):
                 ids.append(i)
-                kept = np.sort(s >> np.uint64(64 - 8 * _BYTES))
-                out.append(kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes())
+                out.append(s.astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "s"])
 
 
@@ -118,14 +116,11 @@ def _shingle_rows(batches):
     for batch in batches:
         for i, raw in zip(batch.column("id").to_pylist(), batch.column("s")):
             own = _decode(raw.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int64)), pa.array(own.view(np.int64))], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int64)), pa.array(own.astype(np.uint64).view(np.int64))], ["id", "x"])
 
 
 def _decode(raw: bytes) -> np.ndarray:
-    part = np.frombuffer(raw, np.uint8).reshape(-1, _BYTES)
-    out = np.zeros((len(part), 8), np.uint8)
-    out[:, :_BYTES] = part
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def _confirm(batches):
@@ -215,9 +210,10 @@ def _cross(batches):
 
 
 def _blocks(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(main, m): the rows (main, id, c) of each main component in blocks of about BLOCK members with their sets."""
-    count = materialise(rows.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "count")
-    rows = materialise(rows.join(count, "main").withColumn("b", F.pmod(F.xxhash64("id"), "blocks")), "dealt").join(sets, "id")
+    """(main, m): the rows (main, id, c) of each main component with their sets, in blocks of about BLOCK members, or fewer where their sets are long."""
+    rows = materialise(rows.join(sets, "id"), "with_sets")
+    count = rows.groupBy("main").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("s")) / BLOCK_BYTES)).alias("blocks"))
+    rows = rows.join(materialise(count, "count"), "main").withColumn("b", F.pmod(F.xxhash64("id"), "blocks"))
     return materialise(rows.groupBy("main", "b").agg(F.collect_list(F.struct("id", "c", "s")).alias("m")).select("main", "m"), "packed")
 
 
@@ -282,7 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, and those without an id, all columns unchanged."""
+    """The rows of ``docs`` whose id is the smallest of its component, and those without an id, all columns unchanged.
+
+    Null, empty and wordless texts are components of their own and stay. Of equal texts the one with the smallest id stays; rows
+    that repeat a kept id all stay. An empty table stays empty.
+    """
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = materialise(gone, "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences under conflict constraints.
 
-Rows are dealt into shards of bounded size by a hash of id and content; each shard is packed by
-itself. Within a shard pieces come in falling size and go to the open bin with the least residual that
+A document longer than a bin is cut into full pieces and a rest. Pieces are dealt into shards of bounded size by a
+hash; each shard is packed by itself. Within a shard pieces come in falling size and go to the open bin with the least residual that
 holds them and carries neither their duplicate cluster nor, ``source_cap`` times, their source. Bins are
 kept by residual; a bitmap over residuals gives the successor of a size, and the search goes on from
 successor to successor until a compatible bin is found. A bin carries one bitmap of clusters and
@@ -75,37 +75,44 @@ def _packer(capacity: int, source_cap: int):
     return run
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, n_tokens, cluster): words plus one end mark; cluster is a hash of the lower-cased text."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", clusters: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, cluster): words plus one end mark; cluster is a hash of the lower-cased text.
+
+    clusters: (doc_id, component_id) of near duplicates, as near_dup.near_duplicates gives them, take the place of that hash
+    for the ids that they name. Null and empty texts have the end mark alone.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.size(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+"))
     n = F.when(text.rlike(r"[^\x20\x09-\x0D]"), words).otherwise(0) + 1
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.cast("long").alias("n_tokens"), F.xxhash64(F.lower(text)).alias("cluster"))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n.cast("long").alias("n_tokens"), F.xxhash64(F.lower(text)).alias("cluster"))
+    if clusters is None:
+        return out
+    of = clusters.select("doc_id", F.xxhash64(F.lit("component"), "component_id").alias("_c")).where("doc_id is not null").distinct()
+    return out.join(of, "doc_id", "left").select("doc_id", "source", "n_tokens", F.coalesce("_c", "cluster").alias("cluster"))
 
 
 def best_fit(rows: DataFrame, capacity: int = CAPACITY, source_cap: int = SOURCE_CAP, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Packs rows of (doc_id, source, n_tokens, cluster); returns one row per piece.
+    """Packs rows of (doc_id, source, n_tokens, cluster); returns one row per piece, each with its shard and bin.
 
-    A document longer than the capacity is cut into full pieces, a bin each, and a rest that is packed
-    like any other. All pieces are returned. Rows of no tokens take no room: they get bin null. Null
+    A document longer than the capacity is cut into full pieces, which fill a bin each, and a rest that is packed
+    like any other. Rows of no tokens take no room: they get one piece, bin null. Null
     sources are one source; a null cluster is a cluster of its own hash; null ids are allowed; repeated
     rows share a cluster and so never a bin. Shards hold about ``shard_rows`` pieces, so a task's memory
-    and its search are bounded; a hot source or cluster is spread over all shards.
+    and its search are bounded; a hot source or cluster, and rows that repeat one id and text, are spread over all shards.
+    Ties in size go by id, piece and cluster. An empty table gives no rows.
     """
     from tessera.plans.scratch import materialise
 
-    full = F.floor(F.col("n_tokens") / capacity)
-    rest = F.col("n_tokens") % capacity
-    rows = rows.withColumn("cluster", F.coalesce("cluster", F.xxhash64("doc_id", "n_tokens", "source")))
-    rows = materialise(rows, "sized")
-    whole = rows.where(F.col("n_tokens") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"), F.lit(None).cast("long").alias("shard"), F.lit(None).cast("long").alias("bin"), F.lit(0).cast("long").alias("start"), F.lit(capacity).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("residual"))
-    none = rows.where("n_tokens <= 0 or n_tokens is null").select("doc_id", F.lit(0).cast("long").alias("piece"), *[F.lit(None).cast("long").alias(c) for c in ("shard", "bin", "start")], F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("residual"))
-    shards = max(1, -(-rows.count() // shard_rows))
-    parts = rows.where((F.col("n_tokens") > 0) & (rest > 0)).select("doc_id", full.cast("long").alias("piece"), "source", rest.alias("n_tokens"), "cluster")
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).alias("shard")
-    parts = parts.select("*", shard)
-    packed = parts.groupBy("shard").applyInPandas(_packer(capacity, source_cap), SCHEMA)
-    return packed.unionByName(whole).unionByName(none)
+    rows = rows.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce("cluster", F.xxhash64("doc_id", "n_tokens", "source")).alias("cluster"))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "sized")
+    pieces = F.ceil(F.col("n_tokens") / capacity)
+    total = rows.agg(F.coalesce(F.sum(F.greatest(pieces, F.lit(1))), F.lit(0))).first()[0]
+    none = rows.where("n_tokens <= 0").select("doc_id", F.lit(0).cast("long").alias("piece"), *[F.lit(None).cast("long").alias(c) for c in ("shard", "bin", "start")], F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("residual"))
+    parts = rows.where("n_tokens > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), pieces.cast("long") - 1)).alias("piece"))
+    shard = F.pmod(F.xxhash64("row", "doc_id", "piece"), F.lit(max(1, -(-total // shard_rows)))).alias("shard")
+    size = F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece") * capacity)
+    parts = parts.select("doc_id", "piece", "source", size.alias("n_tokens"), "cluster", shard)
+    return parts.groupBy("shard").applyInPandas(_packer(capacity, source_cap), SCHEMA).unionByName(none)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,20 +2,17 @@
 
 import glob
 import hashlib
-import math
 import os
 import random
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tessera.llm import catalogue, html_text, licences, mixing, near_dup, packing, private, quality, toxic, vector_dup
+from tessera.llm import catalogue, html_text, licences, mixing, near_dup, private, quality, toxic, vector_dup
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string"
@@ -201,27 +198,6 @@ def test_entries_are_counted_over_all_partitions(spark):
         assert {r["entry"]: (r["t"], r["c"]) for r in found if r["entry"][0] == "="} == want
 
 
-# packing
-def test_packing(spark):
-    rows = [(k, f"s{k % 4}" if k % 3 else "hot", n, k % 50 if k % 5 else 7) for k, n in enumerate([1 + (37 * i) % 90 for i in range(400)])] + [(900, None, 0, None), (901, "s", 250, None), (None, "s", 5, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, cluster long")
-    got = packing.best_fit(df, capacity=100, source_cap=2, shard_rows=150).toPandas()
-    assert got.n_tokens.sum() == sum(r[2] for r in rows)
-    placed = got[(got.bin.notna()) & (got.n_tokens < 100)]
-    of = {r[0]: r for r in rows}
-    for _, b in placed.groupby(["shard", "bin"]):
-        assert b.n_tokens.sum() <= 100 and (b.residual == 100 - b.n_tokens.sum()).all()
-        b = b[b.doc_id.notna()]
-        assert b.doc_id.map(lambda i: of[i][3]).dropna().is_unique and b.doc_id.map(lambda i: of[i][1]).value_counts().max() <= 2
-        ends = b.sort_values("start")
-        assert (ends.start.values[1:] >= (ends.start + ends.n_tokens).values[:-1]).all()
-
-
-def test_best_fit_choice():
-    placed = packing.pack([(60, 0, 0), (50, 1, 1), (40, 2, 2), (30, 0, 3)], 100, 1)
-    assert [b for b, _ in placed] == [0, 1, 0, 1]  # the last fits bin 1 only: bin 0 is full and shares its cluster
-
-
 # mixing
 def test_water_filling(spark):
     rows = [(k, lang, src, 10, "") for k, (lang, src) in enumerate([("en", "a0")] * 5 + [("en", "b0")] * 50 + [("de", "a0")] * 50)]
@@ -239,23 +215,3 @@ def test_licences(spark):
     rows = [(1, "a/LICENSE", "The MIT License (MIT)"), (2, "a/b/x.c", "int x;"), (3, "a/b/y.c", "code\nLicensed under the Apache License, Version 2.0."), (4, "c/z.c", "none"), (5, None, None), (6, "top", "")]
     got = {r["doc_id"]: (r["licence"], r["via"], r["from_dir"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "direct", None), 2: ("Apache-2.0", "inherited", "a/b"), 3: ("Apache-2.0", "direct", None), 4: (None, "none", None), 5: (None, "none", None), 6: (None, "none", None)}
-
-
-# pipeline
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    got = corpus_pipeline.run(spark, FOLDER).toPandas()
-    rows = {r["doc_id"]: r for r in docs.collect()}
-    clean = [i for i, r in rows.items() if all(not ok for ok in _fails(r["text"]))]
-    _, groups = brute([rows[i]["text"] for i in clean])
-    kept = {clean[k] for k, g in enumerate(groups) if g == k}
-    assert set(got.doc_id) <= kept and len(set(got.doc_id)) > 0.5 * len(kept)
-    leaf = defaultdict(int)
-    for i in set(got.doc_id):
-        leaf[rows[i]["lang"]] += 1
-    assert set(leaf) == {rows[i]["lang"] for i in kept}
-
-
-def _fails(text):
-    m = dict(zip(quality.MEASURES, quality.measures_of(text)))
-    return [eval(sql, {}, m) for _, sql in quality.RULES]
