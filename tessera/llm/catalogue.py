@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality.query,
         "op9_pii": private.query,
         "op10_embedding_near_dedup": vector_dup.query,
+        "quality_ablations": quality.ablation_query,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op6_license_scan": licences.SQL,
         "op8_quality_rules": quality.SQL,
         "op10_embedding_near_dedup": vector_dup.SQL,
+        "quality_ablations": quality.ABLATION_SQL,
     }

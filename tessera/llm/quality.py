@@ -121,7 +121,10 @@ def ablations(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, with all their columns unchanged."""
+    """The rows of ``docs`` that a policy keeps, with all their columns unchanged.
+
+    Null and empty texts measure 0 and so fail ``too_short``. Repeated rows are judged alike; an empty table stays empty.
+    """
     measured = measure(F.col(text_col))
     names = [f"`{c}`" for c in docs.columns]
     return docs.withColumn("__m", measured).where(passes(failed_bits("__m"), policy)).select(*names)
@@ -153,3 +156,10 @@ v as (
 f as (select *, (BITS)::bigint as failed from v)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed, failed = 0 as kept, failed from f
 """.replace("BITS", " + ".join(f"case when {sql} then {BIT[name]} else 0 end" for name, sql in RULES))
+
+
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+ABLATION_SQL = SQL.rsplit("select doc_id, n_words", 1)[0] + " union all ".join(f"select '{name}' as rule, count(*) filter ((failed & {BIT[name]}) <> 0) as n_failed, count(*) filter (failed = {BIT[name]}) as n_only from f" for name, _ in RULES)
