@@ -93,7 +93,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     lines_of = F.split("text", "\n")
     full = F.when(F.length("text") > 0, F.size(F.filter(lines_of, lambda x: F.trim(x) != ""))).otherwise(0)
     n_lines = materialise(base.agg(F.coalesce(F.sum(full), F.lit(0)).alias("n")), "lines")
-    own = base.select("row", F.posexplode(lines_of).alias("line", "s"), full.alias("lines")).select("row", "line", "lines", _words(F.col("s")).alias("w")).where(F.arrays_overlap("w", vocab))
+    # the number of lines is found below the explosion, which then needs the text no more
+    own = base.select("row", "text", full.alias("lines")).select("row", F.posexplode(lines_of).alias("line", "s"), "lines").select("row", "line", "lines", _words(F.col("s")).alias("w")).where(F.arrays_overlap("w", vocab))
     own = materialise(own, "hits")
     df_rows = own.select(F.explode(F.array_intersect("w", vocab)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf, templates = _vectors(spark, materialise(df_rows, "df"), n_lines)
@@ -129,7 +130,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     return out.select(F.col("id").alias("doc_id"), "path", F.coalesce("licence", "got").alias("licence"), "score", via.alias("via"), F.when(F.col("licence").isNull(), F.col("from_dir")).alias("from_dir"))
 
 
-#: Documents have no path: their source, language and thousand of ids stand for directories.
+#: Documents have no path: their source, language and 20 ids each stand for directories.
 PATH_SQL = "concat(coalesce(source, ''), '/', coalesce(lang, ''), '/', coalesce(cast(doc_id div 20 as string), ''), '/', coalesce(cast(doc_id as string), ''))"
 
 
