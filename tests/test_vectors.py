@@ -56,3 +56,8 @@ def test_literal_of_another_length(spark):
     for v in ([1.0], None, []):
         with pytest.raises(Exception, match="not of length 2"):
             spark.createDataFrame([(v,)], "v array<float>").select(C.vector_literal(F.col("v"), 2)).collect()
+
+
+def test_store_of_odd_vectors(spark, folder):
+    """A third of the vectors is replaced by its negatives: ties of both signs."""
+    compare(spark, folder, "vector_store")
