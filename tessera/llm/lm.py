@@ -140,20 +140,31 @@ def _heads(ascending: np.ndarray) -> np.ndarray:
 
 
 def _added(names: list[np.ndarray], counts: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending names and the sums of their counts."""
-    name, n = np.concatenate([*names, np.empty(0, np.uint64)]), np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.uint64)
-    low = np.uint64(60 - bits)
-    if not (n >> low).any():  # a name and its count fit in one number
-        name <<= low
-        name += n
-        name.sort()
-        n = name & ((np.uint64(1) << low) - np.uint64(1))
-        name >>= low
+    """Ascending names and the sums of their counts. Empties both lists, so that what nobody else holds goes before they are sorted."""
+    low, size = np.uint64(60 - bits), sum(map(len, names))
+    if all(int(n.max(initial=0)) < 1 << (60 - bits) for n in counts):  # a name and its count fit in one number
+        key, end = np.empty(size, np.uint64), size
+        while names:
+            x, n = names.pop(), counts.pop()
+            part = key[end - len(x) : end]
+            np.left_shift(x, low, out=part)
+            part += n.astype(np.uint64, copy=False)
+            end -= len(x)
+            del x, n
+        key.sort()
+        name = key >> low
+        head = _heads(name)
+        name = name[head]
+        key &= (np.uint64(1) << low) - np.uint64(1)
     else:
+        name, key = np.concatenate(names), np.concatenate(counts).astype(np.uint64)
+        names.clear()
+        counts.clear()
         order = np.argsort(name)
-        name, n = name[order], n[order]
-    head = _heads(name)
-    return name[head], (np.add.reduceat(n, head) if len(head) else n).astype(np.int64)
+        name, key = name[order], key[order]
+        head = _heads(name)
+        name = name[head]
+    return name, np.add.reduceat(key, head) if len(head) else key
 
 
 def _types(batches: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -244,33 +255,36 @@ def _count(rank: np.ndarray, bits: int, shards: int):
                     name.sort()
                     head = _heads(name)
                     names.append(name[head])
-                    counts.append(np.diff(np.append(head, len(name))) if role == 1 else np.zeros(len(head), np.int64))
+                    counts.append((np.diff(np.append(head, len(name))) if role == 1 else np.zeros(len(head))).astype(np.uint32))  # at most one a byte
                     waiting += len(head)
                     if waiting > _WAITING:
-                        names, counts = ([x] for x in _added(names, counts, bits))
-                        waiting = 0
+                        name, n = _added(names, counts, bits)
+                        names, counts, waiting = [name], [n.astype(np.uint32)], 0
 
                 raw, n1, n2 = _distinct(((r, x) for r in of for x in _batches(of[r])), rank, each)
                 ends, dev = len(of[1]), of[2]
                 del documents, of  # the letters are done with
+                learns = _Learner(dev, rank, bits) if dev else None
+                name, n = _added(names, counts, bits)
+                yield from cells(M.ACROSS, block, name, n)
+                if learns:
+                    learns.know(M.ACROSS, name, n)
+                del name, n
                 every = M.Words(raw, rank)
                 if raw:
                     yield from words(block, raw, every.keys[:-1], n2)
-                learns = _Learner(dev, rank, bits) if dev else None
-                n1 = np.repeat(np.append(n1, ends), np.diff(every.starts))
+                n1 = np.append(n1, ends).astype(np.uint32)
+                size = np.diff(every.starts)
                 for k in range(M.INSIDE):
-                    name, n = _added([every.names(k, bits)], [n1], bits)
+                    name, n = _added([every.names(k, bits)], [np.repeat(n1, size)], bits)
                     yield from cells(k, block, name, n)
                     if learns:
                         learns.know(k, name, n)
-                del every, raw, n1
-                name, n = _added(names, counts, bits)
-                yield from cells(M.ACROSS, block, name, n)
-                if learns:
-                    learns.know(M.ACROSS, name, n)
+                    del name, n
+                del every, raw, n1, size
                 x = learns.learned() if learns else np.zeros(0)
                 yield _row(_DEALT, (_WEIGHTS, 0, block, _press(x.tobytes()), None))
-                del name, n, names, counts, learns
+                del learns
                 _give_back()
 
     return run
@@ -301,7 +315,7 @@ def _shard(bits: int):
             rows = [(kind, shard, block, packed, None) for block in blocks]
         else:
             own = [np.cumsum(_unpack(x), dtype=np.uint64) for x in a]
-            name, n = _added([x.copy() for x in own], [_unpack(x).astype(np.int64) for x in b], bits)
+            name, n = _added(own.copy(), [_unpack(x) for x in b], bits)
             said = M.odds(name, n.astype(np.float32))
             rows = [(kind, shard, block, x if kind == M.ACROSS else None, _pack_odds(said[np.searchsorted(name, mine)], mine)) for block, x, mine in zip(blocks, a, own)]
         _give_back()
@@ -332,7 +346,8 @@ class _Learner:
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         name, n = name[at], n[at]
         # what the documents ask for but training lacks has the odds of its context, as in a shard
-        name, n = _added([name.copy(), *[np.unique(x) for x in asked]], [n, *[np.zeros(len(np.unique(x)), np.int64) for x in asked]], self.bits)
+        more = [np.unique(x) for x in asked]
+        name, n = _added([name, *more], [n, *[np.zeros(len(x), np.uint64) for x in more]], self.bits)
         odds = M.odds(name, n.astype(np.float32))
         found = [M.lookup(x, name, odds, self.bits) for x in asked]
         if k < M.INSIDE:
@@ -364,7 +379,7 @@ class _Texts:
         self.words = M.Words(raw, rank)
         self.numbers = M.Numbers(self.words.keys)
         self.by_word = {w: k for k, w in enumerate([*raw.split(), b"\n"])} if self.numbers.clash else None
-        self.inside = [M.by_rank(self.words.names(k, bits), lambda names, of=rows[k]: self._odds([b for _, b in of], names), bits) for k in range(M.INSIDE)]
+        self.inside = [M.by_rank(self.words.names(k, bits), lambda names, of=rows[k]: self._odds([b for _, b in of], names), bits, own=True) for k in range(M.INSIDE)]
         self.words.forget()
         self.names = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(a), dtype=np.uint64) for a, _ in rows[M.ACROSS]]])
         self.odds = self._odds([b for _, b in rows[M.ACROSS]], self.names)
@@ -415,6 +430,7 @@ def _score(rank, bits: int, train_tokens: int, ends: int):
             logs_of = np.log10(count_of + 0.5)
             chance_of = np.where(count_of > 0, np.log(np.maximum(count_of, 1) / max(1, train_tokens)), -np.inf)
             inside = M.inside(texts.inside, texts.words.gate, w)
+            texts.inside.clear()
             ids, roles = ([x for row in docs.column(c).to_pylist() for x in row] for c in ("ids", "roles"))
             for packed in docs.column("streams").to_pylist():
                 for streams in _batches(_documents(packed)):

@@ -36,6 +36,7 @@ _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x
 _ESCAPED = np.array([0x8A5CD789635D2DFF, 0x121FD2155C472F96, 0xA0761D6478BD642F], np.uint64)
 _ONE = np.float32(1)
 _PAD = b"\0" * 8
+_PIECE = 1 << 18  # bytes of distinct words that are named at once, and cells that get odds at once
 
 
 def stream_of(text: str | None) -> bytes:
@@ -127,56 +128,85 @@ class Nibbles:
         return key
 
 
-def _before(s: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The eight bytes before each one as a number, the nearest highest, 0 beyond the starts."""
+def _before(s: np.ndarray, raw: bytes, starts: np.ndarray, size: np.ndarray, far: int = 8) -> np.ndarray:
+    """The eight bytes before each one as a number, the nearest highest, 0 beyond the starts (of bytes farther than ``far`` not heeded)."""
     out = np.ndarray((len(s) + 1,), "<u8", _PAD + raw + _PAD, strides=(1,))[: len(s)].copy()
-    for k in range(8):
+    for k in range(far):
         at = starts[size > k] + k
         out[at] &= np.uint64(((1 << 8 * k) - 1) << 8 * (8 - k))
     return out
 
 
 class Words:
-    """Distinct words, and the end as the last of them: their nibbles with values and gates, and the names of the nibbles' cells in the contexts within a word."""
+    """Distinct words, and the end as the last of them: their nibbles with values and gates, and the names of the nibbles' cells in the contexts within a word.
 
-    __slots__ = ("_before", "_nibbles", "_prefix", "gate", "keys", "starts", "values")
+    What names are made of is found anew for each context, in pieces of whole words, as it takes many times the room of the letters.
+    """
+
+    __slots__ = ("_cuts", "_heads", "_rank", "_raw", "gate", "keys", "starts", "values")
 
     def __init__(self, raw: bytes, rank: np.ndarray):
         """raw: the words, a space after each."""
-        raw += b"\n"
-        s = np.frombuffer(raw, np.uint8)
-        heads = np.concatenate([[0], np.flatnonzero(s == SPACE) + 1])
-        size = np.diff(heads, append=len(s))
-        up, down = _powers(len(s) + 1)
-        total = np.zeros(len(s) + 1, np.uint64)
-        np.cumsum((s + np.uint64(1)) * up[: len(s)], out=total[1:])
-        self.keys = (total[heads + size] - total[heads]) * down[heads]
-        owner = np.repeat(np.arange(len(heads)), size)
-        place = np.minimum(np.arange(len(s)) - heads[owner], PLACES - 1).astype(np.uint8)
-        self._nibbles = n = Nibbles(s, rank)
-        self.values, self.gate = n.values, n.gates(place)
-        self._before = n.of(_before(s, raw, heads, size))
-        self._prefix = n.of((total[: len(s)] - total[heads][owner]) * down[heads][owner])
-        self.starts = n.starts[np.append(heads, len(s))]
+        self._raw, self._rank = raw + b"\n", rank
+        s = np.frombuffer(self._raw, np.uint8)
+        self._heads = np.concatenate([[0], np.flatnonzero(s == SPACE) + 1, [len(s)]])
+        self._cuts = np.unique(np.append(np.searchsorted(self._heads[:-1], np.arange(0, len(s), _PIECE)), len(self._heads) - 1)).tolist()
+        values, gates, keys, starts, at = [], [], [], [], 0
+        for s, _, heads, size, n in self._pieces():
+            total, down = _sums(s)
+            keys.append((total[heads + size] - total[heads]) * down[heads])
+            values.append(n.values)
+            gates.append(n.gates(np.minimum(np.arange(len(s)) - np.repeat(heads, size), PLACES - 1).astype(np.uint8)))
+            starts.append(n.starts[heads] + at)
+            at += len(n.values)
+        self.values, self.gate, self.keys, self.starts = map(np.concatenate, (values, gates, keys, [*starts, [at]]))
+
+    def _pieces(self):
+        """(bytes as an array, as such, where words begin, their sizes, nibbles) of one piece after the other."""
+        for a, b in zip(self._cuts, self._cuts[1:]):
+            heads = self._heads[a : b + 1]
+            raw = self._raw[heads[0] : heads[-1]]
+            s = np.frombuffer(raw, np.uint8)
+            yield s, raw, heads[:-1] - heads[0], np.diff(heads), Nibbles(s, self._rank)
 
     def forget(self) -> None:
         """Gives up what only names are made of."""
-        self._nibbles = self._before = self._prefix = None
+        self._raw = self._heads = None
 
     def names(self, k: int, bits: int) -> np.ndarray:
-        return self._nibbles.names(self._prefix.copy() if k == 2 else self._before >> np.uint64(48 if k == 0 else 40), k, bits)
+        out, at = np.empty(len(self.values), np.uint64), 0
+        for s, raw, heads, size, n in self._pieces():
+            if k == 2:
+                total, down = _sums(s)
+                key = (total[:-1] - np.repeat(total[heads], size)) * np.repeat(down[heads], size)
+            else:
+                key = _before(s, raw, heads, size, k + 2) >> np.uint64(48 - 8 * k)
+            out[at : at + len(n.values)] = n.names(n.of(key), k, bits)
+            at += len(n.values)
+        return out
 
 
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+    found = _POWERS
+    if not found or len(found[0]) < n:
         size = max(n, 1 << 18)
         up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        found = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+        if n <= 1 << 20:  # those of a very long text aren't kept
+            _POWERS[:] = found
+    return found[0][:n], found[1][:n]
+
+
+def _sums(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of bytes times powers before each place, inverses of the powers)."""
+    up, down = _powers(len(s) + 1)
+    total = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum((s + np.uint64(1)) * up[: len(s)], out=total[1:])
+    return total, down
 
 
 class Coded:
@@ -194,9 +224,7 @@ class Coded:
         opens[1:] = s == SPACE
         opens[self.starts] = True
         self.words = np.flatnonzero(opens)  # with one at the end
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((s + np.uint64(1)) * up[:n], out=total[1:])
+        total, down = _sums(s)
         self.keys = np.diff(total[self.words]) * down[self.words[:-1]]
         self._nibbles = Nibbles(s, rank)
         self.values, self.nibble = self._nibbles.values, self._nibbles.starts
@@ -213,16 +241,17 @@ class Coded:
         return np.repeat(begin - self.heads, words.starts[of + 1] - begin) + np.arange(len(self.values))
 
 
-def _ordered(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct names ascending, how often each comes, the places of all names in that order)."""
+def _ordered(names: np.ndarray, bits: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct names ascending, how often each comes, the places of all names in that order); own: names may be overwritten."""
     n = len(names)
     if bits + 4 + n.bit_length() <= 64:  # a name and its place fit in one number
         low = np.uint64(n.bit_length())
-        key = names << low
-        key += np.arange(n, dtype=np.uint64)
-        key.sort()
-        order = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
-        key >>= low
+        order = np.left_shift(names, low, out=names if own else None)
+        order += np.arange(n, dtype=np.uint64)
+        order.sort()
+        key = order >> low
+        order &= (np.uint64(1) << low) - np.uint64(1)
+        order = order.view(np.int64)
     else:
         order = np.argsort(names)
         key = names[order]
@@ -230,9 +259,9 @@ def _ordered(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
     return key[head], np.diff(np.append(head, n)), order
 
 
-def by_rank(names: np.ndarray, values_of, bits: int) -> np.ndarray:
-    """For each name its value; values_of gives those of the distinct names, ascending."""
-    one, times, order = _ordered(names, bits)
+def by_rank(names: np.ndarray, values_of, bits: int, own: bool = False) -> np.ndarray:
+    """For each name its value; values_of gives those of the distinct names, ascending; own: names may be overwritten."""
+    one, times, order = _ordered(names, bits, own)
     values = values_of(one)
     out = np.empty(len(names), values.dtype)
     out[order] = np.repeat(values, times)
@@ -297,8 +326,17 @@ def odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
     Byte j of a cell's number is the log odds, times SCALE, that bit j of the nibble is one after the bits before it.
     """
+    out, begin = np.empty(len(names), "<u4"), 0
+    while begin < len(names):  # pieces of whole slots
+        end = np.searchsorted(names, names[min(begin + _PIECE, len(names)) - 1] | np.uint64(15), side="right")
+        out[begin:end] = _odds(names[begin:end], counts[begin:end])
+        begin = end
+    return out
+
+
+def _odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     slot = names >> np.uint64(4)
-    head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.empty(0, np.int64)
+    head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
     size = np.diff(np.append(head, len(names)))
     value = (names & np.uint64(15)).astype(np.int64)
     out = np.empty((len(names), 4), np.int8)
@@ -307,16 +345,14 @@ def odds(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
     x = scaled(np.log((counts[alone] + np.float32(PRIOR)) / np.float32(PRIOR)))
     out[alone] = np.where(_SIDE.T[value[alone]] < 0, x[:, None], -x[:, None])
     head, size = head[size > 1], size[size > 1]
-    for a in range(0, len(head), 1 << 16):
-        begin, n = head[a : a + (1 << 16)], size[a : a + (1 << 16)]
-        own = np.repeat(np.arange(len(n)), n)
-        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(len(own))
-        dense = np.zeros((len(n), 16), np.float32)
-        dense[own, value[at]] = counts[at]
-        for level in range(4):
-            parts = dense.reshape(-1, 1 << level, 2, 8 >> level).sum(axis=3)
-            x = scaled(np.log((parts[:, :, 1] + np.float32(PRIOR)) / (parts[:, :, 0] + np.float32(PRIOR))))
-            out[at, level] = x[own, value[at] >> (4 - level)]
+    own = np.repeat(np.arange(len(head)), size)
+    at = np.repeat(head - np.cumsum(size) + size, size) + np.arange(len(own))
+    dense = np.zeros((len(head), 16), np.float32)
+    dense[own, value[at]] = counts[at]
+    for level in range(4):
+        parts = dense.reshape(-1, 1 << level, 2, 8 >> level).sum(axis=3)
+        x = scaled(np.log((parts[:, :, 1] + np.float32(PRIOR)) / (parts[:, :, 0] + np.float32(PRIOR))))
+        out[at, level] = x[own, value[at] >> (4 - level)]
     return out.view("<u4").ravel()
 
 

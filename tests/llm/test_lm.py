@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -211,3 +212,60 @@ def test_repeated_documents_score_apart(spark):
         texts[a] = texts[b]
     got = {r["doc_id"]: r["bits_per_byte"] for r in lm.language_scores(spark.createDataFrame([(k, t, "", 0) for k, t in texts.items()], DOCS)).collect()}
     assert np.mean([got[k] for k in same]) < np.mean([got[k] for k in alone])
+
+
+def counted(batch):
+    """What a block deals, by kind and shard."""
+    return {(r["kind"], r["shard"]): (r["a"], r["b"]) for x in lm._count(RANK, BITS, 2)([batch]) for r in x.to_pylist()}
+
+
+def test_a_block_takes_bounded_memory():
+    """Counting a block and making its texts ready take a small multiple of the letters of its distinct words, so two at a time fit in an executor."""
+    letters = np.random.default_rng(7).integers(97, 123, (120_000, 12)).astype(np.uint8)
+    letters[:, -1] = M.SPACE
+    raw = letters.tobytes()
+    streams = [raw[k : k + 1200] + b"\n" for k in range(0, len(raw), 1200)]
+    batch = pa.RecordBatch.from_pydict({"block": [0], "roles": [[1] * (len(streams) - 1) + [2]], "streams": [lm._press(b"".join(streams))]})
+    M._powers(1 << 18)
+    tracemalloc.start()
+    try:
+        dealt = pa.Table.from_batches(list(lm._count(RANK, BITS, 2)([batch])))
+        counting = tracemalloc.get_traced_memory()[1]
+        kind, shard = dealt["kind"].to_pylist(), dealt["shard"].to_pylist()
+        back = pa.concat_tables([lm._shard(BITS)(dealt.filter(pa.compute.and_(pa.compute.equal(dealt["kind"], k), pa.compute.equal(dealt["shard"], j)))) for k, j in sorted(set(zip(kind, shard)))])
+        back = back.filter(pa.compute.equal(back["block"], 0))
+        tracemalloc.reset_peak()
+        lm._Texts(back, RANK, BITS)
+        reading = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counting < 80 * len(raw) and reading < 110 * len(raw), (counting / len(raw), reading / len(raw))
+
+
+def test_pieces_of_words_change_nothing(monkeypatch):
+    """Words longer than a piece, words at its edge, bytes of several nibbles, and none at all."""
+    texts = [" ".join(words(300, 2)) + " é ü zebra " + "x" * 500 + " ~ " + "yz" * 40, "", "a", " b" * 50]
+    batch = pa.RecordBatch.from_pydict({"block": [0], "roles": [[1, 2, 1, 0]], "streams": [lm._press(b"".join(map(M.stream_of, texts)))]})
+    raw = b"".join(w + b" " for w in dict.fromkeys(" ".join(texts).encode().split()))
+    found = []
+    for piece in (1 << 18, 64, 1):
+        monkeypatch.setattr(M, "_PIECE", piece)
+        of = M.Words(raw, RANK)
+        found.append(([of.names(k, BITS).tolist() for k in range(M.INSIDE)], of.keys.tolist(), of.starts.tolist(), of.gate.tolist(), of.values.tolist(), counted(batch)))
+        assert len(M.Words(b"", RANK).keys) == 1
+    assert found[0] == found[1] == found[2]
+
+
+def test_sums_of_cells():
+    """Counts that fit beside a name and those that don't."""
+    rng = np.random.default_rng(9)
+    for bits, most in ((33, 1000), (56, 1000), (33, 1 << 31)):
+        names = [rng.integers(0, 1 << 12, n, dtype=np.uint64) for n in (500, 0, 300)]
+        counts = [rng.integers(0, most, len(x)).astype(np.uint32) for x in names]
+        want = Counter()
+        for x, n in zip(names, counts):
+            for a, b in zip(x.tolist(), n.tolist()):
+                want[a] += b
+        name, n = lm._added(names.copy(), counts.copy(), bits)
+        assert name.tolist() == sorted(want) and n.tolist() == [want[x] for x in sorted(want)]
+    assert [len(x) for x in lm._added([], [], 33)] == [0, 0]
