@@ -33,7 +33,7 @@ from tessera.llm import mixture as M
 from tessera.plans.scratch import materialise
 
 BLOCK_BYTES, SHARD_BYTES, BATCH_BYTES, DEV = 10 << 20, 32 << 20, 512 << 10, 32
-_WAITING = 1 << 20  # cells that a block gathers before it adds them up
+_WAITING = 1 << 20  # cells that a block gathers at least before it adds them up, else as many as it has
 _SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
@@ -247,19 +247,19 @@ def _count(rank: np.ndarray, bits: int, shards: int):
             for block, roles, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "roles", "streams"))):
                 documents = _documents(packed)
                 of = {r: [s for s, x in zip(documents, roles) if x == r] for r in (1, 2, 0)}
-                names, counts, waiting = [], [], 0
+                names, counts, waiting, most = [], [], 0, _WAITING
 
                 def each(role, coded):
-                    nonlocal names, counts, waiting
+                    nonlocal names, counts, waiting, most
                     name = coded.names(bits)
                     name.sort()
                     head = _heads(name)
                     names.append(name[head])
                     counts.append((np.diff(np.append(head, len(name))) if role == 1 else np.zeros(len(head))).astype(np.uint32))  # at most one a byte
                     waiting += len(head)
-                    if waiting > _WAITING:
+                    if waiting > most:
                         name, n = _added(names, counts, bits)
-                        names, counts, waiting = [name], [n.astype(np.uint32)], 0
+                        names, counts, waiting, most = [name], [n.astype(np.uint32)], 0, max(_WAITING, len(name))
 
                 raw, n1, n2 = _distinct(((r, x) for r in of for x in _batches(of[r])), rank, each)
                 ends, dev = len(of[1]), of[2]
@@ -340,13 +340,15 @@ class _Learner:
     def know(self, k: int, name: np.ndarray, n: np.ndarray) -> None:
         """The counts of the k-th context: ascending names and how often each occurs."""
         asked = [self.words.names(k, self.bits)] if k < M.INSIDE else [c.names(self.bits) for c in self.coded]
-        slot = np.unique(np.concatenate(asked) >> np.uint64(4)) << np.uint64(4)
+        more = [np.sort(x) for x in asked]
+        more = [x[_heads(x)] for x in more]
+        slot = np.sort(np.concatenate(more) & ~np.uint64(15))
+        slot = slot[_heads(slot)]
         begin, end = np.searchsorted(name, slot), np.searchsorted(name, slot + np.uint64(16))
         size = end - begin
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         name, n = name[at], n[at]
         # what the documents ask for but training lacks has the odds of its context, as in a shard
-        more = [np.unique(x) for x in asked]
         name, n = _added([name, *more], [n, *[np.zeros(len(x), np.uint64) for x in more]], self.bits)
         odds = M.odds(name, n.astype(np.float32))
         found = [M.lookup(x, name, odds, self.bits) for x in asked]
@@ -440,7 +442,7 @@ def _score(rank, bits: int, train_tokens: int, ends: int):
                     tokens += np.diff(np.append(first, len(c))).tolist()
                     known += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
                     base += np.add.reduceat(logs_of.take(of), first).tolist()
-                    nibbles = M.nibble_scores(coded, inside.take(at), across, texts.words.gate.take(at), w, apm)
+                    nibbles = M.nibble_scores(coded, inside, across, texts.words.gate, w, apm, of=at)
                     scores += M.score(coded, nibbles, chance_of.take(of), c).tolist()
                     sizes += np.diff(coded.starts).tolist()
             del texts, inside

@@ -88,7 +88,7 @@ class Nibbles:
     __slots__ = ("byte", "rare", "second", "starts", "values", "which")
 
     def __init__(self, s: np.ndarray, rank: np.ndarray):
-        code = rank[s]
+        code = np.frombuffer(s.tobytes().translate(rank.tobytes()), np.uint8)
         long = np.flatnonzero(code >= TOP)
         if not len(long):
             self.values, self.byte, self.which, self.starts = code, None, None, np.arange(len(s) + 1)
@@ -97,21 +97,21 @@ class Nibbles:
         size = np.ones(len(s) + 1, np.int64)
         size[0] = 0
         size[long + 1] = 2
-        rare = long[code[long] == 2 * TOP]
+        rare = long[code.take(long) == 2 * TOP]
         size[rare + 1] = 4
         self.starts = np.cumsum(size)
         self.byte = np.repeat(np.arange(len(s)), size[1:])
         self.second, self.rare = self.starts[long] + 1, self.starts[rare] + 2
-        self.values, self.which = np.minimum(code, TOP)[self.byte], np.zeros(len(self.byte), np.uint8)
-        self.values[self.second] = code[long] - TOP
+        self.values, self.which = np.minimum(code, TOP).take(self.byte), np.zeros(len(self.byte), np.uint8)
+        self.values[self.second] = code.take(long) - TOP
         self.values[self.rare], self.values[self.rare + 1] = s[rare] >> 4, s[rare] & 15
         self.which[self.second], self.which[self.rare], self.which[self.rare + 1] = 1, 2, 3
 
     def of(self, per_byte: np.ndarray) -> np.ndarray:
-        return per_byte if self.byte is None else per_byte[self.byte]
+        return per_byte if self.byte is None else per_byte.take(self.byte)
 
     def gates(self, place: np.ndarray) -> np.ndarray:
-        return place if self.byte is None else place[self.byte] + self.which * np.uint8(PLACES)
+        return place if self.byte is None else place.take(self.byte) + self.which * np.uint8(PLACES)
 
     def names(self, key: np.ndarray, k: int, bits: int) -> np.ndarray:
         """Names of the cells in the k-th context from its keys, by nibble and of this call alone: the hash, then the value in 4 bits."""
@@ -278,7 +278,7 @@ def lookup(names: np.ndarray, keys: np.ndarray, values: np.ndarray, bits: int) -
         one, times, order = _ordered(names, bits)
         at = np.searchsorted(keys, one)
         at[at == len(keys)] = 0
-        out[order] = np.repeat(np.where(keys[at] == one, values[at], values.dtype.type(0)), times)
+        out[order] = np.repeat(np.where(keys.take(at) == one, values.take(at), values.dtype.type(0)), times)
     return out
 
 
@@ -452,10 +452,11 @@ def _run(within, across, gate, values, w, apm, own, bounds, goes_on) -> tuple[np
     return -loss, -np.stack([np.add.reduceat(g, bounds[:-1]) for g in grads], axis=1)
 
 
-def nibble_scores(coded: Coded, within: np.ndarray, across: np.ndarray, gate: np.ndarray, w: np.ndarray, apm: np.ndarray, adapts: bool = True) -> np.ndarray:
+def nibble_scores(coded: Coded, within: np.ndarray, across: np.ndarray, gate: np.ndarray, w: np.ndarray, apm: np.ndarray, adapts: bool = True, of: np.ndarray | None = None) -> np.ndarray:
     """Natural logarithm of the probability of each nibble; every document starts from the same weights and adapts its own.
 
-    within: the sums of the contexts within words, packed as by ``inside``; across: packed log odds of the context across words.
+    within: the sums of the contexts within words, packed as by ``inside``; across: packed log odds of the context across words;
+    of: where each nibble stands in within and gate, if these are those of distinct words.
     """
     starts, docs = coded.starts, len(coded.starts) - 1
     size, out = np.diff(starts), np.zeros(len(across), np.float32)
@@ -472,7 +473,8 @@ def nibble_scores(coded: Coded, within: np.ndarray, across: np.ndarray, gate: np
             n = b - a
             bounds = np.concatenate([[0], np.cumsum(n)])
             at = np.repeat(a - bounds[:-1], n) + np.arange(bounds[-1])
-            out[at], grad = _run(within.take(at), across.take(at), gate.take(at), coded.values.take(at), w, apm, own[who] if lo else None, bounds, goes_on)
+            mine = at if of is None else of.take(at)
+            out[at], grad = _run(within.take(mine), across.take(at), gate.take(mine), coded.values.take(at), w, apm, own[who] if lo else None, bounds, goes_on)
             if goes_on:
                 mine = own[who] + rates * grad / np.sqrt(n)[:, None]
                 mine[:, 3] = np.clip(mine[:, 3], 0, 1)
